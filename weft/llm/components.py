@@ -1,0 +1,29 @@
+"""Connected components of an edge table by label propagation with pointer jumping."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weft.llm.common import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node of edges (a, b): label is the smallest node reachable.
+
+    Each round takes, for every node, the least label among its neighbours, then follows that label once
+    (pointer jumping), so rounds grow with the logarithm of the longest chain. Both joins read checkpointed
+    tables on their keys, so a node with very many links is split by the adaptive skew join. Self links are
+    harmless; null ends are dropped; an empty table gives an empty result.
+    """
+    ends = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    pairs = cut(ends.union(ends.select("b", "a")).distinct())
+    labels = cut(pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    while True:
+        near = pairs.join(labels, pairs.b == labels.node).select(F.col("a").alias("node"), "label")
+        least = cut(near.union(labels).groupBy("node").agg(F.min("label").alias("label")))
+        up = least.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+        jumped = cut(least.join(up, "label").select("node", "higher", "label"))
+        fresh = jumped.select("node", F.least("higher", "label").alias("label"))
+        moved = fresh.alias("n").join(labels.alias("o"), "node").where(F.col("n.label") != F.col("o.label")).limit(1).count()
+        labels = fresh
+        if not moved:
+            return labels
