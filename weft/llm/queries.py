@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import simhash
+from weft.llm import media, mixing, pieces, simhash
 from weft.llm.common import table
 
 
@@ -15,8 +15,28 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked tilt, probability and selection of every document; topics are the labels of embeddings."""
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.topics_of(table(spark, sf_dir, "embeddings")))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored audio of every whole text, and the features of the bytes read back."""
+    return media.audio_features(table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and next best segmentations of every whole text, and whether it decodes to itself."""
+    return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_mixing": op2_mixing,
+    "op9_media_columns": op9_media_columns,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.oracle(),
+}
