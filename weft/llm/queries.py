@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import html, media, mixing, pieces, simhash
+from weft.llm import html, licenses, media, mixing, pieces, simhash
 from weft.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.topics_of(table(spark, sf_dir, "embeddings")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every whole text, with coverage and spans."""
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by the template of its host."""
     return html.main_text(table(spark, sf_dir, "pages"))
@@ -38,6 +43,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing": op2_mixing,
+    "op4_license_scan": op4_license_scan,
     "op7_html_extraction": op7_html_extraction,
     "op9_media_columns": op9_media_columns,
     "op10_sentencepiece": op10_sentencepiece,
