@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import html, licenses, media, mixing, pieces, simhash
+from weft.llm import html, licenses, media, mixing, pieces, secrets, simhash
 from weft.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every whole text, with the forest's score and verdict."""
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored audio of every whole text, and the features of the bytes read back."""
     return media.audio_features(table(spark, sf_dir, "documents"))
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_license_scan": op4_license_scan,
     "op7_html_extraction": op7_html_extraction,
+    "op8_secret_scan": op8_secret_scan,
     "op9_media_columns": op9_media_columns,
     "op10_sentencepiece": op10_sentencepiece,
 }
