@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import html, licenses, media, mixing, pieces, secrets, simhash
+from weft.llm import ann, html, licenses, media, mixing, pieces, secrets, simhash
 from weft.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.topics_of(table(spark, sf_dir, "embeddings")))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest of every vector whose id 50 divides, among all others."""
+    return ann.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every whole text, with coverage and spans."""
     return licenses.license_matches(table(spark, sf_dir, "documents"))
@@ -48,6 +53,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing": op2_mixing,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_license_scan": op4_license_scan,
     "op7_html_extraction": op7_html_extraction,
     "op8_secret_scan": op8_secret_scan,
