@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import ann, html, licenses, media, mixing, pieces, secrets, simhash
+from weft.llm import ann, html, licenses, media, mixing, pieces, quality, secrets, simhash
 from weft.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, its language's threshold and the verdict of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("k")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by the template of its host."""
     return html.main_text(table(spark, sf_dir, "pages"))
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_license_scan": op4_license_scan,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_html_extraction": op7_html_extraction,
     "op8_secret_scan": op8_secret_scan,
     "op9_media_columns": op9_media_columns,
