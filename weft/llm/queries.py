@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import ann, html, licenses, media, mixing, pieces, quality, secrets, simhash
+from weft.llm import ann, html, licenses, lm, media, mixing, pieces, quality, secrets, simhash
 from weft.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("k")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text under the model and under word counts alone."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by the template of its host."""
     return html.main_text(table(spark, sf_dir, "pages"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_license_scan": op4_license_scan,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_html_extraction": op7_html_extraction,
     "op8_secret_scan": op8_secret_scan,
     "op9_media_columns": op9_media_columns,
