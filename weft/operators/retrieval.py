@@ -9,6 +9,16 @@ from weft import vocab
 from weft.functions import text, vectors
 
 
+#: Rows of a batch of questions that are broadcast; a larger batch is left to the planner.
+BROADCAST_ROWS = 10_000
+
+
+def batch(questions: DataFrame) -> DataFrame:
+    """A batch of questions, broadcast where a check of its size allows it."""
+    few = len(questions.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS
+    return F.broadcast(questions) if few else questions
+
+
 def relevance(questions: DataFrame, items: DataFrame) -> DataFrame:
     """(qid, id, rel) where rel > 0: distinct question terms among the words of an item. questions (qid, text), items (id, words)."""
     asked = questions.select("qid", F.explode(F.array_distinct(text.question_terms(F.col("text")))).alias("term"))
@@ -17,8 +27,8 @@ def relevance(questions: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def vector_ranks(questions: DataFrame, items: DataFrame) -> DataFrame:
-    """(qid, id, similarity, rank): competition rank by cosine of items with a vector. questions (qid, qvec) are broadcast, as a batch of questions is small."""
-    met = items.where("emb is not null").join(F.broadcast(questions.where("qvec is not null")), how="cross")
+    """(qid, id, similarity, rank): competition rank by cosine of items with a vector. questions (qid, qvec) meet all items."""
+    met = items.where("emb is not null").join(batch(questions.where("qvec is not null")), how="cross")
     met = met.select("qid", "id", F.round(vectors.cosine(F.col("qvec"), F.col("emb")), 6).alias("similarity"))
     return met.withColumn("rank", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("similarity"))))
 
@@ -26,7 +36,7 @@ def vector_ranks(questions: DataFrame, items: DataFrame) -> DataFrame:
 def passage_ranks(questions: DataFrame, chunks: DataFrame, limit: int = vocab.PASSAGES) -> DataFrame:
     """(qid, id, chunk_rank): best place of each item's passages among the limit nearest of a question. chunks (chunk_id, id, emb)."""
     ready = chunks.where("emb is not null and id is not null")
-    met = ready.join(F.broadcast(questions.where("qvec is not null")), how="cross").select("qid", "id", "chunk_id", F.round(1 - vectors.cosine(F.col("qvec"), F.col("emb")), 6).alias("distance"))
+    met = ready.join(batch(questions.where("qvec is not null")), how="cross").select("qid", "id", "chunk_id", F.round(1 - vectors.cosine(F.col("qvec"), F.col("emb")), 6).alias("distance"))
     placed = met.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "chunk_id"))).where(F.col("place") <= limit)
     return placed.groupBy("qid", "id").agg(F.min("place").alias("chunk_rank"))
 
@@ -39,7 +49,7 @@ def hybrid(questions: DataFrame, items: DataFrame, chunks: DataFrame) -> DataFra
     only for questions that have any, and an item without one takes its vector rank. Ties go by importance, then id.
     """
     active = questions.where(F.size(text.question_terms(F.col("text"))) > 0)
-    base = items.select("id", "importance").join(F.broadcast(questions.select("qid")), how="cross")
+    base = items.select("id", "importance").join(batch(questions.select("qid")), how="cross")
     rel = base.join(relevance(active, items), ["qid", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     lexical = rel.withColumn("rank_lex", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("rel"))))
     with_vec = lexical.join(vector_ranks(active, items).select("qid", "id", F.col("rank").alias("rank_vec")), ["qid", "id"], "left")

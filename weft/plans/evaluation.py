@@ -56,7 +56,7 @@ def _must_have(spark, sf_dir):
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = q.withColumn("w", longest)
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = d.select("id", "text", first(F.col("text"))).join(F.broadcast(keyed), "w").where(F.contains("text", F.col("passage")))
+    found = d.select("id", "text", first(F.col("text"))).join(retrieval.batch(keyed), "w").where(F.contains("text", F.col("passage")))
     return found.select("qid", "id").distinct()
 
 
@@ -70,7 +70,7 @@ def _recall(spark, sf_dir):
     from pyspark.sql import Window
 
     q, known = language._questions(spark, sf_dir), language._searched(spark, sf_dir)
-    base = known.select("id").join(F.broadcast(q.select("qid")), how="cross")
+    base = known.select("id").join(retrieval.batch(q.select("qid")), how="cross")
     rel = base.join(retrieval.relevance(q, known), ["qid", "id"], "left")
     placed = rel.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.coalesce("rel", F.lit(0)).desc(), "id")))
     return evaluate.recall(placed, _must_have(spark, sf_dir), vocab.INDEX_TOP)
