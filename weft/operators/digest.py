@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft import vocab
 from weft.functions.scoring import importance
 from weft.operators.catalog import visible
+from weft.operators.lineage import cut
 
 
 def active(subscribers: DataFrame) -> DataFrame:
@@ -20,39 +21,61 @@ def rested(subscribers: DataFrame, log: DataFrame, as_of, hours: int = vocab.COO
     return subscribers.join(recent, "subscriber", "left_anti")
 
 
-def matches(subscribers: DataFrame, items: DataFrame) -> DataFrame:
-    """(subscriber, id, role, role_pos): a row for each shared role, and one of the company-wide role for items of it.
+def matches(people: DataFrame, items: DataFrame) -> DataFrame:
+    """(profile, id, role, role_pos) of people (profile, roles): a row for each shared role, and one of the company-wide role for items of it.
 
-    Roles are exploded on both sides and joined, so no pair without a match is made. A company-wide item meets every
-    subscriber; as these are a section of all digests, they are joined on a constant key salted over 16 parts.
+    Roles are exploded on both sides and joined, so no pair without a match is made.
     """
-    asked = subscribers.select("subscriber", F.posexplode("roles").alias("role_pos", "role"))
+    asked = people.select("profile", F.posexplode("roles").alias("role_pos", "role"))
+    wide = people.select("profile", F.lit(LAST).alias("role_pos"), F.lit(vocab.COMPANY_WIDE).alias("role"))
     held = items.select("id", F.explode(F.array_distinct("roles")).alias("role"))
-    shared = asked.join(held, "role").select("subscriber", "id", "role", "role_pos")
-    wide = items.where(F.array_contains("roles", vocab.COMPANY_WIDE)).select("id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part"))
-    everyone = subscribers.select("subscriber", F.pmod(F.xxhash64("subscriber"), F.lit(16)).cast("int").alias("part"))
-    wide = everyone.join(wide, "part").select("subscriber", "id", F.lit(vocab.COMPANY_WIDE).alias("role"), F.lit(1_000_000).alias("role_pos"))
-    return shared.union(wide)
+    return asked.union(wide).join(held, "role").select("profile", "id", "role", "role_pos")
+
+
+#: Place of the company-wide section after all roles.
+LAST = 1_000_000
+
+
+def ranked(profiles: DataFrame, items: DataFrame) -> DataFrame:
+    """(profile, id, role, key, published_at, candidates, r): the items of each list of roles (profile, roles) under their owning role.
+
+    An item belongs to the shared role of highest importance, the first of equal ones; to the company-wide section
+    where no role is shared. r is its place in that role, candidates the items of the profile.
+    """
+    keyed = matches(profiles, items).join(items, "id").withColumn("key", importance(F.col, F.col("role")))
+    own = Window.partitionBy("profile", "id").orderBy(F.col("role_pos") == LAST, F.desc("key"), "role_pos")
+    owned = keyed.withColumn("o", F.row_number().over(own)).where("o = 1")
+    place = F.row_number().over(Window.partitionBy("profile", "role").orderBy(*by_importance()))
+    return owned.select("profile", "id", "role", "key", "published_at", F.count("*").over(Window.partitionBy("profile")).alias("candidates"), place.alias("r"))
+
+
+def by_importance():
+    return [F.desc("key"), F.col("published_at").desc_nulls_last(), F.col("id")]
 
 
 def select(subscribers: DataFrame, items: DataFrame, log: DataFrame, kind: str = "brief", per_role: int = vocab.PER_ROLE, per_digest: int = vocab.PER_DIGEST) -> DataFrame:
     """(subscriber, id, role, place, section, overflow): what each subscriber gets.
 
-    An item belongs to the shared role of highest importance, the first of equal ones; to the company-wide section
-    where no role is shared. per_role items of each role and per_digest in all are chosen; sections come in the
-    order of their first item; overflow counts the candidates left out. Items sent before are out.
+    per_role items of each role and per_digest in all are chosen; sections come in the order of their first item;
+    overflow counts the candidates left out. Items sent before are out.
+
+    Importance depends on the item and the role alone, so items are ranked once for each distinct list of roles. A
+    subscriber then meets only the first per_role items of each role and as many more as were sent to them.
     """
-    ready = visible(items)
+    people = active(subscribers).select("subscriber", "roles", F.xxhash64("roles").alias("profile"))
+    order = cut(ranked(people.select("profile", "roles").distinct(), visible(items)))
     sent = log.where(F.col("kind") == kind).select("subscriber", "id").distinct()
-    found = matches(active(subscribers), ready).join(sent, ["subscriber", "id"], "left_anti").join(ready, "id")
-    keyed = found.withColumn("key", importance(F.col, F.col("role")))
-    owned = keyed.withColumn("o", F.row_number().over(Window.partitionBy("subscriber", "id").orderBy(F.col("role_pos") == 1_000_000, F.desc("key"), "role_pos"))).where("o = 1")
+    out = cut(sent.join(people.select("subscriber", "profile"), "subscriber").join(order.select("profile", "id"), ["profile", "id"]).select("subscriber", "id"))
+    numbers = people.select("subscriber", "profile").join(out.groupBy("subscriber").agg(F.count("*").alias("n_sent")), "subscriber", "left")
+    numbers = numbers.withColumn("n_sent", F.coalesce("n_sent", F.lit(0)))
+    wanted = numbers.select("subscriber", "profile", "n_sent", F.explode(F.sequence(F.lit(1), (F.col("n_sent") + per_role).cast("int"))).alias("r"))
+    found = wanted.join(order, ["profile", "r"]).join(out, ["subscriber", "id"], "left_anti")
+    in_role = found.withColumn("r", F.row_number().over(Window.partitionBy("subscriber", "role").orderBy(*by_importance()))).where(F.col("r") <= per_role)
     everything = Window.partitionBy("subscriber")
-    order = [F.desc("key"), F.col("published_at").desc_nulls_last(), F.col("id")]
-    in_role = owned.select("subscriber", "id", "role", "key", "published_at", F.count("*").over(everything).alias("candidates"), F.row_number().over(Window.partitionBy("subscriber", "role").orderBy(*order)).alias("r"))
-    chosen = in_role.where(F.col("r") <= per_role).withColumn("place", F.row_number().over(everything.orderBy(*order))).where(F.col("place") <= per_digest)
+    chosen = in_role.withColumn("place", F.row_number().over(everything.orderBy(*by_importance()))).where(F.col("place") <= per_digest)
     return chosen.select(
-        "subscriber", "id", "role", "place", F.min("place").over(Window.partitionBy("subscriber", "role")).alias("section"), (F.col("candidates") - F.count("*").over(everything)).alias("overflow"),
+        "subscriber", "id", "role", "place", F.min("place").over(Window.partitionBy("subscriber", "role")).alias("section"),
+        (F.col("candidates") - F.col("n_sent") - F.count("*").over(everything)).alias("overflow"),
     )
 
 

@@ -26,17 +26,23 @@ def relevance(questions: DataFrame, items: DataFrame) -> DataFrame:
     return held.join(asked, "term").groupBy("qid", "id").agg(F.count("*").alias("rel"))
 
 
+def _measured(questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every pair of a question with a vector and a row with one, with their cosine; lengths are found once a row."""
+    held = rows.where("emb is not null").withColumn("emb_norm", vectors.norm(F.col("emb")))
+    asked = questions.where("qvec is not null").withColumn("qvec_norm", vectors.norm(F.col("qvec")))
+    size = F.col("emb_norm") * F.col("qvec_norm")
+    return held.join(batch(asked), how="cross").withColumn("similarity", F.when(size == 0, 0.0).otherwise(vectors.dot(F.col("qvec"), F.col("emb")) / size))
+
+
 def vector_ranks(questions: DataFrame, items: DataFrame) -> DataFrame:
     """(qid, id, similarity, rank): competition rank by cosine of items with a vector. questions (qid, qvec) meet all items."""
-    met = items.where("emb is not null").join(batch(questions.where("qvec is not null")), how="cross")
-    met = met.select("qid", "id", F.round(vectors.cosine(F.col("qvec"), F.col("emb")), 6).alias("similarity"))
+    met = _measured(questions, items).select("qid", "id", F.round("similarity", 6).alias("similarity"))
     return met.withColumn("rank", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("similarity"))))
 
 
 def passage_ranks(questions: DataFrame, chunks: DataFrame, limit: int = vocab.PASSAGES) -> DataFrame:
     """(qid, id, chunk_rank): best place of each item's passages among the limit nearest of a question. chunks (chunk_id, id, emb)."""
-    ready = chunks.where("emb is not null and id is not null")
-    met = ready.join(batch(questions.where("qvec is not null")), how="cross").select("qid", "id", "chunk_id", F.round(1 - vectors.cosine(F.col("qvec"), F.col("emb")), 6).alias("distance"))
+    met = _measured(questions, chunks.where("id is not null")).select("qid", "id", "chunk_id", F.round(1 - F.col("similarity"), 6).alias("distance"))
     placed = met.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "chunk_id"))).where(F.col("place") <= limit)
     return placed.groupBy("qid", "id").agg(F.min("place").alias("chunk_rank"))
 
@@ -88,6 +94,8 @@ def context(ranked: DataFrame, refs: DataFrame, pinned: DataFrame, k_deep: int =
     index's tail. Numbers run on from deep to index.
     """
     room = min(k_deep, index_limit)
+    n_refs = refs.groupBy("qid").agg(F.count("*").alias("n_refs"))  # no item further down can be shown
+    ranked = ranked.join(n_refs, "qid", "left").where(F.col("place") <= index_limit + F.coalesce("n_refs", F.lit(0)))
     sources = refs.select("qid", "id", F.lit(0).alias("section"), "place").unionByName(ranked.select("qid", "id", F.lit(1).alias("section"), "place"))
     by_item = Window.partitionBy("qid", "id").orderBy("section", "place")
     ordered = sources.withColumn("seen", F.row_number().over(by_item)).where("seen = 1")
