@@ -1,9 +1,9 @@
 """Registered queries over the driver tables, with their DuckDB oracles."""
 
-from weft.plans import catalog, evaluation, intake, language, selection
+from weft.plans import answering, catalog, evaluation, intake, language, selection
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (catalog, intake, language, selection, evaluation):
+for _module in (catalog, intake, language, selection, evaluation, answering):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
