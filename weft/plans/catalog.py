@@ -66,7 +66,7 @@ def cluster_references(spark, sf_dir):
 def load_by_ids(spark, sf_dir):
     k = F.col("c_custkey")
     wanted = read(spark, sf_dir, "customer").select(k.alias("list_id"), F.array(k * 3, F.lit(999999999), k, k + 7, k * 2).alias("ids"))
-    return catalog.by_ids(items(spark, sf_dir), wanted, 3)
+    return corpus.longs(catalog.by_ids(items(spark, sf_dir), wanted, 3), "pos")
 
 
 @query(sql("select id, urgency, trust_score, impact_label, score, tier from items"))
@@ -107,12 +107,12 @@ def display_titles(spark, sf_dir):
     return items(spark, sf_dir).select("id", text.display_title(F.col("title"), summary).alias("shown"))
 
 
-@query("""select l_suppkey as pages, l_linenumber as current, row_number() over (partition by l_suppkey, l_linenumber order by n, label <> '…') as pos, label from (
+@query("""select l_suppkey as pages, l_linenumber::bigint as current, row_number() over (partition by l_suppkey, l_linenumber order by n, label <> '…') as pos, label from (
  select l_suppkey, l_linenumber, n, unnest(case when n - lag(n) over (partition by l_suppkey, l_linenumber order by n) > 1 then ['…', n::varchar] else [n::varchar] end) as label from (
  select l_suppkey, l_linenumber, unnest(range(1, l_suppkey + 1)) as n from (select distinct l_suppkey, l_linenumber from lineitem where l_linenumber <= l_suppkey)) where n = 1 or n = l_suppkey or abs(n - l_linenumber) <= 1)""")
 def page_links(spark, sf_dir):
     pairs = read(spark, sf_dir, "lineitem").where("l_linenumber <= l_suppkey").select(F.col("l_suppkey").alias("pages"), F.col("l_linenumber").cast("bigint").alias("current")).distinct()
-    return catalog.page_links(pairs)
+    return corpus.longs(catalog.page_links(pairs), "pos")
 
 
 @query(sql("select id, case when published_at is null then '' when m < 1 then 'now' when m < 60 then m::bigint || ' min' when m < 1440 then floor(m / 60)::bigint || ' h' else floor(m / 1440)::bigint || ' d' end as age from (select id, published_at, floor(date_diff('second', published_at, timestamp '2026-07-31 00:30:00') / 60) as m from items)"))

@@ -17,6 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def longs(df: DataFrame, *names: str) -> DataFrame:
+    """df with the columns of names as 64-bit numbers, as SQL's places and counts are."""
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
+
+
 def as_of() -> Column:
     return F.expr(f"timestamp_ntz'{AS_OF}'")
 

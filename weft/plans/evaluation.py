@@ -81,7 +81,7 @@ _PARTS = (language.SQL_TERMS, language.SQL_WORDS, language.SQL_REL, SQL_MUST, SQ
 
 @query(sql("select qid, n, recall, recall_small, worst_rank from recalls", *_PARTS))
 def ranking_recall(spark, sf_dir):
-    return _recall(spark, sf_dir)
+    return corpus.longs(_recall(spark, sf_dir), "worst_rank")
 
 
 @query(sql("select qid, old, recall as new, case when old is null then 'new' when recall is null then 'gone' when recall - old < -0.01 then 'worse' when recall - old > 0.01 then 'better' else 'same' end as state from (select item_id as qid, (item_id % 3) / 2.0::double as old from benchmark where item_id % 4 <> 3) full outer join recalls using (qid)", *_PARTS))

@@ -32,7 +32,7 @@ def term_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("select lang, sum(n) as sentences from (select lang, 1 + len(regexp_extract_all(text, '[.!?…]\\s')) as n from documents) group by 1")
+@query("select lang, cast(sum(n) as bigint) as sentences from (select lang, 1 + len(regexp_extract_all(text, '[.!?…]\\s')) as n from documents) group by 1")
 def sentence_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("lang", F.size(text.sentences(F.col("text"))).alias("n")).groupBy("lang").agg(F.sum("n").alias("sentences"))
 
@@ -70,7 +70,7 @@ def _vectors(spark, sf_dir):
 
 @query(f"with {SQL_VEC} select qid, id, similarity, rank() over (partition by qid order by similarity desc) as rank from vec")
 def vector_ranks(spark, sf_dir):
-    return retrieval.vector_ranks(_questions(spark, sf_dir), _vectors(spark, sf_dir)).select("qid", "id", "similarity", "rank")
+    return corpus.longs(retrieval.vector_ranks(_questions(spark, sf_dir), _vectors(spark, sf_dir)).select("qid", "id", "similarity", "rank"), "rank")
 
 
 SQL_PASSAGES = f"""near as (select b.item_id as qid, e.vec_id as chunk_id, e.vec_id % 97 as id, round(1 - list_dot_product(q.embedding::double[], e.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]))), 6) as distance
@@ -86,7 +86,7 @@ def _chunks(spark, sf_dir):
 
 @query(f"with {SQL_PASSAGES} select qid, id, chunk_rank from best")
 def passage_ranks(spark, sf_dir):
-    return retrieval.passage_ranks(_questions(spark, sf_dir), _chunks(spark, sf_dir))
+    return corpus.longs(retrieval.passage_ranks(_questions(spark, sf_dir), _chunks(spark, sf_dir)), "chunk_rank")
 
 
 def _ranked(spark, sf_dir):
@@ -107,7 +107,7 @@ ranked as materialized (select qid, id, rank_lex, rank_vec, chunk_rank, rrf, row
 @query(sql("select qid, id, rank_lex, rank_vec, chunk_rank, rrf, place from ranked", SQL_TERMS, SQL_WORDS, SQL_REL, SQL_VEC, SQL_PASSAGES, SQL_HYBRID))
 def hybrid_ranks(spark, sf_dir):
     """Reciprocal rank fusion of lexical, vector and passage ranks of every item for every question."""
-    return _ranked(spark, sf_dir)
+    return corpus.longs(_ranked(spark, sf_dir), "rank_lex", "rank_vec", "chunk_rank", "place")
 
 
 @query(f"with {SQL_PASSAGES} select qid, min(id) as id from best where chunk_rank = 1 group by 1 having count(*) = 1")
@@ -129,7 +129,7 @@ pins as materialized (select conv_id, id, row_number() over (partition by conv_i
 
 @query(f"with {SQL_PINS} select conv_id, id, place from pins where place <= 3")
 def history_pins(spark, sf_dir):
-    return retrieval.pins(_history(spark, sf_dir))
+    return corpus.longs(retrieval.pins(_history(spark, sf_dir)), "place")
 
 
 @query(sql("""select qid, id, row_number() over (partition by qid order by last, o) as n, depth from (
@@ -143,7 +143,7 @@ def answer_context(spark, sf_dir):
     q = read(spark, sf_dir, "benchmark")
     refs = q.select(F.col("item_id").alias("qid"), F.col("item_id").alias("id"), F.lit(1).alias("place"))
     pinned = retrieval.pins(_history(spark, sf_dir)).withColumnRenamed("conv_id", "qid").join(q.select(F.col("item_id").alias("qid")), "qid", "left_semi")
-    return retrieval.context(_ranked(spark, sf_dir).select("qid", "id", "place"), refs, pinned)
+    return corpus.longs(retrieval.context(_ranked(spark, sf_dir).select("qid", "id", "place"), refs, pinned), "n")
 
 
 def _answers(spark, sf_dir):
@@ -160,7 +160,7 @@ def answer_citations(spark, sf_dir):
     """Markers resolved over a mapping of five numbers."""
     answers = _answers(spark, sf_dir)
     mapping = answers.select("aid", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")).withColumn("id", F.col("aid") * 10 + F.col("n"))
-    return retrieval.citations(answers, mapping)
+    return corpus.longs(retrieval.citations(answers, mapping), "n")
 
 
 @query(f"with {SQL_ANSWERS} select aid, trim(regexp_replace(regexp_replace(replace(replace('See [' || x || '] and [' || y || '] , again [' || x || '] .', case when x > 5 then '[' || x || ']' else '#' end, ''), case when y < 1 then '[' || y || ']' else '#' end, ''), ' +([.,;:!?])', '\\1', 'g'), ' {{2,}}', ' ', 'g')) as answer from answers")

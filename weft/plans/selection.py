@@ -41,7 +41,7 @@ chosen as materialized (select subscriber, id, role, place, min(place) over (par
 @query(sql("select subscriber, id, role, place, section, overflow from chosen", corpus.SQL_SUBSCRIBERS, corpus.SQL_DELIVERIES, SQL_DIGEST))
 def digests(spark, sf_dir):
     """The items of each subscriber's digest."""
-    return digest.select(corpus.subscribers(spark, sf_dir), items(spark, sf_dir), corpus.deliveries(spark, sf_dir))
+    return corpus.longs(digest.select(corpus.subscribers(spark, sf_dir), items(spark, sf_dir), corpus.deliveries(spark, sf_dir)), "place", "section")
 
 
 NOW = "2024-01-20 00:00:00"
@@ -86,4 +86,4 @@ def top_event_types(spark, sf_dir):
 
     counts = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))
-    return counts.withColumn("place", place).where("place <= 2")
+    return corpus.longs(counts.withColumn("place", place).where("place <= 2"), "place")
