@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from weft.functions import rendering as R
 from weft.operators import answers as A
+from weft.operators import catalog
+from weft.sources import sinks
 
 
 def lit(spark, *columns):
@@ -71,3 +73,30 @@ def test_checks(spark):
     scenarios = spark.createDataFrame([("a", "global", [1], None, []), ("a", "global", [1], None, []), ("b", "odd", [9], 3, [9]), ("c", "insight", [1], None, [])], "id string, mode string, must_have array<long>, anchor long, cited array<long>")
     found = {(r.id, r.problem) for r in A.integrity(scenarios, spark.range(5)).collect()}
     assert found == {("a", "repeated id"), ("b", "unknown mode"), ("b", "label outside the corpus"), ("b", "anchor and mode disagree"), ("b", "label already cited"), ("c", "anchor and mode disagree")}
+
+
+def test_sinks(spark, tmp_path):
+    vectors = spark.createDataFrame([(1, [0.12345678, 1.0])], "id long, embedding array<double>")
+    sinks.write_vectors(vectors, str(tmp_path / "v"))
+    assert spark.read.json(str(tmp_path / "v")).first().embedding == [0.123457, 1.0]
+    ranks = spark.createDataFrame([(1, 5, 2), (1, 6, 1)], "qid long, id long, chunk_rank long")
+    sinks.write_ranks(ranks, str(tmp_path / "r"), [2000, 2400, 300], "m")
+    assert spark.read.json(str(tmp_path / "r/meta")).first().n_ranks == 2 and spark.read.json(str(tmp_path / "r/ranks")).first().ranks.asDict() == {"5": 2, "6": 1}
+
+    def send(who, lines):
+        if who == "c":
+            raise OSError("down")
+        return len(lines) > 0
+
+    digests = spark.createDataFrame([("a", ["x"]), ("b", []), ("c", ["y"])], "subscriber string, lines array<string>")
+    assert sorted(tuple(r) for r in sinks.deliver(digests, send).collect()) == [("a", True), ("b", False), ("c", False)]
+    messages = spark.createDataFrame([([("user", str(i), True) for i in range(60)],)], "m array<struct<role: string, content: string, pending: boolean>>")
+    tail = messages.select(sinks.session_tail(F.col("m")).alias("t")).first().t
+    assert len(tail) == 50 and tail[0].content == "10" and "pending" not in tail[0].asDict()
+
+
+def test_serialised(spark):
+    items = spark.createDataFrame([(1, 7)], "id long, document_id long")
+    docs = spark.createDataFrame([(7, 3, "<img src='a.png'>", "", None)], "document_id long, source_id long, raw string, normalised string, metadata_image string")
+    out = catalog.serialised(items, docs, spark.createDataFrame([(3, "n", "high")], "source_id long, name string, trust_tier string")).first()
+    assert (out.content_text, out.image, out.name) == ("<img src='a.png'>", "a.png", "n")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft import vocab
+from weft.functions import text
 from weft.functions.scoring import lookup
 
 
@@ -95,3 +96,19 @@ def page_links(pages: DataFrame, reach: int = 1) -> DataFrame:
     marked = kept.withColumn("gap", F.col("n") - F.lag("n").over(of) > 1)
     shown = marked.select("pages", "current", "n", F.explode(F.when(F.col("gap"), F.array(F.lit("…"), F.col("n").cast("string"))).otherwise(F.array(F.col("n").cast("string")))).alias("label"))
     return shown.select("pages", "current", F.row_number().over(Window.partitionBy("pages", "current").orderBy("n", F.col("label") != "…")).alias("pos"), "label")
+
+
+def serialised(items: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """Items as they are served: with their source's name and trust tier, the text (normalised, else raw) and main image of their document.
+
+    items (id, document_id, ...), documents (document_id, source_id, raw, normalised, metadata_image), sources (source_id, name, trust_tier).
+    """
+    joined = items.join(documents, "document_id").join(sources, "source_id")
+    shown = F.when(F.coalesce("normalised", F.lit("")) != "", F.col("normalised")).otherwise(F.col("raw"))
+    return joined.withColumn("content_text", shown).withColumn("image", text.primary_image(F.col("raw"), F.col("metadata_image"))).drop("raw", "normalised", "metadata_image")
+
+
+def facets(counts: DataFrame, search: str = "", limit: int = 12) -> DataFrame:
+    """Sources (name, n_items) whose name contains search: the first limit with items by count, then name, and those without."""
+    found = counts.where(F.contains(F.lower("name"), F.lit(search.lower()))).withColumn("has_items", F.col("n_items") > 0)
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("has_items").orderBy(F.desc("n_items"), "name"))).where(F.col("place") <= limit)

@@ -115,3 +115,15 @@ def citations(answers: DataFrame, mapping: DataFrame) -> DataFrame:
     found = answers.select("aid", F.posexplode(text.markers(F.col("answer"))).alias("pos", "n"))
     first = found.groupBy("aid", "n").agg(F.min("pos").alias("pos")).join(mapping, ["aid", "n"])
     return first.select("aid", "n", "id", F.row_number().over(Window.partitionBy("aid").orderBy("pos")).alias("place"))
+
+
+def missing_roles(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, role): roles asked for, asked (qid, roles), that no item (roles) has."""
+    held = items.select(F.explode("roles").alias("role")).distinct()
+    return asked.select("qid", F.explode(F.array_distinct("roles")).alias("role")).join(held, "role", "left_anti").select("qid", "role")
+
+
+def hidden(relevant: DataFrame, shown: DataFrame) -> DataFrame:
+    """(qid, matched, hidden): items with a term of the question, and those of them that the context shows nowhere."""
+    seen = shown.select("qid", "id", F.lit(1).alias("seen"))
+    return relevant.join(seen, ["qid", "id"], "left").groupBy("qid").agg(F.count("*").alias("matched"), F.count_if(F.col("seen").isNull()).alias("hidden"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft import vocab
 from weft.functions import rendering, text
-from weft.operators import answers
+from weft.operators import answers, catalog, retrieval
 from weft.plans import corpus, language
 from weft.plans.corpus import items, read, sql, sql_list
 from weft.sources import entries
@@ -95,3 +95,23 @@ def streamed_fingerprints(spark, sf_dir):
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     folder = os.path.join(root, f"weft-stream-{uuid.uuid4().hex}")
     return streams.drained(streams.fresh_entries(stream, F.expr("timestamp_ntz'2024-01-01'"), 3650).select("fingerprint"), folder)
+
+
+@query("with " + "named as (select conv_id as qid, unnest(list_distinct([" + corpus.sql_pick(vocab.TARGET_ROLES, "conv_id + turn") + ", " + corpus.sql_pick(vocab.ROLES, "turn") + "])) as role from conversations) select distinct qid, role from named where role not in (" + ", ".join(map(corpus.sql_text, vocab.ROLES)) + ")")
+def missing_roles(spark, sf_dir):
+    """Roles named in a conversation that no item is for."""
+    asked = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.array(corpus.pick(vocab.TARGET_ROLES, F.col("conv_id") + F.col("turn")), corpus.pick(vocab.ROLES, F.col("turn"))).alias("roles"))
+    return retrieval.missing_roles(asked, items(spark, sf_dir)).distinct()
+
+
+@query(sql("select qid, count(*) as matched, count(*) filter (id % 3 <> 0) as hidden from rel group by 1", language.SQL_TERMS, language.SQL_WORDS, language.SQL_REL))
+def hidden_matches(spark, sf_dir):
+    """Items that match a question, and those outside what is shown: every third item."""
+    relevant = retrieval.relevance(language._questions(spark, sf_dir), language._searched(spark, sf_dir))
+    return retrieval.hidden(relevant, relevant.where("id % 3 = 0"))
+
+
+@query("select source as name, count(*) as n_items, true as has_items, row_number() over (order by count(*) desc, source) as place from documents where contains(source, '1') group by 1 qualify row_number() over (order by count(*) desc, source) <= 12")
+def source_facets(spark, sf_dir):
+    counts = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n_items"))
+    return corpus.longs(catalog.facets(counts, "1"), "place")
