@@ -185,14 +185,15 @@ def links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float |
     else:
         tile, offsets = _popcounts(SEGMENTS), _half_ball(SEGMENTS, radius)
     tiled = distinct.select("fp", tile.alias("tile"))
-    counts = cut(tiled.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).alias("k")))
+    # at most 17 ** SEGMENTS population counts, or a hundred sizes: bounded whatever the table
+    counts = F.broadcast(cut(tiled.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).alias("k"))))
     blocks = cut(
         tiled.join(counts, "tile").withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("k")))
         .groupBy("tile", "sub").agg(F.collect_list("fp").alias("fps"))
     )
     moved = blocks.select("tile", "sub", F.col("fps").alias("a_fps"), F.explode(F.array(*[F.array(*map(F.lit, p)) for p in offsets])).alias("by"))
     moved = moved.select(F.zip_with("tile", "by", lambda x, y: x + y).alias("to"), "sub", "a_fps", F.exists("by", lambda x: x != 0).alias("other"))
-    groups = counts.select(F.col("tile").alias("to"), F.ceil(F.col("k") / MEET).alias("g"))
+    groups = F.broadcast(counts.select(F.col("tile").alias("to"), F.ceil(F.col("k") / MEET).alias("g")))
     left = moved.join(groups, "to").select("to", "sub", "a_fps", "other", F.explode(F.sequence(F.lit(0), (F.col("g") - 1).cast("int"))).alias("part"))
     right = blocks.join(counts, "tile").select(F.col("tile").alias("to"), F.col("sub").alias("b_sub"), F.col("fps").alias("b_fps"), F.pmod("sub", F.ceil(F.col("k") / MEET)).cast("int").alias("part"))
     met = left.join(right, ["to", "part"]).where(F.col("other") | (F.col("sub") <= F.col("b_sub")))
