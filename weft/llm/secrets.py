@@ -14,13 +14,16 @@ from weft.llm.common import whole_text
 
 #: Characters before a candidate that count as its neighbourhood.
 BEFORE = 64
-#: A candidate: 16 or more token characters in a run with a digit; its whole run, however long.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}"
+#: A candidate: what is assigned to a secret's name, of 8 characters or more up to space or punctuation; or 16 or more
+#: token characters in a run with a digit, its whole run, however long.
+NAMED = r"(?<=\b(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'<>,;]{7,}[^\s\"'<>,;.!?)]"
+RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}"
+CANDIDATE = f"{NAMED}|{RUN}"
 #: The last two words before a candidate.
 NEAR = r"(?:[a-z0-9_\-]+[^a-z0-9_\-]+)?[a-z0-9_\-]*[^a-z0-9_\-]*$"
 TREES, DEPTH, SEED = 9, 5, 11
 #: Labelled findings that the forest is fitted on: this many, half of them secrets. A bound, whatever the corpus.
-FINDINGS = 6000
+FINDINGS = 10_000
 MASK = "[SECRET]"
 
 # Words near secrets, words near harmless codes, prefixes of issued keys, and common word parts.
@@ -30,7 +33,7 @@ PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk_live_", "sk-", "xoxb-",
 WORD_PARTS = [
     "example", "sample", "test", "your", "insert", "here", "change", "dummy", "placeholder", "password", "secret", "token", "key", "user", "name", "file",
     "page", "index", "image", "data", "docs", "article", "chapter", "version", "release", "build", "tion", "ing", "the", "and", "ent", "ment", "able",
-    "ness", "ist", "ver", "ung", "heit", "keit", "lich", "eau", "elle", "eux", "que", "aux", "ado", "cion", "mente", "oso", "idad", "xxx", "abc", "123", "000",
+    "ness", "ist", "ver", "ung", "heit", "keit", "lich", "eau", "elle", "eux", "que", "aux", "ado", "cion", "mente", "oso", "idad", "xxx",
 ]
 FEATURES = ["length", "digits", "letters", "classes", "transitions", "coverage", "path", "keyword", "harmless", "prefix", "assigned", "quoted", "run"]
 
@@ -85,22 +88,24 @@ def candidates(text: Column) -> Column:
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """(value, before, label): n findings made by rule from their number, half of them secrets.
 
-    Secrets are random hex, base64 and issued keys after a keyword and an assignment; the others are checksums,
-    revisions, addresses, dated names, placeholders and compounds of word parts, some after a keyword too.
+    Secrets are random hex and base64 after a keyword and an assignment, and issued keys anywhere; the others are checksums,
+    revisions, addresses, long numbers, dated names, placeholders and compounds of word parts, some after a keyword too.
     """
     k = F.col("id")
     digest = lambda salt, size=256: F.sha2(F.concat(F.lit(salt), k.cast("string")), size)
     roll = lambda salt, of: F.pmod(F.xxhash64(k, F.lit(salt)), F.lit(of)).cast("int")
     pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), roll(salt, len(words)) + 1)
-    b64 = F.regexp_replace(F.base64(F.unhex(digest("b"))), "=+$", "")
+    b64 = F.regexp_replace(F.base64(F.unhex(F.concat(digest("b"), digest("c")))), "=+$", "")
+    capitals = F.regexp_replace(F.upper(b64), "[+/]", "")
     lead = F.element_at(F.array(*map(F.lit, ["the words of ", "", "a long line that ends.\n", "on | in | at | ", "of: "])), roll("lead", 5) + 1)
     size = F.lit(20) + roll("size", 41)
+    issued = F.when(roll("aws", 2) == 0, F.concat(pick(PREFIXES[:2], "p"), F.substring(capitals, 1, 16))).otherwise(F.concat(pick(PREFIXES[2:], "p"), F.substring(b64, F.lit(1), F.lit(16) + roll("size", 20))))
     secret = (
-        F.when(roll("kind", 6) < 2, F.substring(digest("a"), 1, 40))
-        .when(roll("kind", 6) == 2, F.substring(digest("a"), F.lit(1), size))
-        .when(roll("kind", 6) == 3, F.substring(F.concat(b64, b64), F.lit(1), size))
-        .otherwise(F.concat(pick(PREFIXES, "p"), F.substring(F.concat(b64, b64), F.lit(1), F.lit(16) + roll("size", 20))))
+        F.when(roll("kind", 10) < 2, F.substring(digest("a"), 1, 40)).when(roll("kind", 10) == 2, F.substring(digest("a"), F.lit(1), size))
+        .when(roll("kind", 10) == 3, F.substring(b64, F.lit(1), size)).when(roll("kind", 10) < 7, F.substring(digest("a"), F.lit(1), F.lit(10) + roll("size", 14))).otherwise(issued)
     )
+    # keys of an issuer stand anywhere; other secrets are assigned to a name
+    bare = (roll("kind", 10) > 6) & (roll("bare", 3) > 0)
     sign = pick([" = \"", "=", ": ", " = '", ":\"", "=\"", " : ", " "], "sign")
     compound = lambda join, m: F.concat_ws(join, *[pick(WORD_PARTS, f"c{i}") for i in range(m)])
     hexes = F.substring(digest("h"), F.lit(1), F.element_at(F.array(*map(F.lit, [16, 32, 40, 64])), roll("hl", 4) + 1))
@@ -111,19 +116,20 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         .when(roll("kind", 7) == 3, F.repeat(pick(["x1", "0", "ab12", "1234567890", "X0"], "rep"), F.lit(12)))
         .when(roll("kind", 7) == 4, F.regexp_replace(F.substring(digest("u"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"))
         .when(roll("kind", 7) == 5, F.concat(F.lit("/"), compound("/", 4), F.lit("/v"), roll("num", 90).cast("string")))
-        .otherwise(F.rpad(F.concat(F.lit("1"), F.conv(F.substring(digest("d"), 1, 12), 16, 10)), 18, "7"))
+        .otherwise(F.rpad(F.conv(F.substring(digest("d"), 1, 14), 16, 10), 16 + roll("pad", 3), "7"))
     )
+    prose = pick(["and ", "with ", "der ", "para ", "| ", "(", "ouer ", "que ", "the "], "nw")
     plain_before = (
         F.when((roll("kind", 7) == 0) | (roll("kind", 7) == 4), F.concat(lead, pick(HARMLESS, "hw"), sign))
         .when(roll("kind", 7) == 5, F.concat(lead, F.lit("https://www.example.com")))
         .when(roll("near", 3) == 0, F.concat(lead, pick(KEYWORDS, "kw"), sign))
-        .otherwise(F.concat(lead, pick(["and ", "with ", "der ", "para ", "| ", "(", "ouer "], "nw")))
+        .otherwise(F.concat(lead, prose))
     )
     rows = spark.range(0, n, 1, 4)
     good = k % 2 == 0
     return rows.select(
         F.when(good, secret).otherwise(plain).alias("value"),
-        F.when(good, F.concat(lead, pick(KEYWORDS, "kw"), sign)).otherwise(plain_before).alias("before"),
+        F.when(good & bare, F.concat(lead, prose)).when(good, F.concat(lead, pick(KEYWORDS, "kw"), sign)).otherwise(plain_before).alias("before"),
         F.when(good, 1.0).otherwise(0.0).alias("label"),
     )
 
