@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 
 from weft.llm import secrets as S
 
-PLAIN = regex.compile(S.NAMED + r"|(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}")
+RUN = regex.compile(r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}")
+NAMED = regex.compile(S.NAMED)
+
+
+def plain_candidates(text):
+    named = NAMED.findall(text)
+    return {*named, *[r for r in RUN.findall(text) if not any(r in n for n in named)]}
+
 
 
 def plain_features(value, before):
@@ -33,8 +40,9 @@ def test_candidates_and_features(spark, sf_small):
     got = {(r.doc_id, r.value): r for r in S.scored(docs).collect()}
     want = {}
     for r in docs.select("doc_id", "text").collect():
-        for m in PLAIN.finditer(r.text or ""):
-            want.setdefault((r.doc_id, m[0]), (m.start(), r.text[max(0, m.start() - S.BEFORE) : m.start()]))
+        for value in plain_candidates(r.text or ""):
+            at = r.text.index(value)
+            want[r.doc_id, value] = (at, r.text[max(0, at - S.BEFORE) : at])
     assert set(got) == set(want)
     for k, (start, before) in want.items():
         assert (got[k].start, got[k].before) == (start, before)

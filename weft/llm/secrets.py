@@ -14,11 +14,10 @@ from weft.llm.common import whole_text
 
 #: Characters before a candidate that count as its neighbourhood.
 BEFORE = 64
-#: A candidate: what is assigned to a secret's name, of 8 characters or more up to space or punctuation; or 16 or more
+#: Candidates: what is assigned to a secret's name, of 8 characters or more up to space or punctuation; and 16 or more
 #: token characters in a run with a digit, its whole run, however long.
-NAMED = r"(?<=\b(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'<>,;]{7,}[^\s\"'<>,;.!?)]"
+NAMED = r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?([^\s\"'<>,;]{7,}[^\s\"'<>,;.!?)])"
 RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}"
-CANDIDATE = f"{NAMED}|{RUN}"
 #: The last two words before a candidate.
 NEAR = r"(?:[a-z0-9_\-]+[^a-z0-9_\-]+)?[a-z0-9_\-]*[^a-z0-9_\-]*$"
 TREES, DEPTH, SEED = 9, 5, 11
@@ -73,8 +72,9 @@ def features(value: Column, before: Column) -> list[Column]:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<value, start, occurrences, before>> of the distinct candidates of a text; start counts from 0."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    """array<struct<value, start, occurrences, before>> of the distinct candidates of a text, runs inside named values out; start counts from 0."""
+    named, runs = F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)), F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+    found = F.array_distinct(F.concat(named, F.filter(runs, lambda r: ~F.exists(named, lambda n: F.contains(n, r)))))
 
     def entry(value: Column) -> Column:
         at = F.locate_column(value, text) if hasattr(F, "locate_column") else F.call_function("locate", value, text)
@@ -203,8 +203,8 @@ def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", mask
     text = F.col(text_col)
     described = F.transform(candidates(whole_text(text_col)), lambda c: F.struct(c["value"].alias("value"), *[f.alias(n) for n, f in zip(FEATURES, features(c["value"], c["before"]))]))
     vote = re.sub(r"\b(" + "|".join(FEATURES) + r")\b", r"c.\1", votes(docs.sparkSession))
-    with_found = docs.withColumn("__weft_found", F.when(text.rlike(CANDIDATE), described))
+    with_found = docs.withColumn("__weft_found", described)
     secrets = F.expr(f"filter(__weft_found, c -> {vote} > {float(threshold)}D)")
     ordered = F.array_sort(F.transform(secrets, lambda c: F.struct((-F.length(c["value"])).alias("n"), c["value"].alias("value"))))
     hidden = F.aggregate(ordered, text, lambda t, c: F.replace(t, c["value"], F.lit(mask)))
-    return with_found.withColumn(text_col, F.when(F.col("__weft_found").isNull(), text).otherwise(hidden)).drop("__weft_found")
+    return with_found.withColumn(text_col, hidden).drop("__weft_found")
