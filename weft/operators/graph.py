@@ -12,9 +12,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b); label is the smallest node reachable.
 
     Least labels of neighbours and one step of pointer jumping a round, so rounds grow with the logarithm of the
-    longest chain; each round is checkpointed. Both joins read tables keyed by node, which the adaptive skew join splits.
+    longest chain; each round is checkpointed. Rows with a null end are left out; self links do no harm. Both joins read tables keyed by node, which the adaptive skew join splits.
     """
-    pairs = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    ends = edges.select("a", "b").where("a is not null and b is not null")
+    pairs = cut(ends.union(ends.select("b", "a")).distinct())
     labels = cut(pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = pairs.join(labels, pairs.b == labels.node).select(F.col("a").alias("node"), "label")

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read back. The folder is the session's; one is set only where there is none."""
+    """df written to the checkpoint folder and read back. The folder is that of spark.checkpoint.dir; one is set only where there is none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "weft-checkpoints"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weft-checkpoints"))
     return df.checkpoint(eager=True)
