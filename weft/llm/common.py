@@ -1,11 +1,12 @@
 """What the operators of this subpackage share: table access, lineage cuts, batch bounds."""
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.lineage import cut
+
+__all__ = ["ARROW_ROWS", "WORD_PATTERN", "arrow_rows", "cut", "partitions", "table", "whole_text"]
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Words of a text: runs of anything but space and U+0009 to U+000D.
@@ -21,17 +22,6 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set(ARROW_ROWS, str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: a lineage cut that survives lost executors.
-
-    The folder is the one of spark.checkpoint.dir; one is made only where that is unset (tests on one machine).
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weft-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def whole_text(column: str = "text"):
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
