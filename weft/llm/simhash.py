@@ -162,10 +162,8 @@ def _compare(words: int, radius: int, first: int):
                 b = a if same else np.frombuffer(b"".join(ys), ">u8").astype(np.uint64).reshape(-1, words)
                 i, j = _forest(a, b, same, radius, first)
                 if len(i):
-                    base = 0 if same else len(xs)
                     pool = xs if same else xs + ys
                     yield pa.RecordBatch.from_arrays([pa.array([pool[k] for k in i], pa.binary()), pa.array([pool[k] for k in j], pa.binary())], ["a", "b"])
-                    del base
 
     return run
 
