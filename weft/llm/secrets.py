@@ -14,9 +14,9 @@ from weft.llm.common import whole_text
 
 #: Characters before a candidate that count as its neighbourhood.
 BEFORE = 64
-#: Candidates: what is assigned to a secret's name, of 8 characters or more up to space or punctuation; and 16 or more
-#: token characters in a run with a digit, its whole run, however long.
-NAMED = r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?([^\s\"'<>,;]{7,}[^\s\"'<>,;.!?)])"
+#: Candidates: what is assigned to a name that ends as a secret's (DB_PASSWORD, client_secret, quoted or not), of 8 characters
+#: or more up to space or punctuation; and 16 or more token characters in a run with a digit, its whole run, however long.
+NAMED = r"(?i)(?:password|passwd|pwd|secret|token|(?:api|access|secret|private)[_\-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?([^\s\"'<>,;]{7,}[^\s\"'<>,;.!?)])"
 RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}"
 #: The last two words before a candidate.
 NEAR = r"(?:[a-z0-9_\-]+[^a-z0-9_\-]+)?[a-z0-9_\-]*[^a-z0-9_\-]*$"
@@ -71,18 +71,43 @@ def features(value: Column, before: Column) -> list[Column]:
     ]
 
 
+def _places(text: Column, value: Column, pattern: Column) -> Column:
+    """struct<starts, befores>: where pattern, a form of value, matches in text, and the BEFORE characters before each match; starts count from 0."""
+    parts = F.split(text, pattern, -1)
+    last = lambda c: F.right(c, F.lit(BEFORE))
+
+    def step(acc: Column, part: Column) -> Column:
+        at, before = acc["at"] + F.length(part), last(F.concat(acc["tail"], part))
+        return F.struct(
+            (at + F.length(value)).alias("at"), last(F.concat(before, value)).alias("tail"),
+            F.concat(acc["starts"], F.array(at)).alias("starts"), F.concat(acc["befores"], F.array(before)).alias("befores"),
+        )
+
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<string>").alias("befores"))
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), empty, step)
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<value, start, occurrences, before>> of the distinct candidates of a text, runs inside named values out; start counts from 0."""
-    named, runs = F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)), F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-    found = F.array_distinct(F.concat(named, F.filter(runs, lambda r: ~F.exists(named, lambda n: F.contains(n, r)))))
+    """array<struct<value, start, occurrences, before, starts, uses>> of the distinct candidates of a text; start counts from 0.
+
+    Runs that stand inside named values only are out. start and before are of the first occurrence and starts of all, those
+    inside longer words too; uses are the different neighbourhoods of the occurrences that are whole words.
+    """
+    runs_of = lambda t: F.regexp_extract_all(t, F.lit(RUN), F.lit(0))
+    named, elsewhere = F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)), runs_of(F.regexp_replace(text, NAMED, " "))
+    found = F.array_distinct(F.concat(named, F.filter(runs_of(text), lambda r: ~F.exists(named, lambda n: F.contains(n, r)) | F.array_contains(elsewhere, r))))
 
     def entry(value: Column) -> Column:
-        at = F.locate_column(value, text) if hasattr(F, "locate_column") else F.call_function("locate", value, text)
-        count = ((F.length(text) - F.length(F.replace(text, value, F.lit("")))) / F.length(value)).cast("int")
-        first = F.greatest(at - BEFORE, F.lit(1))
-        return F.struct(value.alias("value"), (at - 1).alias("start"), count.alias("occurrences"), F.substring(text, first, at - first).alias("before"))
+        literal = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        whole = F.concat(F.lit("(?<![A-Za-z0-9_])"), literal, F.lit("(?:(?<![A-Za-z0-9_])|(?![A-Za-z0-9_]))"))
+        return F.struct(value.alias("value"), _places(text, value, literal).alias("all"), F.array_distinct(_places(text, value, whole)["befores"]).alias("uses"))
 
-    return F.transform(found, entry)
+    def described(c: Column) -> Column:
+        starts, before = c["all"]["starts"], c["all"]["befores"][0]
+        uses = F.when(F.size(c["uses"]) > 0, c["uses"]).otherwise(F.array(before))
+        return F.struct(c["value"].alias("value"), starts[0].alias("start"), F.size(starts).alias("occurrences"), before.alias("before"), starts.alias("starts"), uses.alias("uses"))
+
+    return F.transform(F.transform(found, entry), described)
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -174,37 +199,55 @@ def votes(spark: SparkSession, trees: int = TREES, depth: int = DEPTH, seed: int
     return _votes(spark.sparkContext.applicationId, trees, depth, seed, n)
 
 
+def _score(spark: SparkSession, uses: str) -> str:
+    """SQL of a candidate's score: the most votes that one of its neighbourhoods gets; uses: name of the array of their FEATURES."""
+    vote = re.sub(r"\b(" + "|".join(FEATURES) + r")\b", r"u.\1", votes(spark))
+    return f"array_max(transform({uses}, u -> {vote}))"
+
+
+def _described(text: Column) -> Column:
+    """The candidates of a text with the FEATURES of each neighbourhood in uses."""
+
+    def entry(c: Column) -> Column:
+        uses = F.transform(c["uses"], lambda before: F.struct(*[f.alias(n) for n, f in zip(FEATURES, features(c["value"], before))]))
+        return F.struct(*[c[n].alias(n) for n in ("value", "start", "occurrences", "before", "starts")], uses.alias("uses"))
+
+    return F.transform(candidates(text), entry)
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, value, start, occurrences, before, the FEATURES, score): every distinct candidate of every whole text."""
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(candidates(whole_text(text_col))).alias("c")).select("doc_id", "c.*")
+    """(doc_id, value, start, occurrences, before, starts, uses, the FEATURES, score): every distinct candidate of every whole text.
+
+    The FEATURES are of the first occurrence; score is the highest of all occurrences that are whole words.
+    """
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(_described(whole_text(text_col))).alias("c")).select("doc_id", "c.*")
     described = found.select("*", *[c.alias(n) for n, c in zip(FEATURES, features(F.col("value"), F.col("before")))])
-    return described.select("*", F.expr(votes(docs.sparkSession)).alias("score"))
+    return described.select("*", F.expr(_score(docs.sparkSession, "uses")).alias("score"))
 
 
 def findings(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, occurrences, score, is_secret, masked, value_sha256): a row for each distinct candidate of each text.
+    """(doc_id, start, length, occurrences, score, is_secret, masked, value_sha256, starts): a row for each distinct candidate of each text.
 
-    start counts code points to the first occurrence; masked shows the first four characters. is_secret holds
-    where more than threshold of the trees vote for it. Null and empty texts and texts without candidates give
-    no row; null ids and repeated rows are kept; an empty table gives an empty result; other columns are ignored.
+    start counts code points to the first occurrence, starts to each; masked shows the first four characters. Every
+    occurrence is scored in its own neighbourhood: is_secret holds where more than threshold of the trees vote for one
+    of them. Null and empty texts and texts without candidates give no row; null ids and repeated rows are kept; an
+    empty table gives an empty result; other columns are ignored.
     """
     return scored(docs, id_col, text_col).select(
         "doc_id", F.col("start").cast("int").alias("start"), F.length("value").alias("length"), "occurrences", F.round("score", 6).alias("score"),
-        (F.col("score") > threshold).alias("is_secret"), F.concat(F.substring("value", 1, 4), F.lit("***")).alias("masked"), F.sha2("value", 256).alias("value_sha256"),
+        (F.col("score") > threshold).alias("is_secret"), F.concat(F.substring("value", 1, 4), F.lit("***")).alias("masked"), F.sha2("value", 256).alias("value_sha256"), "starts",
     )
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """docs with every secret in text_col replaced by mask, columns and rows as they were; null texts stay null.
 
-    Candidates are found, described and voted on within the row, so no row moves between tasks. Longer secrets
-    are replaced first, so that one inside another leaves nothing behind.
+    Candidates are found, described and voted on within the row, so no row moves between tasks. A value that is a secret
+    in one place is masked in all. Longer secrets are replaced first, so that one inside another leaves nothing behind.
     """
     text = F.col(text_col)
-    described = F.transform(candidates(whole_text(text_col)), lambda c: F.struct(c["value"].alias("value"), *[f.alias(n) for n, f in zip(FEATURES, features(c["value"], c["before"]))]))
-    vote = re.sub(r"\b(" + "|".join(FEATURES) + r")\b", r"c.\1", votes(docs.sparkSession))
-    with_found = docs.withColumn("__weft_found", described)
-    secrets = F.expr(f"filter(__weft_found, c -> {vote} > {float(threshold)}D)")
+    with_found = docs.withColumn("__weft_found", _described(whole_text(text_col)))
+    secrets = F.expr(f"filter(__weft_found, c -> {_score(docs.sparkSession, 'c.uses')} > {float(threshold)}D)")
     ordered = F.array_sort(F.transform(secrets, lambda c: F.struct((-F.length(c["value"])).alias("n"), c["value"].alias("value"))))
     hidden = F.aggregate(ordered, text, lambda t, c: F.replace(t, c["value"], F.lit(mask)))
     return with_found.withColumn(text_col, hidden).drop("__weft_found")
