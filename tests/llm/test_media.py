@@ -51,3 +51,15 @@ def test_hysteresis():
     energy = np.array([0, 0, 0.06, 0.0, -0.04, -0.06, 0.0, 0.04, 0, 0, 0.2, 0.3, 0, 0, 0], dtype=np.float32)
     assert M.segments(energy) == [(2, 5), (10, 15)]
     assert M.segments(np.zeros(5, np.float32)) == []
+
+
+def test_the_query_stores_and_reads_tensors(spark):
+    texts = ["", "a", "long " * 40000, "middling text " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blobs = {r.doc_id: r for r in M.audio_features(docs, with_blobs=True).collect()}
+    for r in M.audio_features(docs).collect():
+        stored = bytes(blobs[r.doc_id].tensors)
+        frames, n = M.from_tensors(stored, r.n_frames)
+        assert r.tensor_sha256 == hashlib.sha256(stored).hexdigest() and r.n_patches == n == pa.ipc.open_stream(io.BytesIO(stored)).read_all().num_rows
+        _, mels, _ = M.analyse(bytes(blobs[r.doc_id].media))
+        assert frames.shape == mels.shape and np.allclose(frames, mels, atol=1e-3) and r.feature == blobs[r.doc_id].feature

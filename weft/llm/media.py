@@ -138,6 +138,18 @@ def tensors(mels: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def from_tensors(stored: bytes, n_frames: int) -> tuple[np.ndarray, int]:
+    """Stored tensors to (log-mel frames, number of patches): each patch gives the frames that those before it lack."""
+    with pa.ipc.open_stream(io.BytesIO(stored)) as reader:
+        batch = reader.read_all().combine_chunks().to_batches()[0]
+    patches = batch.column("log_mel").to_numpy_ndarray()
+    starts = batch.column("start_ms").to_pylist()
+    if starts != [milliseconds(k * PATCH_STEP) for k in range(len(patches))]:
+        raise ValueError("stored patches are not in steps of PATCH_STEP")
+    frames = np.concatenate([patches[0], patches[1:, PATCH - PATCH_STEP :].reshape(-1, MELS)])
+    return frames[:n_frames], len(patches)
+
+
 def analyse(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
     """Stored bytes to (payload, log-mel frames, segments)."""
     payload = from_wav(media)
@@ -146,7 +158,7 @@ def analyse(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
     return payload, mels, segments(energy)
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, spans array<struct<start_ms:long,end_ms:long>>"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, spans array<struct<start_ms:long,end_ms:long>>, n_patches int, tensor_sha256 string"
 
 
 def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_blobs: bool = False) -> DataFrame:
@@ -154,9 +166,10 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The text's UTF-8 bytes, with zero bytes up to a positive multiple of 64, are unsigned 8-bit samples of a WAV
     file. The samples read back are resampled by 2/3 with a polyphase filter, cut into overlapped frames, taken
-    to log-mel energies and segmented by energy with hysteresis. feature sums this up (frames, segments, voiced
-    milliseconds, mean of each log-mel band); spans are the segments. with_blobs adds media (the WAV bytes) and
-    tensors (an Arrow stream with a fixed-shape tensor column log_mel and start_ms, end_ms of each patch).
+    to log-mel energies and segmented by energy with hysteresis. The frames are stored as tensors, an Arrow stream with
+    a fixed-shape tensor column log_mel and start_ms, end_ms of each patch, and read back: feature sums up what was
+    read (frames, segments, voiced milliseconds, mean of each log-mel band), n_patches and tensor_sha256 describe the
+    stored tensors; spans are the segments. with_blobs adds media (the WAV bytes) and tensors.
 
     Null text is the empty text, so 64 zero bytes. Null ids, repeated rows and rows of equal text are kept, the
     latter with equal values; an empty table gives an empty result; other columns are ignored.
@@ -171,10 +184,12 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 payload, mels, found = analyse(media)
                 spans = [{"start_ms": milliseconds(a), "end_ms": milliseconds(b)} for a, b in found]
                 voiced = sum(s["end_ms"] - s["start_ms"] for s in spans)
-                bands = ",".join(f"{round(float(x), 2) + 0.0:.2f}" for x in mels.mean(axis=0, dtype=np.float64))
-                feature = f"frames={len(mels)};segments={len(found)};voiced_ms={voiced};log_mel={bands}"
-                row = (id_.as_py(), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(mels), spans)
-                rows.append((*row, media, tensors(mels)) if with_blobs else row)
+                stored = tensors(mels)
+                frames, n_patches = from_tensors(stored, len(mels))
+                bands = ",".join(f"{round(float(x), 2) + 0.0:.2f}" for x in frames.mean(axis=0, dtype=np.float64))
+                feature = f"frames={len(frames)};segments={len(found)};voiced_ms={voiced};log_mel={bands}"
+                row = (id_.as_py(), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames), spans, n_patches, hashlib.sha256(stored).hexdigest())
+                rows.append((*row, media, stored) if with_blobs else row)
                 if with_blobs and sum(len(r[-1]) + len(r[-2]) for r in rows) > 1 << 25:
                     yield _batch(rows, schema)
                     rows = []
@@ -182,7 +197,7 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield _batch(rows, schema)
 
     span = pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])
-    schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32()), ("spans", pa.list_(span))]
+    schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32()), ("spans", pa.list_(span)), ("n_patches", pa.int32()), ("tensor_sha256", pa.string())]
     schema += [("media", pa.binary()), ("tensors", pa.binary())] if with_blobs else []
     arrow_rows(docs.sparkSession, 256)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
