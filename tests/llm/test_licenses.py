@@ -57,3 +57,15 @@ def test_shared_run_shares_a_fingerprint():
     for a in range(0, len(ids) - 4):
         at, h = index.winnow(np.array([0, 0] + ids[a : a + L.GRAM + L.WINDOW - 1] + [0]))
         assert np.isin(h, index.hashes).any()
+
+
+def test_back_to_back_notices():
+    index = L.Index(L.TEMPLATES)
+    for name, notice in L.TEMPLATES:
+        for text in (f"{notice}\n" * 5, f"{notice} of " * 4, f"{notice}\nand\n{notice}"):
+            n = text.count(notice)
+            rows = L.scan(text, index)
+            spans = [text[a:b] for *_, a, b in rows]
+            assert [r[0] for r in rows] == [name] * n and len({x.lower() for x in spans}) == 1, (name, rows)
+    mixed = "Released under the MIT License.\nLicensed under CC BY 4.0.\n" * 200
+    assert [r[0] for r in L.scan(mixed, index)] == ["MIT", "CC-BY-4.0"] * 200

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -98,8 +99,8 @@ class Index:
         least = least[ok[least]]
         return least, h[least]
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(template, diagonal, first and last word of the region) where enough of its fingerprints lie together."""
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int, int, list[int]]]:
+        """(template, diagonal, least and greatest diagonal of the region, words of its hits) where enough of its fingerprints lie together."""
         at, h = self.winnow(ids)
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         seen = np.flatnonzero(hi > lo)
@@ -117,7 +118,7 @@ class Index:
                     group = found[start:k]
                     if len({p for _, p in group}) >= need:
                         low, high = group[0][0], group[-1][0]
-                        out.append((t, (low + high) // 2, low, high))
+                        out.append((t, (low + high) // 2, low, high, sorted({p for _, p in group})))
                     start = k
         return out
 
@@ -126,17 +127,18 @@ def band(size: int) -> int:
     return max(BAND_LEAST, int(BAND_SHARE * size))
 
 
-def align(template: list[int], ids: np.ndarray, diagonal: int, width: int) -> tuple[int, int, int]:
+def align(template: list[int], ids: np.ndarray, diagonal: int, width: int, first: int = 0, stop: int | None = None) -> tuple[int, int, int]:
     """Best local alignment of a template to words near a diagonal: (words matched, first word, end word).
 
-    Only cells whose word position is within width of template position + diagonal are filled. Equal scores
-    prefer more matches, then the earlier end.
+    Only cells whose word position is within width of template position + diagonal, and from first up to stop, are
+    filled. Equal scores prefer more matches, then the earlier end.
     """
+    stop = len(ids) if stop is None else stop
     zero = (0, 0, -1)
     best, last = zero, {}
     for i, w in enumerate(template):
         row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + diagonal - width), min(len(ids), i + diagonal + width + 1)):
+        for j in range(max(first, i + diagonal - width), min(stop, i + diagonal + width + 1)):
             score, matched, start = last.get(j - 1, zero)
             if w and ids[j] == w:
                 cell = (score + MATCH, matched + 1, start if score > 0 else j)
@@ -154,6 +156,35 @@ def align(template: list[int], ids: np.ndarray, diagonal: int, width: int) -> tu
     return (best[1], best[2], end) if best[0] > 0 else (0, 0, 0)
 
 
+def matches(template: list[int], ids: np.ndarray, diagonal: int, width: int, hits: list[int]) -> list[tuple[int, int, int]]:
+    """(words matched, first word, end word) of the region's best alignment and of others that share no word with it or one another.
+
+    Every hit that lies in no alignment yet is tried again among the free words around it, as far as an alignment reaches.
+    """
+    reach = 3 * len(template)  # an alignment has under one gap for each point of its matches
+    starts: list[int] = []
+    ends: list[int] = []
+    found: list[tuple[int, int, int]] = []
+
+    def add(first: int, stop: int) -> bool:
+        matched, start, end = align(template, ids, diagonal, width, first, stop)
+        if matched < COVERAGE * len(template):
+            return False
+        k = bisect_left(starts, start)
+        starts.insert(k, start), ends.insert(k, end), found.append((matched, start, end))
+        return True
+
+    if not add(0, len(ids)):
+        return found
+    for at in hits:
+        while True:
+            k = bisect_right(starts, at)
+            free = ends[k - 1] if k else 0
+            if at < free or not add(max(free, at - reach), min(at + reach, starts[k] if k < len(starts) else len(ids))):
+                break
+    return found
+
+
 def scan(text: str, index: Index) -> list[tuple[str, int, float, int, int, int]]:
     """(license, template, coverage, matched words, start, end in characters) of a text, in text order.
 
@@ -162,15 +193,17 @@ def scan(text: str, index: Index) -> list[tuple[str, int, float, int, int, int]]
     words = WORD.findall(text.lower())
     ids = np.fromiter(map(index.vocab.get, words, [0] * len(words)), np.int64, len(words))
     found = []
-    for t, diagonal, low, high in index.candidates(ids):
+    for t, diagonal, low, high, hits in index.candidates(ids):
         template = index.words[t]
-        matched, start, end = align(template, ids, diagonal, band(len(template)) + (high - low + 1) // 2)
-        if matched >= COVERAGE * len(template):
+        for matched, start, end in matches(template, ids, diagonal, band(len(template)) + (high - low + 1) // 2, hits):
             found.append((matched, matched / len(template), t, start, end))
     kept: list[tuple] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for m in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[3])):
-        if all(m[4] <= k[3] or m[3] >= k[4] for k in kept):
-            kept.append(m)
+        k = bisect_left(starts, m[4])
+        if not k or ends[k - 1] <= m[3]:
+            starts.insert(k, m[3]), ends.insert(k, m[4]), kept.append(m)
     if not kept:
         return []
     spans = [m.span() for m in WORD.finditer(text)]
