@@ -87,3 +87,28 @@ def test_exact_similarity_check(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words))], "doc_id long, text string")
     out = result(simhash.near_duplicates(docs, width=5, radius=56, words=4, min_jaccard=0.8))
     assert [out[i][1] for i in (1, 2, 3, 4)] == [1, 1, 3, 1]
+
+
+def brute_similar(rows, width, radius, words, least):
+    """Components by all pairs of shingle sets, fingerprints of the sets."""
+    sets = {i: set(simhash.shingle_hashes(t or "", width)) for i, t in rows}
+    fps = {i: int.from_bytes(simhash.fingerprint(sorted(x), words), "big") for i, x in sets.items()}
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= radius and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if label[i] != label[j] and near(i, j):
+                    label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_repeated_blocks_count_once(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, line = text(100), text(150), text(80), text(12)
+    rows = [(1, a), (2, " ".join([a] * 3)), (3, " ".join([a] * 9)), (4, b), (5, f"{b} {line} {line}"), (6, " ".join([b] + [line] * 20)), (7, c), (8, " ".join(["x"] * 400)), (9, " ".join(["x"] * 9)), (10, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {i: c for i, (_, c) in result(simhash.near_duplicates(docs, 5, 52, 4, 0.8)).items()}
+    assert got == brute_similar(rows, 5, 52, 4, 0.8)
+    assert got[1] == got[2] == got[3] == 1 and got[4] == got[6] == 4 and got[8] == got[9] == 8

@@ -36,12 +36,12 @@ def shingle_hashes(text: str, width: int, seed: int = SEED) -> list[int]:
     return [digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[width - 1 :])]
 
 
-def fingerprint(hashes: list[int], words: int = 1) -> bytes:
+def fingerprint(hashes: list[int] | np.ndarray, words: int = 1) -> bytes:
     """words x 64 bits, big-endian: a bit is set where it is set in over half the hashes; zero for no hashes.
 
     Bits after the first 64 come from the hashes multiplied by odd numbers, high half folded in.
     """
-    if not hashes:
+    if not len(hashes):
         return bytes(8 * words)
     h = np.array(hashes, dtype=np.uint64)
     out = []
@@ -61,15 +61,28 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp binary, n_shingles) of every document; null text counts as empty."""
+def _set(text: str, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
+
+
+def _name(hashes: np.ndarray) -> bytes:
+    """16 bytes that tell sets of shingles apart."""
+    return xxhash.xxh3_128_digest(hashes.astype(">u8").tobytes(), SEED)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """(doc_id, fp binary, n_shingles) of every document; null text counts as empty.
+
+    With distinct, repeated shingles count once, and fp ends in 16 bytes more that name the set of shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, sizes = [], []
             for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), width)
-                fps.append(fingerprint(hashes, words))
+                hashes = _set(text.as_py(), width) if distinct else shingle_hashes(text.as_py(), width)
+                fps.append(fingerprint(hashes, words) + (_name(hashes) if distinct else b""))
                 sizes.append(len(hashes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "n_shingles"])
 
@@ -152,14 +165,18 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, first: int) -
     return (np.concatenate(left), np.concatenate(right)) if left else (i[:0], j[:0])
 
 
+def _matrix(fps: list[bytes], words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x[: 8 * words] for x in fps), ">u8").astype(np.uint64).reshape(-1, words)
+
+
 def _compare(words: int, radius: int, first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for xs, ys, same in zip(*(batch.column(k) for k in ("a_fps", "b_fps", "same"))):
                 xs, same = [v.as_py() for v in xs.values], same.as_py()
                 ys = xs if same else [v.as_py() for v in ys.values]
-                a = np.frombuffer(b"".join(xs), ">u8").astype(np.uint64).reshape(-1, words)
-                b = a if same else np.frombuffer(b"".join(ys), ">u8").astype(np.uint64).reshape(-1, words)
+                a = _matrix(xs, words)
+                b = a if same else _matrix(ys, words)
                 i, j = _forest(a, b, same, radius, first)
                 if len(i):
                     pool = xs if same else xs + ys
@@ -171,7 +188,7 @@ def _compare(words: int, radius: int, first: int):
 def links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float | None = None, first: int | None = None) -> DataFrame:
     """Links (a, b) between fingerprints of at most radius differing bits that keep every component whole.
 
-    distinct: fp binary, once each (and size long, with size_ratio). A tile holds the fingerprints of equal
+    distinct: fp binary, once each (and size long, with size_ratio); bytes of fp after the fingerprint only name it. A tile holds the fingerprints of equal
     population counts in each of four 16-bit segments; a pair of tiles whose counts differ by more than
     radius in all is skipped, as its fingerprints differ by more bits. With size_ratio, tiles are bins of the
     size by that ratio instead, and bins further apart than one are skipped. Tiles are cut into blocks of
@@ -205,38 +222,51 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, words: int
 
     width: words of a shingle. words: 64-bit words of a fingerprint. radius: fingerprints of so many
     differing bits or fewer link. component_id: the smallest doc_id reachable over links, itself included.
-    min_jaccard: links must also have that Jaccard similarity of their shingle sets, found exactly. Each pair of
-    blocks prefers its shortest links, so a link that fails this check stands in for no shorter one.
+    min_jaccard: links must also have that Jaccard similarity of their shingle sets, found exactly. Fingerprints and
+    sizes are then those of the distinct shingles, and texts of one fingerprint are told apart by their sets. Each pair
+    of blocks prefers its shortest links, so a link that fails this check stands in for no shorter one.
 
     Null texts are empty texts; empty texts have fingerprint zero and link to one another. Rows with a null
     doc_id keep their fingerprint and get a null component_id where nothing else shares it. Repeated rows
     stay; an empty table gives an empty result; other columns are ignored.
     """
-    known = cut(fingerprints(docs, width, words, id_col, text_col))
+    known = cut(fingerprints(docs, width, words, id_col, text_col, bool(min_jaccard)))
     distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("size")))
-    found = links(distinct, radius, words, min_jaccard, None if words == 1 else max(20, radius // words))
+    tried = distinct.where("first_id is not null") if min_jaccard else distinct
+    found = links(tried, radius, words, min_jaccard, None if words == 1 else max(20, radius // words))
     found = cut(found.distinct())
     if min_jaccard:
-        found = cut(_similar(docs, distinct, found, width, min_jaccard, id_col, text_col))
+        found = cut(_similar(docs, distinct, found, width, words, min_jaccard, id_col, text_col))
     labels = components(found)
     named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     named = cut(named)
     least = cut(named.groupBy("label").agg(F.min("first_id").alias("component_id")))
     final = cut(named.join(least, "label").select("fp", "component_id"))
-    return known.join(final, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return known.join(final, "fp").select("doc_id", F.lower(F.hex(F.substring("fp", 1, 8 * words))).alias("fingerprint"), "component_id")
+
 
+def _similar(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The links whose shingle sets have a Jaccard similarity of at least least."""
+    return _judged(found, _sets(docs, distinct, found, width, id_col, text_col), words, least).where("ok").select("a", "b")
 
-def _similar(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The links whose first documents have a Jaccard similarity of at least least."""
-    ids = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "first_id"), "fp")
+
+def _sets(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(name, set) of the shingles of every text in found."""
+    ids = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "first_id"), "fp").select("first_id").distinct()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(t.as_py(), width), dtype=np.uint64)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "set"])
+            sets = [_set(t.as_py(), width) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_name, sets), pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["name", "set"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("first_id"), whole_text(text_col).alias("text")).join(ids, "first_id", "left_semi")
+    return cut(texts.select("text").mapInArrow(shingles, "name binary, set array<long>").dropDuplicates(["name"]))
+
 
-    texts = ids.join(docs.select(F.col(id_col).cast("long").alias("first_id"), whole_text(text_col).alias("text")).dropDuplicates(["first_id"]), "first_id")
-    sets = cut(texts.select("fp", "text").mapInArrow(shingles, "fp binary, set array<long>"))
-    both = found.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+def _judged(found: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b, ok): whether the shingle sets of a link have a Jaccard similarity of at least least."""
+    name = lambda c: F.substring(c, 8 * words + 1, 16)
+    both = found.join(sets.select(F.col("name").alias("a_name"), F.col("set").alias("x")), name("a") == F.col("a_name"))
+    both = both.join(sets.select(F.col("name").alias("b_name"), F.col("set").alias("y")), name("b") == F.col("b_name"))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where((shared >= least * (F.size("x") + F.size("y") - shared)) | (F.size("x") + F.size("y") == 0)).select("a", "b")
+    return both.select("a", "b", ((shared >= least * (F.size("x") + F.size("y") - shared)) | (F.size("x") + F.size("y") == 0)).alias("ok"))
