@@ -94,12 +94,11 @@ def brute_similar(rows, width, radius, words, least):
     sets = {i: set(simhash.shingle_hashes(t or "", width)) for i, t in rows}
     fps = {i: int.from_bytes(simhash.fingerprint(sorted(x), words), "big") for i, x in sets.items()}
     near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= radius and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])
+    linked = [(i, j) for i in sets for j in sets if i < j and near(i, j)]
     label = {i: i for i in sets}
     for _ in sets:
-        for i in sets:
-            for j in sets:
-                if label[i] != label[j] and near(i, j):
-                    label[i] = label[j] = min(label[i], label[j])
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
     return label
 
 
@@ -112,3 +111,18 @@ def test_repeated_blocks_count_once(spark):
     got = {i: c for i, (_, c) in result(simhash.near_duplicates(docs, 5, 52, 4, 0.8)).items()}
     assert got == brute_similar(rows, 5, 52, 4, 0.8)
     assert got[1] == got[2] == got[3] == 1 and got[4] == got[6] == 4 and got[8] == got[9] == 8
+
+
+def test_failed_links_stand_for_no_others(spark):
+    rng = random.Random(23)
+    rows = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(8):
+            words = base[:]
+            for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_similar(rows, 5, 80, 4, 0.8)
+    assert {i: c for i, (_, c) in result(simhash.near_duplicates(docs, 5, 80, 4, 0.8)).items()} == want

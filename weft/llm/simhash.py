@@ -11,15 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_rows, cut, whole_text
+from weft.llm.common import arrow_rows, cut, partitions, whole_text
 from weft.operators.graph import components
 
 #: Fingerprints of one block; a tile with more is cut into several blocks.
 BLOCK = 4096
 #: Blocks of one tile that meet in one task.
 MEET = 8
+#: Candidate links a block pair may return for each of its nodes when it is compared again, before it returns a forest; doubled each time.
+AGAIN = 4
 #: Segments of a fingerprint whose population counts name its tile.
 SEGMENTS = 4
+#: Up to so many links name the sets they need in a broadcast list.
+JUDGED = 200_000
 SEED = 42
 
 
@@ -106,13 +110,19 @@ def _popcounts(segments: int) -> F.Column:
     return F.array(*[F.bit_count(F.shiftrightunsigned(number, step * i).bitwiseAND(F.lit(mask).cast("long"))).cast("int") for i in range(segments)])
 
 
-def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(
+    a: np.ndarray, b: np.ndarray, same: bool, radius: int, first: int, joined: np.ndarray | None = None, failed: np.ndarray | None = None, room: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what links of at most radius bits join, shortest first: at most one less than the nodes.
 
-    a, b: (n, words) uint64. same: b is a. first: bound on the bits that differ in the first word.
+    a, b: (n, words) uint64. same: b is a. first: bound on the bits that differ in the first word. joined: the least node
+    of each node's group, where some are joined already. failed: links left out, as i * nodes + j in order. Up to room
+    links for each node are all returned; a forest stands for more.
     """
     n, base = len(a), 0 if same else len(a)
-    root = np.arange(n + (0 if same else len(b)))
+    start = np.arange(n + (0 if same else len(b))) if joined is None else joined
+    root = start.copy()
+    limit, reduced = max(4, room) * len(root), False
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, (1 << 20) // max(1, len(b)))
     left, right = [], []
@@ -149,17 +159,25 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, first: int) -
         bits = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64)
         ok = bits <= radius
         i, j, bits = i[ok], j[ok] + base, bits[ok]
-        if len(i) > 4 * len(root):  # a dense strip: its own short links stand for it
+        if joined is not None:
+            ok = start[i] != start[j]
+            i, j, bits = i[ok], j[ok], bits[ok]
+        if failed is not None and len(failed):
+            ok = ~np.isin(i * len(root) + j, failed)
+            i, j, bits = i[ok], j[ok], bits[ok]
+        if len(i) > limit:  # a dense strip: its own short links stand for it
             for level in np.unique(bits):
                 union(i[bits == level], j[bits == level])
             i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
             left.clear(), right.clear()
-            root[:] = np.arange(len(root))
+            root[:], reduced = start, True
             bits = np.bitwise_count(a[i] ^ (b[j - base] if not same else a[j])).sum(axis=1, dtype=np.int64)
         found.append((i, j, bits))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     i, j, bits = (np.concatenate(x) for x in zip(*found))
+    if not reduced and len(i) <= room * len(root):
+        return i, j
     for level in np.unique(bits):
         union(i[bits == level], j[bits == level])
     return (np.concatenate(left), np.concatenate(right)) if left else (i[:0], j[:0])
@@ -185,6 +203,56 @@ def _compare(words: int, radius: int, first: int):
     return run
 
 
+def _compare_again(words: int, radius: int, first: int, room: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for xs, ys, same, labels, failed in zip(*(batch.column(k) for k in ("a_fps", "b_fps", "same", "labels", "failed"))):
+                xs, same = xs.as_py(), same.as_py()
+                ys = [] if same else ys.as_py()
+                pool = xs + ys
+                at = {fp: k for k, fp in enumerate(pool)}
+                joined, least = np.arange(len(pool)), {}
+                for k, label in sorted((at[x["fp"]], x["label"]) for x in labels.as_py()):
+                    joined[k] = least.setdefault(label, k)
+                pairs = [sorted((at[x["a"]], at[x["b"]])) for x in failed.as_py()]
+                a = _matrix(xs, words)
+                b = a if same else _matrix(ys, words)
+                i, j = _forest(a, b, same, radius, first, joined, np.unique([i * len(pool) + j for i, j in pairs]), room)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array([pool[k] for k in i], pa.binary()), pa.array([pool[k] for k in j], pa.binary())], ["a", "b"])
+
+    return run
+
+
+def verified_links(blocks: DataFrame, found: DataFrame, judge, radius: int, words: int, first: int) -> DataFrame:
+    """Links (a, b) that judge accepts and that join all that any accepted links of at most radius bits join.
+
+    blocks: (tile, sub, fps) as compared. found: the links of a first comparison. judge: links to (a, b, ok). Block pairs
+    with a link that failed are compared again, without failed links and what is joined already, until none fails.
+    """
+    spark = blocks.sparkSession
+    places = cut(blocks.select("tile", "sub", F.explode("fps").alias("fp")))
+    judged = cut(judge(found))
+    good, bad, room = judged.where("ok").select("a", "b"), None, AGAIN
+    last = judged.where("not ok").select("a", "b")
+    while not last.isEmpty():
+        place = lambda side: places.select(F.col("fp").alias(side), F.struct("tile", "sub").alias(f"{side}_at"))
+        last = last.join(place("a"), "a").join(place("b"), "b").withColumn("new", F.lit(True))
+        bad = cut(last if bad is None else bad.withColumn("new", F.lit(False)).union(last.select(bad.columns)))
+        open_ = bad.groupBy("a_at", "b_at").agg(F.collect_list(F.struct("a", "b")).alias("failed"), F.max("new").alias("new")).where("new")
+        labels = places.join(components(good).select(F.col("node").alias("fp"), "label"), "fp")
+        labels = cut(labels.groupBy(F.struct("tile", "sub").alias("at")).agg(F.collect_list(F.struct("fp", "label")).alias("labels")))
+        fps = blocks.select(F.struct("tile", "sub").alias("at"), "fps").join(labels, "at", "left")
+        side = lambda s: fps.select(F.col("at").alias(f"{s}_at"), F.col("fps").alias(f"{s}_fps"), F.coalesce("labels", F.array().cast(labels.schema["labels"].dataType)).alias(f"{s}_labels"))
+        same = F.col("a_at") == F.col("b_at")
+        met = open_.join(side("a"), "a_at").join(side("b"), "b_at").select("a_fps", "b_fps", same.alias("same"), F.when(same, F.col("a_labels")).otherwise(F.concat("a_labels", "b_labels")).alias("labels"), "failed")
+        arrow_rows(spark, 64)
+        found = cut(met.repartition(partitions(spark)).mapInArrow(_compare_again(words, radius, first, room), "a binary, b binary"))
+        judged = cut(judge(found))
+        good, last, room = cut(good.union(judged.where("ok").select("a", "b"))), judged.where("not ok").select("a", "b"), 2 * room
+    return good
+
+
 def links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float | None = None, first: int | None = None) -> DataFrame:
     """Links (a, b) between fingerprints of at most radius differing bits that keep every component whole.
 
@@ -195,6 +263,11 @@ def links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float |
     BLOCK fingerprints, each pair of blocks is compared whole with exclusive-or and bit counts in numpy, and a
     pair of blocks returns a spanning forest, never all pairs of a group.
     """
+    return _links(distinct, radius, words, size_ratio, first)[0]
+
+
+def _links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float | None = None, first: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The links of links(), and the blocks (tile, sub, fps) that were compared."""
     if size_ratio:
         tile, offsets = F.array(F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(1 / size_ratio)) + 1e-9).cast("int")), [[0], [1]]
     else:
@@ -214,7 +287,7 @@ def links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float |
     met = left.join(right, ["to", "part"]).where(F.col("other") | (F.col("sub") <= F.col("b_sub")))
     met = met.select("a_fps", "b_fps", (~F.col("other") & (F.col("sub") == F.col("b_sub"))).alias("same"))
     arrow_rows(distinct.sparkSession, 64)
-    return met.mapInArrow(_compare(words, radius, radius if first is None else first), "a binary, b binary")
+    return met.mapInArrow(_compare(words, radius, radius if first is None else first), "a binary, b binary"), blocks
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, words: int = 1, min_jaccard: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,8 +296,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, words: int
     width: words of a shingle. words: 64-bit words of a fingerprint. radius: fingerprints of so many
     differing bits or fewer link. component_id: the smallest doc_id reachable over links, itself included.
     min_jaccard: links must also have that Jaccard similarity of their shingle sets, found exactly. Fingerprints and
-    sizes are then those of the distinct shingles, and texts of one fingerprint are told apart by their sets. Each pair
-    of blocks prefers its shortest links, so a link that fails this check stands in for no shorter one.
+    sizes are then those of the distinct shingles, and texts of one fingerprint are told apart by their sets. Blocks with
+    a link that fails this check are compared again without it, so that it stands in for no other.
 
     Null texts are empty texts; empty texts have fingerprint zero and link to one another. Rows with a null
     doc_id keep their fingerprint and get a null component_id where nothing else shares it. Repeated rows
@@ -233,10 +306,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, words: int
     known = cut(fingerprints(docs, width, words, id_col, text_col, bool(min_jaccard)))
     distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("size")))
     tried = distinct.where("first_id is not null") if min_jaccard else distinct
-    found = links(tried, radius, words, min_jaccard, None if words == 1 else max(20, radius // words))
+    first = None if words == 1 else max(20, radius // words)
+    found, blocks = _links(tried, radius, words, min_jaccard, first)
     found = cut(found.distinct())
     if min_jaccard:
-        found = cut(_similar(docs, distinct, found, width, words, min_jaccard, id_col, text_col))
+        sets = _sets(docs, distinct, found, width, id_col, text_col)  # of every text that has a candidate: a forest leaves none out
+        found = verified_links(blocks, found, lambda x: _judged(x, sets, words, min_jaccard), radius, words, radius if first is None else first)
     labels = components(found)
     named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     named = cut(named)
@@ -245,11 +320,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, words: int
     return known.join(final, "fp").select("doc_id", F.lower(F.hex(F.substring("fp", 1, 8 * words))).alias("fingerprint"), "component_id")
 
 
-def _similar(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The links whose shingle sets have a Jaccard similarity of at least least."""
-    return _judged(found, _sets(docs, distinct, found, width, id_col, text_col), words, least).where("ok").select("a", "b")
-
-
 def _sets(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(name, set) of the shingles of every text in found."""
     ids = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "first_id"), "fp").select("first_id").distinct()
@@ -266,6 +336,9 @@ def _sets(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, id
 def _judged(found: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
     """(a, b, ok): whether the shingle sets of a link have a Jaccard similarity of at least least."""
     name = lambda c: F.substring(c, 8 * words + 1, 16)
+    if found.count() <= JUDGED:
+        names = F.broadcast(found.select(F.explode(F.array(name("a"), name("b"))).alias("name")).distinct())
+        sets = sets.join(names, "name", "left_semi")
     both = found.join(sets.select(F.col("name").alias("a_name"), F.col("set").alias("x")), name("a") == F.col("a_name"))
     both = both.join(sets.select(F.col("name").alias("b_name"), F.col("set").alias("y")), name("b") == F.col("b_name"))
     shared = F.size(F.array_intersect("x", "y"))
