@@ -1,9 +1,11 @@
 """The pipeline's stages against brute force, one by one on what the stage before kept."""
 
 import collections
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from weft.llm import mixing, quality, secrets
@@ -92,3 +94,47 @@ def test_odd_documents_pass_every_stage(spark):
         for _, stage in cp.STAGES:
             docs = stage(spark, docs, SF)
         assert docs.count() <= len(data)
+
+
+def row(i, text, source="s"):
+    return (i, text, "en", source, len(text))
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    data = [row(1, a), row(5, a), row(5, b), row(7, c), row(7, c), row(None, c), row(None, "lone words here"), row(None, "lone words here"), row(9, "")]
+    data += [(10, None, "en", "s", None)]
+    docs = spark.createDataFrame(data, table(spark, SF, "documents").schema).withColumn("mark", F.lit(1)).withColumn("label", F.lit("x"))
+    out = cp.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("1", a), ("5", b), ("7", c), ("None", "lone words here"), ("9", "")])
+
+
+def test_mixing_keeps_the_drawn_row_of_an_id(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", F.explode(F.array(F.lit("p"), F.when(F.col("doc_id") % 3 == 0, F.lit("q")))).alias("source"), "n_chars")
+    drawn = mixing.mix(docs, mixing.topics_of(table(spark, SF, "embeddings"))).where("selected").collect()
+    out = cp.mix_sources(spark, docs, SF).collect()
+    key = lambda r: (r.doc_id, r.source or mixing.NONE)
+    assert sorted(map(key, out)) == sorted(map(key, drawn)) and len({r.doc_id for r in out}) < len(out)
+
+
+def test_borderline_clusters_lose_no_link(spark):
+    rng = random.Random(41)
+    data = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(12):
+            words = base[:]
+            for at in rng.sample(range(150), rng.choice([0, 1, 2, 3])):
+                words[at] = f"x{rng.randrange(10**6)}"
+            data.append(row(len(data), " ".join(words)))
+    docs = spark.createDataFrame(data, table(spark, SF, "documents").schema)
+    sets = [shingles(r[1]) for r in data]
+    label = list(range(len(data)))
+    for at in range(0, len(data), 12):
+        for _ in range(12):
+            for i in range(at, at + 12):
+                for j in range(at, i):
+                    if len(sets[i] & sets[j]) >= cp.SIMILARITY * len(sets[i] | sets[j]):
+                        label[i] = label[j] = min(label[i], label[j])
+    assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, SF).collect()} == set(label)

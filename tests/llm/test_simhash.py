@@ -77,6 +77,14 @@ def test_blocks_of_one_tile_all_meet(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, parts))
 
 
+def test_fine_tiles_give_the_same_components(spark, sf_small, monkeypatch):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    want = result(simhash.near_duplicates(docs))
+    monkeypatch.setattr(simhash, "CROWDED", 10)
+    monkeypatch.setattr(simhash, "BROADCAST_TILES", 10)
+    assert result(simhash.near_duplicates(docs)) == want
+
+
 def test_exact_similarity_check(spark):
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**6)}" for _ in range(300)]

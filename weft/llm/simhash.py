@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import arrow_rows, cut, partitions, whole_text
@@ -20,8 +20,10 @@ BLOCK = 4096
 MEET = 8
 #: Candidate links a block pair may return for each of its nodes when it is compared again, before it returns a forest; doubled each time.
 AGAIN = 4
-#: Segments of a fingerprint whose population counts name its tile.
-SEGMENTS = 4
+#: Segments of a fingerprint whose population counts name its tile, and beyond CROWDED fingerprints.
+SEGMENTS, FINE_SEGMENTS, CROWDED = 4, 8, 1 << 24
+#: Counts of up to so many tiles are broadcast: 17 ** SEGMENTS, or a hundred sizes, never are more.
+BROADCAST_TILES = 100_000
 #: Up to so many links name the sets they need in a broadcast list.
 JUDGED = 200_000
 SEED = 42
@@ -76,7 +78,7 @@ def _name(hashes: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """(doc_id, fp binary, n_shingles) of every document; null text counts as empty.
+    """(doc_id, mark, fp binary, n_shingles) of every document; null text counts as empty; mark is the hash of the text.
 
     With distinct, repeated shingles count once, and fp ends in 16 bytes more that name the set of shingles.
     """
@@ -84,15 +86,20 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, sizes = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 hashes = _set(text.as_py(), width) if distinct else shingle_hashes(text.as_py(), width)
                 fps.append(fingerprint(hashes, words) + (_name(hashes) if distinct else b""))
                 sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "mark", "fp", "n_shingles"])
 
     arrow_rows(docs.sparkSession, 512)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp binary, n_shingles long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark(text_col).alias("mark"), whole_text(text_col).alias("text"))
+    return source.mapInArrow(run, "doc_id long, mark long, fp binary, n_shingles long")
+
+
+def mark(text_col: str) -> Column:
+    """With its doc_id, what tells a row from others; rows of equal id and text are repeated rows."""
+    return F.xxhash64(whole_text(text_col))
 
 
 def _half_ball(dims: int, radius: int) -> list[list[int]]:
@@ -111,12 +118,12 @@ def _popcounts(segments: int) -> F.Column:
 
 
 def _forest(
-    a: np.ndarray, b: np.ndarray, same: bool, radius: int, first: int, joined: np.ndarray | None = None, failed: np.ndarray | None = None, room: int = 0
+    a: np.ndarray, b: np.ndarray, same: bool, radius: int, joined: np.ndarray | None = None, failed: np.ndarray | None = None, room: int = 0
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what links of at most radius bits join, shortest first: at most one less than the nodes.
 
-    a, b: (n, words) uint64. same: b is a. first: bound on the bits that differ in the first word. joined: the least node
-    of each node's group, where some are joined already. failed: links left out, as i * nodes + j in order. Up to room
+    a, b: (n, words) uint64. same: b is a. Some word of a link differs by radius / words bits or fewer, so only pairs with
+    such a word are summed up. joined: the least node of each node's group, where some are joined already. failed: links left out, as i * nodes + j in order. Up to room
     links for each node are all returned; a forest stands for more.
     """
     n, base = len(a), 0 if same else len(a)
@@ -149,7 +156,9 @@ def _forest(
 
     for at in range(0, n, step):
         part = a[at : at + step]
-        near = np.bitwise_count(part[:, :1] ^ b[None, :, 0]) <= first
+        near = np.bitwise_count(part[:, :1] ^ b[None, :, 0]) <= radius // a.shape[1]
+        for k in range(1, a.shape[1]):
+            near |= np.bitwise_count(part[:, k : k + 1] ^ b[None, :, k]) <= radius // a.shape[1]
         if same:
             near &= np.arange(len(b))[None, :] > np.arange(at, at + len(part))[:, None]
         i, j = np.nonzero(near)
@@ -187,7 +196,7 @@ def _matrix(fps: list[bytes], words: int) -> np.ndarray:
     return np.frombuffer(b"".join(x[: 8 * words] for x in fps), ">u8").astype(np.uint64).reshape(-1, words)
 
 
-def _compare(words: int, radius: int, first: int):
+def _compare(words: int, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for xs, ys, same in zip(*(batch.column(k) for k in ("a_fps", "b_fps", "same"))):
@@ -195,7 +204,7 @@ def _compare(words: int, radius: int, first: int):
                 ys = xs if same else [v.as_py() for v in ys.values]
                 a = _matrix(xs, words)
                 b = a if same else _matrix(ys, words)
-                i, j = _forest(a, b, same, radius, first)
+                i, j = _forest(a, b, same, radius)
                 if len(i):
                     pool = xs if same else xs + ys
                     yield pa.RecordBatch.from_arrays([pa.array([pool[k] for k in i], pa.binary()), pa.array([pool[k] for k in j], pa.binary())], ["a", "b"])
@@ -203,7 +212,7 @@ def _compare(words: int, radius: int, first: int):
     return run
 
 
-def _compare_again(words: int, radius: int, first: int, room: int):
+def _compare_again(words: int, radius: int, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for xs, ys, same, labels, failed in zip(*(batch.column(k) for k in ("a_fps", "b_fps", "same", "labels", "failed"))):
@@ -217,14 +226,14 @@ def _compare_again(words: int, radius: int, first: int, room: int):
                 pairs = [sorted((at[x["a"]], at[x["b"]])) for x in failed.as_py()]
                 a = _matrix(xs, words)
                 b = a if same else _matrix(ys, words)
-                i, j = _forest(a, b, same, radius, first, joined, np.unique([i * len(pool) + j for i, j in pairs]), room)
+                i, j = _forest(a, b, same, radius, joined, np.unique([i * len(pool) + j for i, j in pairs]), room)
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array([pool[k] for k in i], pa.binary()), pa.array([pool[k] for k in j], pa.binary())], ["a", "b"])
 
     return run
 
 
-def verified_links(blocks: DataFrame, found: DataFrame, judge, radius: int, words: int, first: int) -> DataFrame:
+def verified_links(blocks: DataFrame, found: DataFrame, judge, radius: int, words: int) -> DataFrame:
     """Links (a, b) that judge accepts and that join all that any accepted links of at most radius bits join.
 
     blocks: (tile, sub, fps) as compared. found: the links of a first comparison. judge: links to (a, b, ok). Block pairs
@@ -247,47 +256,50 @@ def verified_links(blocks: DataFrame, found: DataFrame, judge, radius: int, word
         same = F.col("a_at") == F.col("b_at")
         met = open_.join(side("a"), "a_at").join(side("b"), "b_at").select("a_fps", "b_fps", same.alias("same"), F.when(same, F.col("a_labels")).otherwise(F.concat("a_labels", "b_labels")).alias("labels"), "failed")
         arrow_rows(spark, 64)
-        found = cut(met.repartition(partitions(spark)).mapInArrow(_compare_again(words, radius, first, room), "a binary, b binary"))
+        found = cut(met.repartition(partitions(spark)).mapInArrow(_compare_again(words, radius, room), "a binary, b binary"))
         judged = cut(judge(found))
         good, last, room = cut(good.union(judged.where("ok").select("a", "b"))), judged.where("not ok").select("a", "b"), 2 * room
     return good
 
 
-def links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float | None = None, first: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float | None = None) -> DataFrame:
     """Links (a, b) between fingerprints of at most radius differing bits that keep every component whole.
 
     distinct: fp binary, once each (and size long, with size_ratio); bytes of fp after the fingerprint only name it. A tile holds the fingerprints of equal
-    population counts in each of four 16-bit segments; a pair of tiles whose counts differ by more than
+    population counts in each of SEGMENTS segments of the first 64 bits (FINE_SEGMENTS beyond CROWDED fingerprints, which
+    leaves fewer pairs in more tiles and the same links); a pair of tiles whose counts differ by more than
     radius in all is skipped, as its fingerprints differ by more bits. With size_ratio, tiles are bins of the
     size by that ratio instead, and bins further apart than one are skipped. Tiles are cut into blocks of
     BLOCK fingerprints, each pair of blocks is compared whole with exclusive-or and bit counts in numpy, and a
     pair of blocks returns a spanning forest, never all pairs of a group.
     """
-    return _links(distinct, radius, words, size_ratio, first)[0]
+    return _links(distinct, radius, words, size_ratio)[0]
 
 
-def _links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float | None = None, first: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float | None = None) -> tuple[DataFrame, DataFrame]:
     """The links of links(), and the blocks (tile, sub, fps) that were compared."""
     if size_ratio:
         tile, offsets = F.array(F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(1 / size_ratio)) + 1e-9).cast("int")), [[0], [1]]
     else:
-        tile, offsets = _popcounts(SEGMENTS), _half_ball(SEGMENTS, radius)
+        segments = SEGMENTS if distinct.count() <= CROWDED else FINE_SEGMENTS
+        tile, offsets = _popcounts(segments), _half_ball(segments, radius)
     tiled = distinct.select("fp", tile.alias("tile"))
-    # at most 17 ** SEGMENTS population counts, or a hundred sizes: bounded whatever the table
-    counts = F.broadcast(cut(tiled.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).alias("k"))))
+    counts = cut(tiled.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).alias("k")))
+    bounded = F.broadcast if counts.count() <= BROADCAST_TILES else lambda df: df
+    counts = bounded(counts)
     blocks = cut(
         tiled.join(counts, "tile").withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("k")))
         .groupBy("tile", "sub").agg(F.collect_list("fp").alias("fps"))
     )
     moved = blocks.select("tile", "sub", F.col("fps").alias("a_fps"), F.explode(F.array(*[F.array(*map(F.lit, p)) for p in offsets])).alias("by"))
     moved = moved.select(F.zip_with("tile", "by", lambda x, y: x + y).alias("to"), "sub", "a_fps", F.exists("by", lambda x: x != 0).alias("other"))
-    groups = F.broadcast(counts.select(F.col("tile").alias("to"), F.ceil(F.col("k") / MEET).alias("g")))
+    groups = bounded(counts.select(F.col("tile").alias("to"), F.ceil(F.col("k") / MEET).alias("g")))
     left = moved.join(groups, "to").select("to", "sub", "a_fps", "other", F.explode(F.sequence(F.lit(0), (F.col("g") - 1).cast("int"))).alias("part"))
     right = blocks.join(counts, "tile").select(F.col("tile").alias("to"), F.col("sub").alias("b_sub"), F.col("fps").alias("b_fps"), F.pmod("sub", F.ceil(F.col("k") / MEET)).cast("int").alias("part"))
     met = left.join(right, ["to", "part"]).where(F.col("other") | (F.col("sub") <= F.col("b_sub")))
     met = met.select("a_fps", "b_fps", (~F.col("other") & (F.col("sub") == F.col("b_sub"))).alias("same"))
     arrow_rows(distinct.sparkSession, 64)
-    return met.mapInArrow(_compare(words, radius, radius if first is None else first), "a binary, b binary"), blocks
+    return met.mapInArrow(_compare(words, radius), "a binary, b binary"), blocks
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, words: int = 1, min_jaccard: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,33 +315,56 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, words: int
     doc_id keep their fingerprint and get a null component_id where nothing else shares it. Repeated rows
     stay; an empty table gives an empty result; other columns are ignored.
     """
+    known, final = _grouped(docs, width, radius, words, min_jaccard, id_col, text_col)
+    return known.join(final, "fp").select("doc_id", F.lower(F.hex(F.substring("fp", 1, 8 * words))).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, width: int, radius: int, words: int, min_jaccard: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of every row, and (fp, label, component_id) of each distinct one."""
     known = cut(fingerprints(docs, width, words, id_col, text_col, bool(min_jaccard)))
-    distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("size")))
-    tried = distinct.where("first_id is not null") if min_jaccard else distinct
-    first = None if words == 1 else max(20, radius // words)
-    found, blocks = _links(tried, radius, words, min_jaccard, first)
+    distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("mark").alias("mark"), F.min("n_shingles").alias("size")))
+    found, blocks = _links(distinct, radius, words, min_jaccard)
     found = cut(found.distinct())
     if min_jaccard:
-        sets = _sets(docs, distinct, found, width, id_col, text_col)  # of every text that has a candidate: a forest leaves none out
-        found = verified_links(blocks, found, lambda x: _judged(x, sets, words, min_jaccard), radius, words, radius if first is None else first)
+        sets = _sets(docs, distinct, found, width, text_col)  # of every text that has a candidate: a forest leaves none out
+        found = verified_links(blocks, found, lambda x: _judged(x, sets, words, min_jaccard), radius, words)
     labels = components(found)
-    named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    named = cut(named)
+    named = cut(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label")))
     least = cut(named.groupBy("label").agg(F.min("first_id").alias("component_id")))
-    final = cut(named.join(least, "label").select("fp", "component_id"))
-    return known.join(final, "fp").select("doc_id", F.lower(F.hex(F.substring("fp", 1, 8 * words))).alias("fingerprint"), "component_id")
+    return known, cut(named.join(least, "label").select("fp", "label", "component_id"))
 
 
-def _sets(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def survivors(docs: DataFrame, width: int, radius: int, words: int, min_jaccard: float | None, broadcast_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each group of near_duplicates(), columns as they were: that of the smallest id, null ids last.
+
+    Every row is judged by its id and its text, so rows that share an id go or stay each by its own group, and of a
+    repeated row one stays. Up to broadcast_rows rows that go are named in a broadcast list, beyond it by a join.
+    """
+    known, final = _grouped(docs, width, radius, words, min_jaccard, id_col, text_col)
+    rows = known.join(final, "fp").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark").alias("row"))
+    best = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("row").alias("best")).where("n > 1")
+    judged = cut(rows.join(best, "label").groupBy("row").agg(F.min(F.col("row") == F.col("best")).alias("stays"), F.count("*").alias("n")))
+    listed = lambda which: judged.where(which).select(F.col("row.doc_id").alias("__weft_id"), F.col("row.mark").alias("__weft_mark"))
+    out, again = listed("not stays or n > 1"), listed("stays and n > 1")
+    few = out.count() <= broadcast_rows
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("__weft_id")) & (mark(text_col) == F.col("__weft_mark"))
+    kept = docs.join(F.broadcast(out) if few else out, own, "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = docs.join(F.broadcast(again) if few else again, own, "left_semi")
+    return kept.unionByName(repeated.withColumn("__weft_mark", mark(text_col)).dropDuplicates([id_col, "__weft_mark"]).drop("__weft_mark"))
+
+
+def _sets(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, text_col: str) -> DataFrame:
     """(name, set) of the shingles of every text in found."""
-    ids = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "first_id"), "fp").select("first_id").distinct()
+    marks = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "mark"), "fp").select("mark").distinct()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [_set(t.as_py(), width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(map(_name, sets), pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["name", "set"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("first_id"), whole_text(text_col).alias("text")).join(ids, "first_id", "left_semi")
+    texts = docs.select(mark(text_col).alias("mark"), whole_text(text_col).alias("text")).join(marks, "mark", "left_semi")
     return cut(texts.select("text").mapInArrow(shingles, "name binary, set array<long>").dropDuplicates(["name"]))
 
 
