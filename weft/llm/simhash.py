@@ -18,7 +18,7 @@ from weft.operators.graph import components
 BLOCK = 4096
 #: Blocks of one tile that meet in one task.
 MEET = 8
-#: Candidate links a block pair may return for each of its nodes when it is compared again, before it returns a forest; doubled each time.
+#: Candidate links a block pair may return for each of its nodes where links are verified, before it returns a forest; doubled each time.
 AGAIN = 4
 #: Segments of a fingerprint whose population counts name its tile, and beyond CROWDED fingerprints.
 SEGMENTS, FINE_SEGMENTS, CROWDED = 4, 8, 1 << 24
@@ -119,12 +119,12 @@ def _popcounts(segments: int) -> F.Column:
 
 def _forest(
     a: np.ndarray, b: np.ndarray, same: bool, radius: int, joined: np.ndarray | None = None, failed: np.ndarray | None = None, room: int = 0
-) -> tuple[np.ndarray, np.ndarray]:
+) -> tuple[np.ndarray, np.ndarray, bool]:
     """Links that join what links of at most radius bits join, shortest first: at most one less than the nodes.
 
     a, b: (n, words) uint64. same: b is a. Some word of a link differs by radius / words bits or fewer, so only pairs with
     such a word are summed up. joined: the least node of each node's group, where some are joined already. failed: links left out, as i * nodes + j in order. Up to room
-    links for each node are all returned; a forest stands for more.
+    links for each node are all returned; a forest stands for more, and the last value tells whether all are there.
     """
     n, base = len(a), 0 if same else len(a)
     start = np.arange(n + (0 if same else len(b))) if joined is None else joined
@@ -183,20 +183,24 @@ def _forest(
             bits = np.bitwise_count(a[i] ^ (b[j - base] if not same else a[j])).sum(axis=1, dtype=np.int64)
         found.append((i, j, bits))
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), True
     i, j, bits = (np.concatenate(x) for x in zip(*found))
     if not reduced and len(i) <= room * len(root):
-        return i, j
+        return i, j, True
     for level in np.unique(bits):
         union(i[bits == level], j[bits == level])
-    return (np.concatenate(left), np.concatenate(right)) if left else (i[:0], j[:0])
+    return (np.concatenate(left), np.concatenate(right), False) if left else (i[:0], j[:0], True)
+
+
+def _linked(pool: list[bytes], i: np.ndarray, j: np.ndarray, whole: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pool[k] for k in i], pa.binary()), pa.array([pool[k] for k in j], pa.binary()), pa.array([whole] * len(i))], ["a", "b", "whole"])
 
 
 def _matrix(fps: list[bytes], words: int) -> np.ndarray:
     return np.frombuffer(b"".join(x[: 8 * words] for x in fps), ">u8").astype(np.uint64).reshape(-1, words)
 
 
-def _compare(words: int, radius: int):
+def _compare(words: int, radius: int, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for xs, ys, same in zip(*(batch.column(k) for k in ("a_fps", "b_fps", "same"))):
@@ -204,10 +208,9 @@ def _compare(words: int, radius: int):
                 ys = xs if same else [v.as_py() for v in ys.values]
                 a = _matrix(xs, words)
                 b = a if same else _matrix(ys, words)
-                i, j = _forest(a, b, same, radius)
+                i, j, whole = _forest(a, b, same, radius, room=room)
                 if len(i):
-                    pool = xs if same else xs + ys
-                    yield pa.RecordBatch.from_arrays([pa.array([pool[k] for k in i], pa.binary()), pa.array([pool[k] for k in j], pa.binary())], ["a", "b"])
+                    yield _linked(xs if same else xs + ys, i, j, whole)
 
     return run
 
@@ -226,9 +229,9 @@ def _compare_again(words: int, radius: int, room: int):
                 pairs = [sorted((at[x["a"]], at[x["b"]])) for x in failed.as_py()]
                 a = _matrix(xs, words)
                 b = a if same else _matrix(ys, words)
-                i, j = _forest(a, b, same, radius, joined, np.unique([i * len(pool) + j for i, j in pairs]), room)
+                i, j, whole = _forest(a, b, same, radius, joined, np.unique([i * len(pool) + j for i, j in pairs]), room)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array([pool[k] for k in i], pa.binary()), pa.array([pool[k] for k in j], pa.binary())], ["a", "b"])
+                    yield _linked(pool, i, j, whole)
 
     return run
 
@@ -236,14 +239,15 @@ def _compare_again(words: int, radius: int, room: int):
 def verified_links(blocks: DataFrame, found: DataFrame, judge, radius: int, words: int) -> DataFrame:
     """Links (a, b) that judge accepts and that join all that any accepted links of at most radius bits join.
 
-    blocks: (tile, sub, fps) as compared. found: the links of a first comparison. judge: links to (a, b, ok). Block pairs
-    with a link that failed are compared again, without failed links and what is joined already, until none fails.
+    blocks: (tile, sub, fps) as compared. found: the links (a, b, whole) of a first comparison. judge: links to (a, b, whole,
+    ok). Block pairs that returned a forest with a link that failed are compared again, without failed links and what is
+    joined already, until none fails.
     """
     spark = blocks.sparkSession
     places = cut(blocks.select("tile", "sub", F.explode("fps").alias("fp")))
     judged = cut(judge(found))
-    good, bad, room = judged.where("ok").select("a", "b"), None, AGAIN
-    last = judged.where("not ok").select("a", "b")
+    good, bad, room = judged.where("ok").select("a", "b"), None, 2 * AGAIN
+    last = judged.where("not ok and not whole").select("a", "b")
     while not last.isEmpty():
         place = lambda side: places.select(F.col("fp").alias(side), F.struct("tile", "sub").alias(f"{side}_at"))
         last = last.join(place("a"), "a").join(place("b"), "b").withColumn("new", F.lit(True))
@@ -256,9 +260,9 @@ def verified_links(blocks: DataFrame, found: DataFrame, judge, radius: int, word
         same = F.col("a_at") == F.col("b_at")
         met = open_.join(side("a"), "a_at").join(side("b"), "b_at").select("a_fps", "b_fps", same.alias("same"), F.when(same, F.col("a_labels")).otherwise(F.concat("a_labels", "b_labels")).alias("labels"), "failed")
         arrow_rows(spark, 64)
-        found = cut(met.repartition(partitions(spark)).mapInArrow(_compare_again(words, radius, room), "a binary, b binary"))
+        found = cut(met.repartition(partitions(spark)).mapInArrow(_compare_again(words, radius, room), "a binary, b binary, whole boolean"))
         judged = cut(judge(found))
-        good, last, room = cut(good.union(judged.where("ok").select("a", "b"))), judged.where("not ok").select("a", "b"), 2 * room
+        good, last, room = cut(good.union(judged.where("ok").select("a", "b"))), judged.where("not ok and not whole").select("a", "b"), 2 * room
     return good
 
 
@@ -273,11 +277,11 @@ def links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float |
     BLOCK fingerprints, each pair of blocks is compared whole with exclusive-or and bit counts in numpy, and a
     pair of blocks returns a spanning forest, never all pairs of a group.
     """
-    return _links(distinct, radius, words, size_ratio)[0]
+    return _links(distinct, radius, words, size_ratio)[0].select("a", "b")
 
 
-def _links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The links of links(), and the blocks (tile, sub, fps) that were compared."""
+def _links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float | None = None, room: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b, whole) of links(), and the blocks (tile, sub, fps) that were compared; room as in _forest()."""
     if size_ratio:
         tile, offsets = F.array(F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(1 / size_ratio)) + 1e-9).cast("int")), [[0], [1]]
     else:
@@ -299,7 +303,7 @@ def _links(distinct: DataFrame, radius: int, words: int = 1, size_ratio: float |
     met = left.join(right, ["to", "part"]).where(F.col("other") | (F.col("sub") <= F.col("b_sub")))
     met = met.select("a_fps", "b_fps", (~F.col("other") & (F.col("sub") == F.col("b_sub"))).alias("same"))
     arrow_rows(distinct.sparkSession, 64)
-    return met.mapInArrow(_compare(words, radius), "a binary, b binary"), blocks
+    return met.mapInArrow(_compare(words, radius, room), "a binary, b binary, whole boolean"), blocks
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, words: int = 1, min_jaccard: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,12 +327,12 @@ def _grouped(docs: DataFrame, width: int, radius: int, words: int, min_jaccard:
     """The fingerprints of every row, and (fp, label, component_id) of each distinct one."""
     known = cut(fingerprints(docs, width, words, id_col, text_col, bool(min_jaccard)))
     distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("mark").alias("mark"), F.min("n_shingles").alias("size")))
-    found, blocks = _links(distinct, radius, words, min_jaccard)
-    found = cut(found.distinct())
+    found, blocks = _links(distinct, radius, words, min_jaccard, AGAIN if min_jaccard else 0)
+    found = cut(found)
     if min_jaccard:
         sets = _sets(docs, distinct, found, width, text_col)  # of every text that has a candidate: a forest leaves none out
         found = verified_links(blocks, found, lambda x: _judged(x, sets, words, min_jaccard), radius, words)
-    labels = components(found)
+    labels = components(found.select("a", "b"))
     named = cut(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label")))
     least = cut(named.groupBy("label").agg(F.min("first_id").alias("component_id")))
     return known, cut(named.join(least, "label").select("fp", "label", "component_id"))
@@ -369,7 +373,7 @@ def _sets(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, te
 
 
 def _judged(found: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b, ok): whether the shingle sets of a link have a Jaccard similarity of at least least."""
+    """(a, b, whole, ok): whether the shingle sets of a link have a Jaccard similarity of at least least."""
     name = lambda c: F.substring(c, 8 * words + 1, 16)
     if found.count() <= JUDGED:
         names = F.broadcast(found.select(F.explode(F.array(name("a"), name("b"))).alias("name")).distinct())
@@ -377,4 +381,4 @@ def _judged(found: DataFrame, sets: DataFrame, words: int, least: float) -> Data
     both = found.join(sets.select(F.col("name").alias("a_name"), F.col("set").alias("x")), name("a") == F.col("a_name"))
     both = both.join(sets.select(F.col("name").alias("b_name"), F.col("set").alias("y")), name("b") == F.col("b_name"))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", ((shared >= least * (F.size("x") + F.size("y") - shared)) | (F.size("x") + F.size("y") == 0)).alias("ok"))
+    return both.select("a", "b", "whole", ((shared >= least * (F.size("x") + F.size("y") - shared)) | (F.size("x") + F.size("y") == 0)).alias("ok"))
