@@ -2,6 +2,9 @@
 
 import html
 import re
+from collections import Counter
+
+import pyarrow as pa
 
 from weft.llm import html as H
 
@@ -44,6 +47,80 @@ def test_copies_of_an_article_stay_whole(spark):
     assert {r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"A\nSame text"}
 
 
+def text_of(spark, rows):
+    return {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def plain(k):
+    """A page without article, main or telling names: a list of links, a teaser, the text, a closing line, all of them different from page to page."""
+    links = "".join(f"<li><a href=/{k}{i}>go {k} {i}</a>" for i in range(2 + k % 3))
+    body = "".join(f"<p>{' '.join(f'w{k}x{i}x{j}' for j in range(30))}</p>" for i in range(2 + k % 4))
+    extra = f"<div class='legal'><p>Terms of case {k} apply</p></div><div class='related tags'><p>See case {k + 1} too</p></div>" if k % 2 else ""
+    return f"<html><body class='has-sidebar nav-open'><div class=a1><ul>{links}</ul></div><div class=b2>teaser {k}</div><div class='c3 post-header'><h1>Case {k}</h1>{body}{extra}</div><div class=d4>line {k} and the rest</div></body></html>"
+
+
+def plain_text(k):
+    out = [f"Case {k}"] + [" ".join(f"w{k}x{i}x{j}" for j in range(30)) for i in range(2 + k % 4)]
+    return "\n".join(out + ([f"Terms of case {k} apply", f"See case {k + 1} too"] if k % 2 else []))
+
+
+def test_template_alone_finds_the_article(spark):
+    rows = [(k, f"https://plain.example/{k}", plain(k)) for k in range(9)]
+    assert text_of(spark, rows) == {k: plain_text(k) for k in range(9)}
+
+
+def test_result_hangs_on_the_vectors(spark, monkeypatch):
+    rows = [(k, f"https://plain.example/{k}", plain(k)) for k in range(9)]
+    real = H._occurrences
+
+    def blurred(batches):
+        for batch in real(batches):
+            names = batch.schema.names
+            at = names.index("times")
+            columns = [pa.array([7] * batch.num_rows, pa.int32()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    monkeypatch.setattr(H, "_occurrences", blurred)
+    assert text_of(spark, rows) != {k: plain_text(k) for k in range(9)}
+
+
+def brute_template(pages):
+    """Main slots of a host from whole occurrence vectors, classes as sets, orders compared page by page."""
+    paths = H.Paths()
+    seen = [H.blocks(p, paths)[1] for p in pages]
+    nodes = {t: s[t][0] for s in seen for t in s}
+    classes = {}
+    for t in nodes:
+        vector = tuple(s[t][1] if t in s else 0 for s in seen)
+        if sum(v > 0 for v in vector) >= H.SUPPORT * len(pages):
+            classes.setdefault(vector, set()).add(t)
+    good = set()
+    for vector, members in classes.items():
+        orders = Counter(tuple(t for t in s if t in members) for s in seen if members & set(s))
+        if max(vector) == 1 and max(orders.values()) >= H.ORDERED * sum(orders.values()):
+            good |= members
+    chars = {t: sum(s[t][2] for s in seen if t in s) for t in good if not nodes[t].dropped and nodes[t].name in H.HOLDERS}
+    marked = [t for t in chars if nodes[t].name in ("article", "main")]
+    held = [t for t in chars if chars[t] and chars[t] >= H.MAIN_SHARE * max(chars.values())]
+    return sorted(marked, key=lambda t: (-chars[t], nodes[t].label)) + [t for t in sorted(held, key=lambda t: (-nodes[t].label.count("/"), -chars[t], nodes[t].label)) if t not in marked]
+
+
+def test_templates_by_brute_force(spark, sf_small):
+    pages = [(r.url.split("/")[2], r.html) for r in spark.read.parquet(f"{sf_small}/pages.parquet").collect()]
+    pages += [("plain", plain(k)) for k in range(9)] + [("odd", f"<body>{''.join(f'<div class=s{(i + k) % 3}>t{k} {i}</div>' for i in range(3))}</body>") for k in range(6)]
+    df = spark.createDataFrame(pages, "host string, html string").selectExpr("*", "xxhash64(html) as page")
+    got = {r.host: r.main for r in H.templates(df).collect()}
+    want = {}
+    for host in {h for h, _ in pages}:
+        want[host] = brute_template([p for h, p in pages if h == host])
+    assert {h: m for h, m in got.items() if m} == {h: m for h, m in want.items() if m}
+
+
+def test_names_only_label_slots(spark):
+    page = lambda k: f"<body class='nav-open ad'><main class='sidebar'><p>kept {k}</p><div class='ad-box'>buy</div><div class='hidden copyright share'>kept too</div><header>top {k}</header></main><div id='comments-area'>nice</div></body>"
+    assert text_of(spark, [(k, "http://n.example", page(k)) for k in range(3)]) == {k: f"kept {k}\nkept too\ntop {k}" for k in range(3)}
+
+
 def test_nulls_odd_markup_and_empty_table(spark):
     rows = [(1, None, None), (2, "not a url", ""), (None, "http://a.example/", "<p>only"), (4, "http://b.example", "a < b & c"), (5, "http://c.example", "<div><p>x<table><tr><td>1<td>2</table>y"), (5, "http://c.example", "<div><p>x<table><tr><td>1<td>2</table>y"), (6, "http://d.example", "<" * 3000 + "<!-- open"), (7, "http://e.example", "<p title=\"q>t</p><p>" + "long " * 30000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as main", "'z' as page")

@@ -1,9 +1,15 @@
-"""Main text of web pages by equivalence-class template deduction over the pages of a host."""
+"""Main text of web pages by equivalence-class template deduction over the pages of a host.
+
+Tokens are elements with their path, and whole text blocks outside articles. Tokens with the same occurrence vector, their
+counts on every page of the host, are one equivalence class. A class is valid where its tokens come in one order on its
+pages; valid classes nest by the paths of their tokens into the host's template, whose slots hold what differs.
+"""
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,11 +20,11 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import arrow_rows, cut
 
-#: Least share of a host's pages that a class of tokens occurs on.
-SUPPORT = 0.5
-#: Least pages of a host from which texts seen again and again count as template.
-STATIC_PAGES = 4
-#: Least share of a page's text that the main slot holds where no article or main element marks it.
+#: Least share of a host's pages that a class occurs on, and of its pages that have its tokens in the commonest order.
+SUPPORT, ORDERED = 0.3, 0.9
+#: Different pages of a host that a text has to stand on, as on all others, to count as template text.
+TEXT_PAGES = 3
+#: Least share of the text in slots that the main slot holds where no article or main element marks it.
 MAIN_SHARE = 0.6
 #: Templates of up to this many bytes are broadcast; beyond it pages and templates are joined by host.
 BROADCAST_BYTES = 8 << 20
@@ -33,24 +39,31 @@ BLOCK = frozenset(
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 DROPPED = frozenset("head nav footer aside form button select option menu dialog svg object canvas audio video fieldset label input search".split())
-DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar|side|footer|foot|masthead|topbar|cookie\w*|consent|notice\w*|alert|"
-    r"comments?|respond|replies|reply|disqus\w*|share|sharing|social|related|recommend\w*|widget\w*|breadcrumbs?|popup|modal|overlay|newsletter|"
-    r"subscribe|subscription|login|signup|pagination|pager|toolbar|skip|legal|copyright|hidden|form|search\w*|tags?)(?=$|[\s_-])", re.I,
-)
-PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|header|head)(?=$|[\s_-])", re.I)
+HOLDERS = frozenset("article body center div main section table tbody td".split())
+# what labels a slot as menu, header, footer, sidebar, notice, advert, form or readers' comments
+SLOT_NAMES = (
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination footer sidebar side notice notices alert cookie cookies consent gdpr "
+    "ad ads advert adverts advertisement sponsor sponsored promo banner form signup login subscribe newsletter comment comments respond reply replies disqus"
+).split()
+HEADER_NAMES = "header masthead topbar head".split()
+# first parts of names that tell about the page, not about the slot
+STATE_NAMES = "has with no is post entry article single content tag type".split()
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTR = re.compile(r"(?:^|\s)(class|id|role)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+
+
+NAMED = re.compile(rf"(?!(?:{'|'.join(STATE_NAMES)})[-_])(?:[a-z0-9]+[-_]+)*?(?:{'|'.join(SLOT_NAMES)})(?:[-_][a-z0-9_-]*)?$", re.I)
+NAMED_HEADER = re.compile(rf"(?!(?:{'|'.join(STATE_NAMES)})[-_])(?:[a-z0-9]+[-_]+)*?(?:{'|'.join(HEADER_NAMES)})(?:[-_][a-z0-9_-]*)?$", re.I)
 
 
 class Node:
-    """An open element: its name, the token of its path, and whether it is boilerplate by its own name or an ancestor's."""
+    """An open element: its name, the token of its path and its parent's, and whether its label or an ancestor's is none of the article's."""
 
-    __slots__ = ("name", "token", "label", "dropped", "inside")
+    __slots__ = ("name", "token", "parent", "label", "dropped", "inside")
 
-    def __init__(self, name: str, token: int, label: str, dropped: bool, inside: bool):
-        self.name, self.token, self.label, self.dropped, self.inside = name, token, label, dropped, inside
+    def __init__(self, name: str, token: int, parent: int, label: str, dropped: bool, inside: bool):
+        self.name, self.token, self.parent, self.label, self.dropped, self.inside = name, token, parent, label, dropped, inside
 
 
 class Paths:
@@ -58,20 +71,20 @@ class Paths:
 
     def __init__(self):
         self.seen: dict[tuple, Node] = {}
-        self.root = Node("", 0, "", False, False)
+        self.root = Node("", 0, 0, "", False, False)
 
     def child(self, parent: Node, name: str, attrs: str) -> Node:
         key = (parent.token, name, attrs if ("class" in attrs or "id" in attrs or "role" in attrs) else "")
         if (node := self.seen.get(key)) is not None:
             return node
         named = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs else {}
-        words = " ".join(filter(None, (named.get("class"), named.get("id"))))
         label = f"{parent.label}/{name}" + (f".{named.get('class')}" if named.get("class") else "")
         inside = parent.inside or name in ("article", "main") or named.get("role") == "main"
-        dropped = parent.dropped or name in DROPPED or "hidden" in named or bool(words and DROPPED_NAMES.search(words))
-        dropped |= not inside and (name == "header" or bool(words and PAGE_HEADER.search(words)))
+        words = [] if name in ("html", "body", "article", "main") else " ".join(filter(None, (named.get("class"), named.get("id")))).split()
+        dropped = parent.dropped or name in DROPPED or any(map(NAMED.match, words))
+        dropped |= not inside and (name == "header" or any(map(NAMED_HEADER.match, words)))
         token = xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass")) >> 1
-        node = Node(name, token, label, dropped, inside)
+        node = Node(name, token, parent.token, label, dropped, inside)
         if len(self.seen) > 200_000:
             self.seen.clear()
         self.seen[key] = node
@@ -79,7 +92,7 @@ class Paths:
 
 
 def blocks(page: str, paths: Paths) -> tuple[list[tuple[list[Node], str]], dict[int, list]]:
-    """The text blocks of a page as (open elements, text), in page order; and of each path token [label, times, dropped, inside, length of the texts below outside boilerplate]."""
+    """The text blocks of a page as (open elements, text), in page order; and of each path token, in order of first occurrence, [node, times, length of the texts below that no label drops]."""
     stack, found, seen = [paths.root], [], {}
     run: list[str] = []
     at = 0
@@ -91,7 +104,7 @@ def blocks(page: str, paths: Paths) -> tuple[list[tuple[list[Node], str]], dict[
             if text:
                 found.append((stack[1:], text))
                 for node in stack[1:] if not stack[-1].dropped else ():
-                    seen[node.token][4] += len(text)
+                    seen[node.token][2] += len(text)
 
     while m := TAG.search(page, at):
         if m.start() > at:
@@ -125,7 +138,7 @@ def blocks(page: str, paths: Paths) -> tuple[list[tuple[list[Node], str]], dict[
             run.append(" ")
         attrs = m[3] or ""
         node = paths.child(stack[-1], name, attrs)
-        entry = seen.setdefault(node.token, [node.label, 0, node.dropped, node.inside, 0])
+        entry = seen.setdefault(node.token, [node, 0, 0])
         entry[1] += 1
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
@@ -143,70 +156,105 @@ def text_token(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+OCCURRENCES = "host string, page long, token long, parent long, label string, name string, times int, dropped boolean, chars long"
+CLASSES = "host string, vector decimal(38,0), members array<long>"
+ORDERS = "host string, vector decimal(38,0), shape long, n long"
+TEMPLATE = "host string, main array<long>, static array<long>"
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     paths = Paths()
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64()]
     for batch in batches:
         rows: list[tuple] = []
         for host, key, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
             found, seen = blocks(page, paths)
-            rows += [(host, key, t, label, n, dropped, inside, chars) for t, (label, n, dropped, inside, chars) in seen.items()]
-            texts: dict[int, int] = {}
-            for nodes, text in found:
-                if not (nodes and (nodes[-1].inside or nodes[-1].dropped)):
-                    texts[text_token(text)] = texts.get(text_token(text), 0) + 1
-            rows += [(host, key, t, "#text", n, False, False, 0) for t, n in texts.items()]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
-        columns = [pa.array(list(x), t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "label", "times", "dropped", "inside", "chars"])
-
-
-def _template(host: pd.DataFrame) -> pd.DataFrame:
-    """The main slot and the static texts of one host, from its valid classes.
-
-    Classes nest by the paths of their tokens: a token lies in the slot of the nearest token above it that
-    occurs once a page. The main slot is the once-a-page article or main element with most text; else the
-    innermost once-a-page token outside boilerplate that holds most of the text there.
+            rows += [(host, key, t, node.parent, node.label, node.name, n, node.dropped, chars) for t, (node, n, chars) in seen.items()]
+            texts = Counter(text_token(text) for nodes, text in found if not (nodes and (nodes[-1].inside or nodes[-1].dropped)))
+            rows += [(host, key, t, 0, "", "#text", n, False, 0) for t, n in texts.items()]
+        yield _batch(rows, types, ["host", "page", "token", "parent", "label", "name", "times", "dropped", "chars"])
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each class of a host has its path tokens in which order of first occurrence."""
+    paths, counts = Paths(), Counter()
+    for batch in batches:
+        for host, page, vectors, members in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            _, seen = blocks(page, paths)
+            place = {t: k for k, t in enumerate(seen)}
+            for vector, tokens in zip(vectors or (), members or ()):
+                here = sorted((t for t in tokens if t in place), key=place.__getitem__)
+                if here:
+                    counts[host, vector, xxhash.xxh64_intdigest(repr(here).encode()) >> 1] += 1
+    rows = [(*k, n) for k, n in counts.items()]
+    yield _batch(rows, [pa.string(), pa.decimal128(38, 0), pa.int64(), pa.int64()], ["host", "vector", "shape", "n"])
+
+
+def template(tokens: pd.DataFrame) -> tuple[list[int], list[int]]:
+    """(main slots, best first; template texts) of one host from its tokens in valid classes.
+
+    tokens: vector, token, parent, label, name, dropped, chars, n_pages, total, pages, different. The nested template
+    is made of the classes whose tokens all occur once on each of their pages; a slot is what an element of it holds
+    beside the elements below that are in it too. The main slot is the article or main element in it with most text;
+    else the innermost holder in it that keeps MAIN_SHARE of the text of its slots, so that what lies beside it falls away.
     """
-    paths = host[(host.label != "#text") & ~host.dropped]
-    once = paths[paths.total == paths.n_pages]
-    marked = once[once.label.str.contains(r"/(?:article|main)(?:\.[^/]*)?$", regex=True)]
-    if len(marked):
-        outer = marked.sort_values(["chars", "label"], ascending=[False, True]).head(1)
-    else:
-        whole = once.chars.max() if len(once) else 0
-        held = once[(once.chars >= MAIN_SHARE * whole) & (once.chars > 0)]
-        outer = held.assign(depth=held.label.str.count("/")).sort_values(["depth", "chars", "label"], ascending=[False, False, True]).head(1)
-    static = host[(host.label == "#text") & (host.pages >= STATIC_PAGES)]
-    return pd.DataFrame({"host": [host.host.iloc[0]], "main": [outer.token.tolist()], "static": [static.token.tolist()]})
+    once = tokens[tokens.groupby("vector")["total"].transform("sum") == tokens.groupby("vector")["n_pages"].transform("sum")]
+    paths = once[(once.name != "#text") & ~once.dropped & once.name.isin(HOLDERS)]
+    marked = paths[paths.name.isin(["article", "main"])].sort_values(["chars", "label"], ascending=[False, True])
+    above = dict(zip(tokens.token, tokens.parent))
+
+    def depth(t: int) -> int:
+        n = 0
+        while t in above:
+            t, n = above[t], n + 1
+        return n
+
+    held = paths[(paths.chars > 0) & (paths.chars >= MAIN_SHARE * (paths.chars.max() if len(paths) else 0))]
+    held = held.assign(depth=[depth(t) for t in held.token]).sort_values(["depth", "chars", "label"], ascending=[False, False, True])
+    main = list(dict.fromkeys([*marked.token.tolist(), *held.token.tolist()]))
+    static = once[(once.name == "#text") & (once.n_pages == once.pages) & (once.different >= TEXT_PAGES)]
+    return main, sorted(static.token.tolist())
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main tokens, static text tokens) from pages (host, page, html).
 
-    A token is an element with its path of elements and classes, or a whole text block outside articles. Its
-    occurrence vector holds its count on every page of the host; the vector is kept as a fingerprint, the
-    exclusive-or of a hash of each page and count, so that a host of any size is aggregated map-side first.
-    Tokens of one fingerprint are an equivalence class; valid classes occur on SUPPORT of the host's pages.
+    The occurrence vector of a token is kept as a sum over pages of a hash of page and count, so a host of any size is
+    aggregated map-side first; only tokens on SUPPORT of a host's pages go on, which are no more than a page has by a
+    constant. A second reading of the pages counts the orders in which a class's tokens come.
     """
-    seen = pages.select("host", "page", "html").mapInArrow(_occurrences, "host string, page long, token long, label string, times int, dropped boolean, inside boolean, chars long")
-    vectors = seen.groupBy("host", "token", "label", "dropped").agg(
-        F.expr("bit_xor(xxhash64(page, times))").alias("vector"), F.count("*").alias("n_pages"), F.sum("times").alias("total"), F.sum("chars").alias("chars")
+    vectors = pages.select("host", "page", "html").mapInArrow(_occurrences, OCCURRENCES).groupBy("host", "token", "parent", "label", "name", "dropped").agg(
+        F.sum(F.xxhash64("page", "times").cast("decimal(20,0)")).cast("decimal(38,0)").alias("vector"), F.count("*").alias("n_pages"), F.sum("times").alias("total"), F.sum("chars").alias("chars")
     )
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    valid = vectors.join(sizes, "host").where(F.col("n_pages") >= F.ceil(SUPPORT * F.col("pages")))
-    classes = valid.groupBy("host", "vector", "n_pages", "total").agg(F.collect_list(F.struct("token", "label", "dropped", "chars")).alias("members"), F.max("pages").alias("pages"))
-    members = classes.select("host", "pages", "n_pages", "total", F.explode("members").alias("m")).select("host", "pages", "n_pages", "total", "m.*")
-    return members.groupBy("host").applyInPandas(_template, "host string, main array<long>, static array<long>")
+    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"), F.count_distinct("page").alias("different"))
+    tokens = cut(vectors.join(sizes, "host").where(F.col("n_pages") >= F.ceil(SUPPORT * F.col("pages"))))
+    classes = tokens.where("name != '#text'").groupBy("host", "vector").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    by_host = cut(classes.groupBy("host").agg(F.collect_list("vector").alias("vectors"), F.collect_list("members").alias("members")))
+    size = by_host.agg(F.coalesce(F.sum(F.length("host") + 16 * F.size("vectors") + 8 * F.size(F.flatten("members"))), F.lit(0))).first()[0]
+    met = pages.select("host", "html").join(F.broadcast(by_host) if size <= BROADCAST_BYTES else by_host, "host", "left")
+    orders = met.select("host", "html", "vectors", "members").mapInArrow(_orders, ORDERS).groupBy("host", "vector", "shape").agg(F.sum("n").alias("n"))
+    mixed = orders.groupBy("host", "vector").agg((F.max("n") / F.sum("n")).alias("share")).where(F.col("share") < ORDERED)
+    valid = tokens.join(mixed, ["host", "vector"], "left_anti")
+
+    def of_host(rows: pd.DataFrame) -> pd.DataFrame:
+        main, static = template(rows)
+        return pd.DataFrame({"host": [rows.host.iloc[0]], "main": [main], "static": [static]})
+
+    return valid.groupBy("host").applyInPandas(of_host, TEMPLATE)
 
 
 def page_text(page: str, main: list[int], static: list[int], paths: Paths) -> str:
-    """The blocks of the template's main slot, one a line; of a page without that slot, all outside boilerplate."""
-    found, _ = blocks(page, paths)
+    """The blocks of the template's best main slot that the page has, one a line; of a page without, those of its own article or main element; else all but template texts. Labelled elements are out."""
+    found, seen = blocks(page, paths)
     kept = [(nodes, text) for nodes, text in found if not (nodes and nodes[-1].dropped)]
-    wanted, fixed = set(main or ()), set(static or ())
-    slot = [text for nodes, text in kept if any(n.token in wanted for n in nodes)]
-    marked = slot or [text for nodes, text in kept if nodes and nodes[-1].inside]
-    return "\n".join(marked or [text for _, text in kept if text_token(text) not in fixed])
+    wanted, fixed = next((t for t in main or () if t in seen and seen[t][2]), None), set(static or ())
+    slot = [(nodes, text) for nodes, text in kept if any(n.token == wanted for n in nodes)] if wanted is not None else []
+    slot = slot or [(nodes, text) for nodes, text in kept if nodes and nodes[-1].inside]
+    return "\n".join(text for _, text in slot or [(nodes, text) for nodes, text in kept if text_token(text) not in fixed])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +267,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page: its article without boilerplate, blocks joined by line breaks.
 
+    The template of a page's host gives the main slot; names of elements and classes only label slots as menu, header,
+    footer, sidebar, notice, advert, form or comments, never html, body, main or article. A host of one page has a
+    template as well, in which every element that occurs once is one class.
+
     Null html is empty and gives an empty text. Pages with a null or odd url share one nameless host. Repeated
-    pages count each in their host's template and each get a row; unclosed, cut or misnested markup is read
+    pages count each in their host's template, as one page where different ones are counted, and each get a row; unclosed, cut or misnested markup is read
     as far as it goes; an empty table gives an empty result; other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.xxhash64("page_id", "url").alias("page"))
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host")).withColumn("page", F.xxhash64("html"))
     arrow_rows(pages.sparkSession, 256)
     known = cut(templates(source))
     size = known.agg(F.coalesce(F.sum(F.length("host") + 8 * (F.size("main") + F.size("static"))), F.lit(0))).first()[0]
