@@ -16,8 +16,13 @@ from weft.llm.common import whole_text
 BEFORE = 64
 #: Candidates: what is assigned to a name that ends as a secret's (DB_PASSWORD, client_secret, quoted or not), of 8 characters
 #: or more up to space or punctuation; and 16 or more token characters in a run with a digit, its whole run, however long.
-NAMED = r"(?i)(?:password|passwd|pwd|secret|token|(?:api|access|secret|private)[_\-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?([^\s\"'<>,;]{7,}[^\s\"'<>,;.!?)])"
-RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}"
+#: A text is read once from left to right; the group is the value of an assignment.
+TOKEN = r"[A-Za-z0-9_+/\-]"
+NAMED = rf"(?<!{TOKEN}){TOKEN}*?(?i:password|passwd|pwd|secret|token|(?:api|access|secret|private)[_\-]?key)[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?([^\s\"'<>,;]{{7,}}[^\s\"'<>,;.!?)])"
+RUN = rf"(?<!{TOKEN})(?=[A-Za-z_+/\-]*+[0-9]){TOKEN}{{16,}}+={{0,2}}"
+CANDIDATE = f"{NAMED}|{RUN}"
+#: Numbers summed up at once, so that sums of many places in a text cost little more than one by one.
+RUNNING = 128
 #: The last two words before a candidate.
 NEAR = r"(?:[a-z0-9_\-]+[^a-z0-9_\-]+)?[a-z0-9_\-]*[^a-z0-9_\-]*$"
 TREES, DEPTH, SEED = 9, 5, 11
@@ -71,43 +76,67 @@ def features(value: Column, before: Column) -> list[Column]:
     ]
 
 
-def _places(text: Column, value: Column, pattern: Column) -> Column:
-    """struct<starts, befores>: where pattern, a form of value, matches in text, and the BEFORE characters before each match; starts count from 0."""
-    parts = F.split(text, pattern, -1)
-    last = lambda c: F.right(c, F.lit(BEFORE))
+def _let(value: Column, body) -> Column:
+    """body of a value that is found once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(numbers: Column) -> Column:
+    """Running sums of an array, in blocks: their cost grows with the array, not with its square."""
+    none = F.array().cast("array<bigint>")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("bigint"))
+    summed = lambda a: F.aggregate(a, none, lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
 
-    def step(acc: Column, part: Column) -> Column:
-        at, before = acc["at"] + F.length(part), last(F.concat(acc["tail"], part))
-        return F.struct(
-            (at + F.length(value)).alias("at"), last(F.concat(before, value)).alias("tail"),
-            F.concat(acc["starts"], F.array(at)).alias("starts"), F.concat(acc["befores"], F.array(before)).alias("befores"),
-        )
+    def within(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / RUNNING).cast("int")), lambda b: summed(F.slice(a, b * RUNNING + 1, RUNNING)))
+        before = lambda bs: summed(F.transform(bs, last))
+        return _let(blocks, lambda bs: _let(before(bs), lambda tops: F.flatten(F.transform(bs, lambda b, k: F.transform(b, lambda x: x + F.coalesce(F.get(tops, k - 1), F.lit(0).cast("bigint")))))))
 
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<string>").alias("befores"))
-    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), empty, step)
+    return F.when(F.size(numbers) > 0, _let(F.transform(numbers, lambda x: x.cast("bigint")), within)).otherwise(none)
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<value, start, occurrences, before, starts, uses>> of the distinct candidates of a text; start counts from 0.
+def matches(text: Column) -> Column:
+    """struct<found, parts>: the matches of CANDIDATE in a text and the texts between them, one more."""
+    return F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(text, CANDIDATE, -1).alias("parts"))
 
-    Runs that stand inside named values only are out. start and before are of the first occurrence and starts of all, those
-    inside longer words too; uses are the different neighbourhoods of the occurrences that are whole words.
+
+def candidates(matched: Column) -> Column:
+    """array<struct<value, at: array<struct<start, k, before>>>> of the distinct candidates of matches(), each with its places.
+
+    start counts characters from 0 to the value, k the match; before are the BEFORE characters before it.
     """
-    runs_of = lambda t: F.regexp_extract_all(t, F.lit(RUN), F.lit(0))
-    named, elsewhere = F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)), runs_of(F.regexp_replace(text, NAMED, " "))
-    found = F.array_distinct(F.concat(named, F.filter(runs_of(text), lambda r: ~F.exists(named, lambda n: F.contains(n, r)) | F.array_contains(elsewhere, r))))
+    last = lambda c: F.right(c, F.lit(BEFORE))
+    value = lambda m: F.coalesce(F.nullif(F.regexp_extract(m, CANDIDATE, 1), F.lit("")), m)
+    # a match has 8 characters or more, so those before the last BEFORE / 8 are out of reach
+    reach = BEFORE // 8
+
+    def placed(m: Column) -> Column:
+        whole = F.zip_with(m["found"], F.slice(m["parts"], F.lit(1), F.size(m["found"])), lambda f, p: F.struct(f.alias("f"), value(f).alias("v"), last(p).alias("p"), (F.length(p) + F.length(f)).alias("n")))
+
+        def each(rows: Column, ends: Column) -> Column:
+            def one(r: Column, k: Column) -> Column:
+                since = F.greatest(k - reach, F.lit(0))
+                earlier = F.array_join(F.transform(F.slice(rows, since + 1, k - since), lambda x: F.concat(x["p"], last(x["f"]))), "")
+                lead = F.left(r["f"], F.length(r["f"]) - F.length(r["v"]))
+                return F.struct(r["v"].alias("value"), (F.get(ends, k) - F.length(r["v"])).cast("int").alias("start"), k.alias("k"), last(F.concat(earlier, r["p"], lead)).alias("before"))
+
+            return F.array_sort(F.transform(rows, one))
+
+        return _let(whole, lambda rows: _let(running(F.transform(rows, lambda r: r["n"])), lambda ends: each(rows, ends)))
+
+    def grouped(rows: Column) -> Column:
+        heads = F.filter(F.transform(rows, lambda r, k: F.when((k == 0) | (F.get(rows, k - 1)["value"] != r["value"]), k)), lambda k: k.isNotNull())
+
+        def group(hs: Column) -> Column:
+            def one(h: Column, g: Column) -> Column:
+                places = F.slice(rows, h + 1, F.coalesce(F.get(hs, g + 1), F.size(rows)) - h)
+                return F.struct(F.get(rows, h)["value"].alias("value"), F.transform(places, lambda r: F.struct(r["start"].alias("start"), r["k"].alias("k"), r["before"].alias("before"))).alias("at"))
 
-    def entry(value: Column) -> Column:
-        literal = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-        whole = F.concat(F.lit("(?<![A-Za-z0-9_])"), literal, F.lit("(?:(?<![A-Za-z0-9_])|(?![A-Za-z0-9_]))"))
-        return F.struct(value.alias("value"), _places(text, value, literal).alias("all"), F.array_distinct(_places(text, value, whole)["befores"]).alias("uses"))
+            return F.transform(hs, one)
 
-    def described(c: Column) -> Column:
-        starts, before = c["all"]["starts"], c["all"]["befores"][0]
-        uses = F.when(F.size(c["uses"]) > 0, c["uses"]).otherwise(F.array(before))
-        return F.struct(c["value"].alias("value"), starts[0].alias("start"), F.size(starts).alias("occurrences"), before.alias("before"), starts.alias("starts"), uses.alias("uses"))
+        return _let(heads, group)
 
-    return F.transform(F.transform(found, entry), described)
+    return _let(placed(matched), grouped)
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -205,33 +234,37 @@ def _score(spark: SparkSession, uses: str) -> str:
     return f"array_max(transform({uses}, u -> {vote}))"
 
 
-def _described(text: Column) -> Column:
-    """The candidates of a text with the FEATURES of each neighbourhood in uses."""
+def _described(matched: Column) -> Column:
+    """The candidates of matches() with the FEATURES of each different neighbourhood in uses."""
 
     def entry(c: Column) -> Column:
-        uses = F.transform(c["uses"], lambda before: F.struct(*[f.alias(n) for n, f in zip(FEATURES, features(c["value"], before))]))
-        return F.struct(*[c[n].alias(n) for n in ("value", "start", "occurrences", "before", "starts")], uses.alias("uses"))
+        befores = F.array_distinct(F.transform(c["at"], lambda a: a["before"]))
+        uses = F.transform(befores, lambda before: F.struct(*[f.alias(n) for n, f in zip(FEATURES, features(c["value"], before))]))
+        return F.struct(c["value"].alias("value"), c["at"].alias("at"), uses.alias("uses"))
 
-    return F.transform(candidates(text), entry)
+    return F.transform(candidates(matched), entry)
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, value, start, occurrences, before, starts, uses, the FEATURES, score): every distinct candidate of every whole text.
 
-    The FEATURES are of the first occurrence; score is the highest of all occurrences that are whole words.
+    The FEATURES are of the first place; score is the highest of all places.
     """
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(_described(whole_text(text_col))).alias("c")).select("doc_id", "c.*")
-    described = found.select("*", *[c.alias(n) for n, c in zip(FEATURES, features(F.col("value"), F.col("before")))])
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(_described(matches(whole_text(text_col)))).alias("c"))
+    first = F.col("c.at")[0]
+    named = found.select("doc_id", "c.value", first["start"].alias("start"), F.size("c.at").alias("occurrences"), first["before"].alias("before"), F.col("c.at.start").alias("starts"), "c.uses")
+    described = named.select("*", *[c.alias(n) for n, c in zip(FEATURES, features(F.col("value"), F.col("before")))])
     return described.select("*", F.expr(_score(docs.sparkSession, "uses")).alias("score"))
 
 
 def findings(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, occurrences, score, is_secret, masked, value_sha256, starts): a row for each distinct candidate of each text.
 
-    start counts code points to the first occurrence, starts to each; masked shows the first four characters. Every
-    occurrence is scored in its own neighbourhood: is_secret holds where more than threshold of the trees vote for one
-    of them. Null and empty texts and texts without candidates give no row; null ids and repeated rows are kept; an
-    empty table gives an empty result; other columns are ignored.
+    start counts code points to the first place, starts to each; masked shows the first four characters. A place is where
+    the text, read once from left to right, has the value as a whole run or an assigned value. Each is scored in its own
+    neighbourhood: is_secret holds where more than threshold of the trees vote for one of them. The cost of a text grows
+    with its length and its candidates, not with their product. Null and empty texts and texts without candidates give
+    no row; null ids and repeated rows are kept; an empty table gives an empty result; other columns are ignored.
     """
     return scored(docs, id_col, text_col).select(
         "doc_id", F.col("start").cast("int").alias("start"), F.length("value").alias("length"), "occurrences", F.round("score", 6).alias("score"),
@@ -242,12 +275,30 @@ def findings(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
 def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """docs with every secret in text_col replaced by mask, columns and rows as they were; null texts stay null.
 
-    Candidates are found, described and voted on within the row, so no row moves between tasks. A value that is a secret
-    in one place is masked in all. Longer secrets are replaced first, so that one inside another leaves nothing behind.
+    Candidates are found, described and voted on within the row, so no row moves between tasks. The places of secrets are
+    masked in one pass; what is left is then searched for each secret, longer ones first, so that a value that is a
+    secret in one place is masked in all, inside longer words too. That last search is the only cost that grows with the
+    product of the secrets found and the rest of the text.
     """
-    text = F.col(text_col)
-    with_found = docs.withColumn("__weft_found", _described(whole_text(text_col)))
-    secrets = F.expr(f"filter(__weft_found, c -> {_score(docs.sparkSession, 'c.uses')} > {float(threshold)}D)")
-    ordered = F.array_sort(F.transform(secrets, lambda c: F.struct((-F.length(c["value"])).alias("n"), c["value"].alias("value"))))
-    hidden = F.aggregate(ordered, text, lambda t, c: F.replace(t, c["value"], F.lit(mask)))
-    return with_found.withColumn(text_col, hidden).drop("__weft_found")
+    spark = docs.sparkSession
+    with_matches = docs.withColumn("__weft_m", F.when(F.col(text_col).isNotNull(), matches(F.col(text_col))))
+    with_found = with_matches.withColumn("__weft_found", _described(F.col("__weft_m")))
+    with_secrets = with_found.withColumn("__weft_s", F.expr(f"filter(__weft_found, c -> {_score(spark, 'c.uses')} > {float(threshold)}D)"))
+
+    def masked(m: Column, secrets: Column) -> Column:
+        places = F.array_sort(F.flatten(F.transform(secrets, lambda c: F.transform(c["at"], lambda a: F.struct(a["k"].alias("k"), F.length(c["value"]).alias("n"))))))
+        # places come by match: cut the matches at them
+        def cut_at(ps: Column) -> Column:
+            part = lambda k: F.concat(F.get(m["parts"], k), F.get(m["found"], k))
+            plain = lambda a, b: F.array_join(F.transform(F.slice(m["found"], a + 1, b - a), lambda f, i: F.concat(F.get(m["parts"], a + i), f)), "")
+            since = lambda g: F.coalesce(F.get(ps, g - 1)["k"] + 1, F.lit(0))
+            hidden = F.transform(ps, lambda p, g: F.concat(plain(since(g), p["k"]), F.left(part(p["k"]), F.length(part(p["k"])) - p["n"]), F.lit(mask)))
+            end = F.coalesce(F.get(ps, F.size(ps) - 1)["k"] + 1, F.lit(0))
+            return F.concat(F.array_join(hidden, ""), plain(end, F.size(m["found"])), F.get(m["parts"], F.size(m["parts"]) - 1))
+
+        return _let(places, cut_at)
+
+    ordered = F.array_sort(F.transform("__weft_s", lambda c: F.struct((-F.length(c["value"])).alias("n"), c["value"].alias("value"))))
+    rest = F.aggregate(ordered, masked(F.col("__weft_m"), F.col("__weft_s")), lambda t, c: F.replace(t, c["value"], F.lit(mask)))
+    hidden = F.when(F.size("__weft_s") > 0, rest).otherwise(F.col(text_col))
+    return with_secrets.withColumn(text_col, hidden).drop("__weft_m", "__weft_found", "__weft_s")
