@@ -7,31 +7,58 @@ import numpy as np
 from weft.llm import licenses as L
 
 
-def brute(text, index):
-    """Templates that align whole with a text, by full local alignment."""
-    words = L.WORD.findall(text.lower())
-    ids = np.array([index.vocab.get(w, 0) for w in words], dtype=np.int64)
-    out = set()
-    for t, template in enumerate(index.words):
-        matched, start, end = L.align(template, ids, 0, len(words) + len(template))
-        if matched >= L.COVERAGE * len(template):
-            out.add((t, start, end))
+def telling(words):
+    return {w for w in words if w in L.TELLING or (w.isdigit() and len(w) < 3 and int(w))}
+
+
+def brute(text):
+    """Names of the licenses whose notices align with a text by a whole table of local alignment scores, and tell the same."""
+    words, out = L.WORD.findall(text.lower()), set()
+    for name, notice in L.TEMPLATES:
+        wanted = L.WORD.findall(notice.lower())
+        if len(set(wanted) & set(words)) < 0.5 * len(set(wanted)):
+            continue
+        last, best = [(0, 0, None)] * (len(words) + 1), (0, 0, None, None)
+        for w in wanted:
+            row = [(0, 0, None)]
+            for j, x in enumerate(words):
+                s, m, at = last[j]
+                cell = (s + L.MATCH, m + 1, j if not s else at) if x == w else (s + L.MISMATCH, m, at)
+                cell = max(cell, (last[j + 1][0] + L.GAP, *last[j + 1][1:]), (row[j][0] + L.GAP, *row[j][1:]), key=lambda c: c[0])
+                row.append(cell if cell[0] > 0 else (0, 0, None))
+                if cell[:2] > best[:2]:
+                    best = (*cell, j + 1)
+            last = row
+        if best[1] >= L.COVERAGE * len(wanted) and telling(words[best[2] : best[3]]) == telling(wanted):
+            out.add(name)
     return out
 
 
 def test_table_against_full_alignment(spark, sf_small):
-    index = L.Index(L.TEMPLATES)
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").where("n_chars < 3000")
     got = {}
     for r in L.license_matches(docs).collect():
-        got.setdefault(r.doc_id, []).append(r)
+        got.setdefault(r.doc_id, set()).add(r.license)
         assert r.coverage >= L.COVERAGE
     for r in docs.select("doc_id", "text").collect():
-        want = brute(r.text, index)
-        assert bool(want) == (r.doc_id in got)
-        words = [m.span() for m in L.WORD.finditer(r.text)]
-        spans = {(t, words[a][0], words[b - 1][1]) for t, a, b in want}
-        assert all((g.template, g.start, g.end) in spans and r.text[g.start : g.end] == g.snippet for g in got.get(r.doc_id, []))
+        want = brute(r.text)
+        assert bool(want) == (r.doc_id in got) and got.get(r.doc_id, set()) <= want
+
+
+def test_other_versions_and_relatives_are_named_right_or_not_at_all():
+    index = L.Index(L.TEMPLATES)
+    names = lambda text: [r[0] for r in L.scan(text, index)]
+    assert names("Released under the BSD 2-Clause License.") == ["BSD-2-Clause"]
+    assert names("Licensed under CC BY 3.0.") == ["CC-BY-3.0"]
+    assert names("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0"]
+    assert names("This work is licensed under the GNU Lesser General Public License, version 2.1.") == ["LGPL-2.1"]
+    assert names("This work is licensed under the GNU General Public License, version 1.") == ["GPL-1.0"]
+    assert names("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.") == ["CC-BY-NC-ND-4.0"]
+    assert names("Licensed under the Academic License, Version 2.0.") == []
+    assert names("This work is licensed under the GNU General Public License, version 7.") == []
+    assert names("Licensed under CC BY 4.5.") == [] and names("Licensed under the Apache License, Version 2.0.1.") == []
+    bsd = dict((n, t) for n, t in L.TEMPLATES if n.startswith("BSD") and len(t) > 99)
+    assert names(bsd["BSD-2-Clause"]) == ["BSD-2-Clause"] and names(bsd["BSD-3-Clause"]) == ["BSD-3-Clause"]
 
 
 def test_edited_notices_spans_and_repeats(spark):

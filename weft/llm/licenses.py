@@ -28,33 +28,57 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"[^\W_]+")
 
 # License names with notices in use for them.
-TEMPLATES = [
+NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("AFL-3.0", "Licensed under the Academic Free License version 3.0."),
+    ("ECL-2.0", "Licensed under the Educational Community License, Version 2.0."),
+    ("Artistic-2.0", "Licensed under the Artistic License 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
+# names and versions of families of licenses, and what their notices say of them
+GNU = [("GPL", "General", "1 2 3"), ("LGPL", "Library General", "2"), ("LGPL", "Lesser General", "2.1 3"), ("AGPL", "Affero General", "3")]
+COMMONS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+COMMONS_VERSIONS = [("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")]
+# words that tell licenses apart, beside numbers: a notice names a license where both have the same of them
+TELLING = (
+    "mit apache academic educational artistic boost eclipse bsd mozilla gnu lesser library affero clause creative commons attribution sharealike noncommercial noderivatives noderivs "
+    "cc by sa nc nd endorse unencumbered waived misrepresented"
+).split()
+
+
+def notices() -> list[tuple[str, str]]:
+    """(license, notice): the single ones and those of the families."""
+    out = list(NOTICES)
+    for short, words, versions in GNU:
+        for v in versions.split():
+            name = f"{short}-{v}" + ("" if "." in v else ".0")
+            out.append((name, f"This work is licensed under the GNU {words} Public License, version {v}."))
+            out.append((name, f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {words} Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."))
+    for short, words in COMMONS:
+        for v, place in COMMONS_VERSIONS:
+            out.append((f"CC-{short}-{v}", f"Licensed under CC {short} {v}."))
+            out.append((f"CC-{short}-{v}", f"This work is licensed under a Creative Commons {words} {v} {place} License."))
+    return out
+
+
+TEMPLATES = notices()
 
 
 class Index:
@@ -63,8 +87,11 @@ class Index:
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [name for name, _ in templates]
         words = [WORD.findall(text.lower()) for _, text in templates]
-        self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+        self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for ws in words for w in ws} | set(TELLING)))}
+        telling = [i for w, i in self.vocab.items() if w in TELLING or is_version(w)]
+        self.telling = frozenset(telling)
         self.words = [[self.vocab[w] for w in ws] for ws in words]
+        self.told = [self.telling.intersection(ws) for ws in self.words]
         self.salt = np.array([xxhash.xxh64_intdigest(w, 7) for w in ["", *sorted(self.vocab)]], dtype=np.uint64)
         postings = []
         self.n_prints = []
@@ -116,13 +143,18 @@ class Index:
             for k in range(1, len(found) + 1):
                 if k == len(found) or found[k][0] - found[k - 1][0] > drift:
                     group = found[start:k]
-                    if len({p for _, p in group}) >= need:
-                        low, high = group[0][0], group[-1][0]
+                    low, high = group[0][0], group[-1][0]
+                    reach = ids[max(0, low - drift) : high + drift + len(self.words[t]) + 1]
+                    if len({p for _, p in group}) >= need and self.told[t] <= set(reach.tolist()):
                         out.append((t, (low + high) // 2, low, high, sorted({p for _, p in group})))
                     start = k
         return out
 
 
+def is_version(word: str) -> bool:
+    return word.isdecimal() and len(word) <= 2 and word.strip("0") != ""
+
+
 def band(size: int) -> int:
     return max(BAND_LEAST, int(BAND_SHARE * size))
 
@@ -185,18 +217,36 @@ def matches(template: list[int], ids: np.ndarray, diagonal: int, width: int, hit
     return found
 
 
+def word_spans(text: str, n: int) -> list[tuple[int, int]]:
+    spans = [m.span() for m in WORD.finditer(text)]
+    # lower-casing changes the words of odd texts: count on the lower-cased one then
+    return spans if len(spans) == n else [m.span() for m in WORD.finditer(text.lower())]
+
+
+def named(text: str, words: list[str], ids: np.ndarray, spans: list[tuple[int, int]], start: int, end: int, telling: frozenset[int]) -> set[int]:
+    """The telling words from start to end; a version goes on over its points (2.1), and what hyphens join goes on too (BY-NC)."""
+    while end < len(words) and text[spans[end - 1][1] : spans[end][0]] in (".", "-") and (words[end].isdecimal() or ids[end] in telling):
+        if words[end].strip("0"):
+            return {-1}
+        end += 1
+    return telling.intersection(ids[start:end].tolist())
+
+
 def scan(text: str, index: Index) -> list[tuple[str, int, float, int, int, int]]:
     """(license, template, coverage, matched words, start, end in characters) of a text, in text order.
 
-    Of matches that share words the one of most matched words stays, then of most coverage, then of the first template.
+    A match counts where its words and the template's are the same in TELLING and in version numbers, so that a notice of
+    another version or another license of the family is none. Of matches that share words the one of most matched words stays, then of most coverage, then of the first template.
     """
     words = WORD.findall(text.lower())
     ids = np.fromiter(map(index.vocab.get, words, [0] * len(words)), np.int64, len(words))
-    found = []
+    found, spans = [], []
     for t, diagonal, low, high, hits in index.candidates(ids):
         template = index.words[t]
         for matched, start, end in matches(template, ids, diagonal, band(len(template)) + (high - low + 1) // 2, hits):
-            found.append((matched, matched / len(template), t, start, end))
+            spans = spans or word_spans(text, len(words))
+            if index.told[t] == named(text, words, ids, spans, start, end, index.telling):
+                found.append((matched, matched / len(template), t, start, end))
     kept: list[tuple] = []
     starts: list[int] = []
     ends: list[int] = []
@@ -206,9 +256,6 @@ def scan(text: str, index: Index) -> list[tuple[str, int, float, int, int, int]]
             starts.insert(k, m[3]), ends.insert(k, m[4]), kept.append(m)
     if not kept:
         return []
-    spans = [m.span() for m in WORD.finditer(text)]
-    if len(spans) != len(words):  # lower-casing changed the words of an odd text: count on the lower-cased one
-        spans = [m.span() for m in WORD.finditer(text.lower())]
     return [(index.names[t], t, cov, n, spans[a][0], spans[b - 1][1]) for n, cov, t, a, b in sorted(kept, key=lambda k: k[3])]
 
 
@@ -223,7 +270,8 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
     start and end count code points, end is exclusive; coverage is the share of the template's words aligned;
     template is its position in the list. Null and empty texts, and texts without a notice, give no row;
     a notice repeated in a text gives a row each time. Null ids and repeated rows are kept; an empty table gives
-    an empty result; other columns are ignored. templates (name, text) with under GRAM words are not found.
+    an empty result; other columns are ignored. templates (name, text) with under GRAM words are not found. A very long
+    text costs in proportion to its words and its notices.
     """
     wanted = tuple(templates or TEMPLATES)
 
