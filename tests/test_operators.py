@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
 
 from weft import vocab
 from weft.operators import digest, evaluate, graph, ingest, lifecycle, retrieval, similarity
@@ -42,12 +43,41 @@ def test_pins_are_layered(spark):
     assert [r.id for r in retrieval.pins(history, 3).orderBy("place").collect()] == [20, 10, 11]
 
 
+PLACED = "qid long, id long, place int"
+
+
+def numbered(spark, ranked, refs=(), pinned=(), best=None, web=None, **limits):
+    made = lambda ids: spark.createDataFrame([(1, i, k) for k, i in enumerate(ids)], PLACED)
+    best = None if best is None else spark.createDataFrame([(1, best)], "qid long, id long")
+    web = None if web is None else spark.createDataFrame([(1, k, u) for k, u in enumerate(web)], "qid long, place int, uri string")
+    ranked = spark.createDataFrame([(1, i, k + 1) for k, i in enumerate(ranked)], PLACED)
+    return retrieval.context(ranked, made(refs), made(pinned), best, web, **limits).orderBy("n").collect()
+
+
 def test_context_pins_displace_the_tail(spark):
-    ranked = spark.createDataFrame([(1, i, i) for i in range(1, 9)], "qid long, id long, place int")
-    refs = spark.createDataFrame([(1, 5, 1)], "qid long, id long, place int")
-    pinned = spark.createDataFrame([(1, 99, 1), (1, 5, 2), (1, 2, 3)], "qid long, id long, place int")
-    out = retrieval.context(ranked, refs, pinned, k_deep=2, index_limit=5).orderBy("n").collect()
-    assert [(r.n, r.id, r.depth) for r in out] == [(1, 5, "deep"), (2, 1, "deep"), (3, 3, "index"), (4, 99, "index"), (5, 2, "index")]
+    out = numbered(spark, range(1, 9), [5], [99, 5, 2], k_deep=2, index_limit=5)
+    assert [(r.n, r.id, r.depth) for r in out] == [(1, 5, "deep"), (2, 1, "deep"), (3, 2, "index"), (4, 3, "index"), (5, 99, "index")]
+    # what the index shows already keeps its number
+    assert [r.id for r in numbered(spark, range(1, 11), pinned=[4], k_deep=3, index_limit=5)] == [1, 2, 3, 4, 5]
+    assert [r.id for r in numbered(spark, range(1, 11), pinned=[4, 9], k_deep=3, index_limit=5)] == [1, 2, 3, 4, 9]
+
+
+def test_context_slots(spark):
+    ids = lambda *a, **k: [(r.id, r.depth) for r in numbered(spark, *a, **k)]
+    assert ids(range(1, 9), [3], best=7, k_deep=3, index_limit=5) == [(3, "deep"), (7, "deep"), (1, "deep"), (2, "index"), (4, "index")]
+    assert ids(range(1, 9), best=77, k_deep=2, index_limit=3) == [(1, "deep"), (2, "deep"), (3, "index")]
+    assert ids(range(1, 9), [8, 6, 5, 4], best=3, k_deep=3, index_limit=5) == [(8, "deep"), (6, "deep"), (5, "deep"), (1, "index"), (2, "index")]
+    assert ids(range(1, 9), [8, 6], k_deep=3, index_limit=1) == [(8, "deep")]
+    out = numbered(spark, [1, 2], web=["u", "v"], k_deep=1, index_limit=2)
+    assert [(r.n, r.id, r.depth, r.uri) for r in out] == [(1, 1, "deep", None), (2, 2, "index", None), (3, None, "web", "u"), (4, None, "web", "v")]
+
+
+def test_markers_out_of_range_and_spaces(spark):
+    from weft.functions import text
+
+    df = spark.createDataFrame([("a [99999999999] b [01] [2]\t.",), ("Yes [9]\t.",), ("x  [3]   y\n",)], "answer string")
+    got = df.selectExpr("*", "array(1) as m").select(text.markers(df.answer), text.without_unmapped(df.answer, F.col("m"))).collect()
+    assert [tuple(r) for r in got] == [([1, 2], "a b [01]."), ([9], "Yes."), ([3], "x y")]
 
 
 def fused(spark, qvec=(1.0, 0.0), question="rust news", chunks=()):

@@ -68,15 +68,18 @@ def shortened(text: Column, size: int) -> Column:
 
 
 def markers(answer: Column) -> Column:
-    """Citation numbers [n] of an answer, in order, repeats kept."""
-    return F.transform(F.regexp_extract_all(answer, F.lit("\\[(\\d+)\\]"), F.lit(1)), lambda n: n.cast("int"))
+    """Citation numbers [n] of an answer, in order, repeats kept; numbers beyond an int cite nothing and are left out."""
+    numbers = F.transform(F.regexp_extract_all(answer, F.lit("\\[(\\d+)\\]"), F.lit(1)), lambda n: n.try_cast("int"))
+    return F.filter(numbers, lambda n: n.isNotNull())
 
 
 def without_unmapped(answer: Column, mapped: Column) -> Column:
     """An answer without the markers whose number mapped lacks, its spaces set right."""
-    missing = F.array_except(markers(answer), mapped)
-    out = F.aggregate(missing, answer, lambda text, n: F.replace(text, F.concat(F.lit("["), n.cast("string"), F.lit("]")), F.lit("")))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, " +([.,;:!?])", "$1"), " {2,}", " "))
+    written = F.array_distinct(F.regexp_extract_all(answer, F.lit("\\[\\d+\\]"), F.lit(0)))
+    missing = F.filter(written, lambda m: ~F.coalesce(F.array_contains(mapped, F.regexp_extract(m, "\\d+", 0).try_cast("int")), F.lit(False)))
+    out = F.aggregate(missing, answer, lambda text, m: F.replace(text, m, F.lit("")))
+    out = F.regexp_replace(F.regexp_replace(out, "(?U)\\s+([.,;:!?])", "$1"), "[ \\t]{2,}", " ")
+    return F.regexp_replace(out, "(?U)^\\s+|\\s+$", "")
 
 
 def says_not_found(answer: Column) -> Column:

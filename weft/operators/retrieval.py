@@ -15,7 +15,7 @@ BROADCAST_ROWS = 10_000
 
 def batch(questions: DataFrame) -> DataFrame:
     """A batch of questions, broadcast where a check of its size allows it."""
-    few = len(questions.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS
+    few = questions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return F.broadcast(questions) if few else questions
 
 
@@ -86,35 +86,47 @@ def pins(history: DataFrame, limit: int = vocab.PIN_SLOTS) -> DataFrame:
     return placed.where(F.col("place") <= limit).select("conv_id", "id", "place")
 
 
-def context(ranked: DataFrame, refs: DataFrame, pinned: DataFrame, k_deep: int = vocab.DEEP_SLOTS, index_limit: int = vocab.INDEX_TOP) -> DataFrame:
-    """(qid, id, n, depth): the numbered context of each question.
+def context(
+    ranked: DataFrame, refs: DataFrame, pinned: DataFrame, best: DataFrame | None = None, web: DataFrame | None = None,
+    k_deep: int = vocab.DEEP_SLOTS, index_limit: int = vocab.INDEX_TOP,
+) -> DataFrame:
+    """(qid, id, n, depth, and uri where web is given): the numbered context of each question.
 
-    ranked (qid, id, place), refs and pinned (qid, id, place). Deep slots take references, then ranked items; the
-    index takes further ranked items up to the limit; pinned items that are in neither come last and displace the
-    index's tail. Numbers run on from deep to index.
+    ranked (qid, id, place), refs and pinned (qid, id, place), best (qid, id), web (qid, place, uri). Deep slots take
+    references, then the item of the best passage if it is ranked, then ranked items. The index takes the ranked items
+    that are not deep, as many as the limit leaves beside the deep ones. Pinned items that are in neither come last, and
+    take the place of the index's tail. Sources of the web come after all others and count for no limit. Numbers run on.
     """
-    room = min(k_deep, index_limit)
-    n_refs = refs.groupBy("qid").agg(F.count("*").alias("n_refs"))  # no item further down can be shown
-    ranked = ranked.join(n_refs, "qid", "left").where(F.col("place") <= index_limit + F.coalesce("n_refs", F.lit(0)))
-    sources = refs.select("qid", "id", F.lit(0).alias("section"), "place").unionByName(ranked.select("qid", "id", F.lit(1).alias("section"), "place"))
-    by_item = Window.partitionBy("qid", "id").orderBy("section", "place")
-    ordered = sources.withColumn("seen", F.row_number().over(by_item)).where("seen = 1")
-    ordered = ordered.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("section", "place")))
-    shown = ordered.where(F.col("pos") <= index_limit).select("qid", "id", "pos", F.when(F.col("pos") <= room, "deep").otherwise("index").alias("depth"))
-    kept_pins = pinned.join(shown.where("depth = 'deep'").select("qid", "id"), ["qid", "id"], "left_anti")
-    kept_pins = kept_pins.withColumn("pin", F.row_number().over(Window.partitionBy("qid").orderBy("place"))).where(F.col("pin") <= index_limit - room)
-    counts = kept_pins.groupBy("qid").agg(F.count("*").alias("pins"))
-    rest = shown.join(kept_pins.select("qid", "id"), ["qid", "id"], "left_anti").join(counts, "qid", "left")
-    rest = rest.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy("pos"))).where(F.col("at") <= index_limit - F.coalesce("pins", F.lit(0)))
-    both = rest.select("qid", "id", "depth", F.lit(0).alias("last"), F.col("at").alias("o")).unionByName(kept_pins.select("qid", "id", F.lit("index").alias("depth"), F.lit(1).alias("last"), F.col("pin").alias("o")))
-    return both.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy("last", "o")).alias("n"), "depth")
+    first = Window.partitionBy("qid", "id").orderBy("section", "place")
+    offered = refs.select("qid", "id", F.lit(0).alias("section"), "place")
+    if best is not None:
+        offered = offered.unionByName(ranked.join(best.select("qid", "id"), ["qid", "id"], "left_semi").select("qid", "id", F.lit(1).alias("section"), "place"))
+    top = ranked.where(F.col("place") <= index_limit)  # no item further down can be shown for its rank
+    offered = offered.unionByName(top.select("qid", "id", F.lit(2).alias("section"), "place"))
+    once = offered.withColumn("seen", F.row_number().over(first)).where("seen = 1")
+    deep = once.withColumn("o", F.row_number().over(Window.partitionBy("qid").orderBy("section", "place"))).where(F.col("o") <= min(k_deep, index_limit)).select("qid", "id", "o")
+    room = deep.groupBy("qid").agg((F.lit(index_limit) - F.count("*")).alias("room"))
+    shown = top.join(deep.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("o", F.row_number().over(Window.partitionBy("qid").orderBy("place")))
+    shown = shown.join(room, "qid").where(F.col("o") <= F.col("room")).select("qid", "id", "o", "room")
+    there = deep.select("qid", "id").unionByName(shown.select("qid", "id"))
+    pins_ = pinned.join(there, ["qid", "id"], "left_anti").withColumn("o", F.row_number().over(Window.partitionBy("qid").orderBy("place")))
+    pins_ = pins_.join(room, "qid", "left").where(F.col("o") <= F.coalesce("room", F.lit(index_limit))).select("qid", "id", "o")
+    taken = pins_.groupBy("qid").agg(F.count("*").alias("pins"))
+    shown = shown.join(taken, "qid", "left").where(F.col("o") <= F.col("room") - F.coalesce("pins", F.lit(0)))
+    part = lambda df, n, depth: df.select("qid", "id", F.lit(n).alias("part"), "o", F.lit(depth).alias("depth"))
+    both = part(deep, 0, "deep").unionByName(part(shown, 1, "index")).unionByName(part(pins_, 2, "index"))
+    number = F.row_number().over(Window.partitionBy("qid").orderBy("part", "o")).alias("n")
+    if web is None:
+        return both.select("qid", "id", number, "depth")
+    tail = web.select("qid", F.lit(None).cast(both.schema["id"].dataType).alias("id"), F.lit(3).alias("part"), F.col("place").alias("o"), F.lit("web").alias("depth"), "uri")
+    return both.withColumn("uri", F.lit(None).cast("string")).unionByName(tail).select("qid", "id", number, "depth", "uri")
 
 
 def citations(answers: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(aid, n, id, place): an answer's markers that the mapping (aid, n, id) has, first occurrences in order."""
+    """(aid, n, id, kind, place): an answer's markers that the mapping (aid, n, id, kind) has, first occurrences in order."""
     found = answers.select("aid", F.posexplode(text.markers(F.col("answer"))).alias("pos", "n"))
     first = found.groupBy("aid", "n").agg(F.min("pos").alias("pos")).join(mapping, ["aid", "n"])
-    return first.select("aid", "n", "id", F.row_number().over(Window.partitionBy("aid").orderBy("pos")).alias("place"))
+    return first.select("aid", "n", "id", "kind", F.row_number().over(Window.partitionBy("aid").orderBy("pos")).alias("place"))
 
 
 def missing_roles(asked: DataFrame, items: DataFrame) -> DataFrame:

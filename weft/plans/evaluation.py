@@ -48,15 +48,19 @@ SQL_RECALL = "recalls as (select m.qid, count(*) as n, round(count(*) filter (pl
 
 
 def _must_have(spark, sf_dir):
-    """(qid, id): the documents that contain a benchmark passage, found by the passage's first words and checked whole."""
+    """(qid, id): the documents that contain a benchmark passage, found by the passage's longest inner word and checked whole."""
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
     # an inner word of the passage is a whole word of any text that holds it; the longest is the rarest
     inner = F.regexp_extract_all("passage", F.lit("(?<=[ \\n])[^ \\n]+(?=[ \\n])"), F.lit(0))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     words = d.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0)))).alias("w"))
-    near = words.join(retrieval.batch(q.withColumn("w", longest)), "w").select("qid", "id", "passage")
-    return near.join(d, "id").where(F.contains("text", F.col("passage"))).select("qid", "id").distinct()
+    asked = q.withColumn("w", longest)
+    near = words.join(retrieval.batch(asked.where("w is not null")), "w").select("qid", "id", "passage")
+    found = near.join(d, "id").where(F.contains("text", F.col("passage"))).select("qid", "id")
+    # passages of one or two words have no inner one: these are looked for in every text
+    short = d.join(retrieval.batch(asked.where("w is null and passage is not null")), F.contains("text", F.col("passage"))).select("qid", "id")
+    return found.union(short).distinct()
 
 
 @query(sql("select qid, id from must", SQL_MUST))

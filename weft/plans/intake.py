@@ -93,10 +93,10 @@ def gate_json(spark, sf_dir):
 
 
 def _short(spark, sf_dir):
-    return items(spark, sf_dir).select("id", F.concat(F.col("title"), F.lit(" "), F.substring("body", 1, 300)).alias("text"))
+    return items(spark, sf_dir).select("id", F.concat(F.col("title"), F.lit(" "), F.col("body")).alias("text"))
 
 
-SQL_TFIDF = """t as (select id, title || ' ' || substr(body, 1, 300) as text from items),
+SQL_TFIDF = """t as (select id, title || ' ' || body as text from items),
 tf as (select id, term, count(*) as tf from (select id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) as term from t) group by all),
 df as (select term, count(*) as df from tf group by 1),
 raw as (select id, term, tf * (ln((1.0::double + (select count(*) from t)) / (1.0::double + df)) + 1.0::double) as raw from tf join df using (term)),
@@ -106,7 +106,7 @@ pairs as materialized (select a.id as a, b.id as b, sum(a.w * b.w) as similarity
 
 @query(sql("select a, b, round(similarity, 6) as similarity from pairs where a in (select min(id) from t group by text) and b in (select min(id) from t group by text)", SQL_TFIDF))
 def similar_representatives(spark, sf_dir):
-    """Pairs of distinct texts, by their smallest ids, with TF-IDF cosine of 0.6 or more over title and start of the text."""
+    """Pairs of distinct texts, by their smallest ids, with TF-IDF cosine of 0.6 or more over title and whole text."""
     pairs = similarity.similar_representatives(_short(spark, sf_dir))
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -133,11 +133,33 @@ def dedup_run(spark, sf_dir):
     return similarity.dedup(i.join(_short(spark, sf_dir), "id"), as_of())
 
 
-@query()
+_WINDOW = "substr(t, pos + 1, 2000)"
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _cut(pattern: str, least: int) -> str:
+    """Where the last match of a pattern in the window ends, if that is not before least."""
+    reach = f"length(regexp_extract({_WINDOW}, '(?s)^(.*{pattern})', 1))"
+    return f"case when {reach} >= {least} then {reach} end"
+
+
+# every step cuts one window off a text; the second half is tried for paragraphs, sentences and lines, the whole for words
+SQL_PASSAGES = f"""texts as (select doc_id as id, trim(text, {_SPACE}) as t from documents where length(trim(text, {_SPACE})) >= 120),
+cuts as (select id, t, 0 as pos, 0 as step, null::bigint as done from texts union all
+ select id, t, greatest(case when gap > 0 and back + gap <= pos + cut then back + gap else back end, pos + 1), step + 1, pos + cut from (
+  select *, strpos(substr(t, back + 1), ' ') as gap from (select *, pos + greatest(cut - 300, 1) as back from (
+   select id, t, pos, step, coalesce({_cut(r'\n\s*\n', 1000)}, {_cut(r'[.!?…]\s', 1000)}, {_cut(r'\n', 1000)}, {_cut(r' ', 1)}, 2000) as cut from cuts where length(t) - pos > 2400)))),
+pieces as (select c.id, c.step, trim(substr(c.t, c.pos + 1, coalesce(n.done, length(c.t)) - c.pos), {_SPACE}) as piece, n.done is null as tail from cuts c left join cuts n on n.id = c.id and n.step = c.step + 1),
+whole as (select * from pieces where length(piece) >= 120),
+short_tail as (select id, piece from pieces where tail and length(piece) between 1 and 119)"""
+
+
+@query(f"with recursive {SQL_PASSAGES} select id, ordinal, length(content) as n_chars, sha256(content) as content_sha256 from (select w.id, row_number() over (partition by w.id order by w.step) - 1 as ordinal, case when w.step = max(w.step) over (partition by w.id) and s.piece is not null then w.piece || chr(10) || s.piece else w.piece end as content from whole w left join short_tail s using (id))")
 def passages(spark, sf_dir):
-    """Passages of every text with their place; a sequential scan, checked by properties in the tests."""
+    """Passages of every text with their place."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return chunks.chunked(d).select("id", "ordinal", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
+    out = chunks.chunked(d).select("id", "ordinal", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
+    return corpus.longs(out, "ordinal", "n_chars")
 
 
 @query("select ts::date as day, count(*) filter (event_type = 'view') as analysed, coalesce(sum(value) filter (event_type = 'click'), 0) > 0 as any_calls, round(coalesce(sum(value) filter (event_type = 'click'), 0), 4) as calls, coalesce(count(*) filter (event_type = 'error'), 0) as searches from events group by 1")

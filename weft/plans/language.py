@@ -38,7 +38,7 @@ def sentence_counts(spark, sf_dir):
 
 
 SQL_TERMS = f"terms as (select item_id as qid, unnest(list_distinct(list_filter({TOKENS.format('text')}, lambda t: length(t) >= 2 and not list_contains({sql_list(vocab.STOPWORDS)}, t)))) as term from benchmark)"
-SQL_WORDS = f"words as (select id, unnest(list_distinct({TOKENS.format('''title || ' ' || event_type || ' ' || array_to_string(topics, ' ') || ' ' || substr(body, 1, 2000)''')})) as term from items)"
+SQL_WORDS = f"words as (select id, unnest(list_distinct({TOKENS.format('''title || ' ' || event_type || ' ' || array_to_string(topics, ' ') || ' ' || body''')})) as term from items)"
 SQL_REL = "rel as materialized (select qid, id, count(*) as rel from terms join words using (term) group by all)"
 
 
@@ -50,8 +50,8 @@ def _questions(spark, sf_dir):
 
 
 def _searched(spark, sf_dir):
-    """Items with the words of what is searched: title, type, topics and the passage of the first 2000 characters."""
-    shown = F.concat_ws(" ", "title", "event_type", F.array_join("topics", " "), F.substring("body", 1, 2000))
+    """Items with the words of what is searched: title, type, topics and whole text."""
+    shown = F.concat_ws(" ", "title", "event_type", F.array_join("topics", " "), "body")
     return items(spark, sf_dir).withColumn("words", F.array_distinct(text.tokens(shown)))
 
 
@@ -132,18 +132,26 @@ def history_pins(spark, sf_dir):
     return corpus.longs(retrieval.pins(_history(spark, sf_dir)), "place")
 
 
-@query(sql("""select qid, id, row_number() over (partition by qid order by last, o) as n, depth from (
- select s.qid, s.id, depth, 0 as last, row_number() over (partition by s.qid order by pos) as o, p.pins from shown s left join (select qid, count(*) as pins from kept_pins group by 1) p using (qid) where not exists (select 1 from kept_pins k where k.qid = s.qid and k.id = s.id)
- union all select qid, id, 'index', 1, pin, null from kept_pins) where last = 1 or o <= 60 - coalesce(pins, 0)""", SQL_TERMS, SQL_WORDS, SQL_REL, SQL_VEC, SQL_PASSAGES, SQL_HYBRID, SQL_PINS, """both_ as (select qid, id, min(section) as section from (select item_id as qid, item_id as id, 0 as section from benchmark union all select qid, id, 1 from ranked) group by all),
-ordered as (select b.qid, b.id, row_number() over (partition by b.qid order by b.section, r.place) as pos from both_ b left join ranked r using (qid, id)),
-shown as materialized (select qid, id, pos, case when pos <= 3 then 'deep' else 'index' end as depth from ordered where pos <= 60),
-kept_pins as materialized (select p.conv_id as qid, p.id, row_number() over (partition by p.conv_id order by p.place) as pin from pins p where p.place <= 3 and p.conv_id in (select item_id from benchmark) and not exists (select 1 from shown s where s.qid = p.conv_id and s.id = p.id and s.depth = 'deep'))"""))
+SQL_CONTEXT = """nearest as (select qid, min(id) as id from best where chunk_rank = 1 group by 1 having count(*) = 1),
+offered as (select item_id as qid, item_id as id, 0 as section, 1 as place from benchmark union all select qid, id, 1, place from ranked join nearest using (qid, id) union all select qid, id, 2, place from ranked),
+deep as materialized (select * from (select qid, id, row_number() over (partition by qid order by section, place) as o from (select *, row_number() over (partition by qid, id order by section) as seen from offered) where seen = 1) where o <= 3),
+room as (select qid, 60 - count(*) as room from deep group by 1),
+shown as materialized (select * from (select r.qid, r.id, row_number() over (partition by r.qid order by r.place) as o, room from ranked r join room using (qid) where not exists (select 1 from deep d where d.qid = r.qid and d.id = r.id)) where o <= room),
+kept_pins as materialized (select * from (select p.conv_id as qid, p.id, row_number() over (partition by p.conv_id order by p.place) as o, room from pins p join room on room.qid = p.conv_id
+ where p.place <= 3 and not exists (select 1 from deep d where d.qid = p.conv_id and d.id = p.id) and not exists (select 1 from shown s where s.qid = p.conv_id and s.id = p.id)) where o <= room),
+numbered as (select qid, id, 0 as part, o, 'deep' as depth from deep
+ union all select s.qid, s.id, 1, s.o, 'index' from shown s left join (select qid, count(*) as n from kept_pins group by 1) k using (qid) where s.o <= room - coalesce(n, 0)
+ union all select qid, id, 2, o, 'index' from kept_pins)"""
+
+
+@query(sql("select qid, id, row_number() over (partition by qid order by part, o) as n, depth from numbered", SQL_TERMS, SQL_WORDS, SQL_REL, SQL_VEC, SQL_PASSAGES, SQL_HYBRID, SQL_PINS, SQL_CONTEXT))
 def answer_context(spark, sf_dir):
-    """Numbered context of every question: its own item and ranked ones deep, an index, pins of the conversation of its number."""
+    """Numbered context of every question: its own item, that of its best passage and ranked ones deep, an index, pins of the conversation of its number."""
     q = read(spark, sf_dir, "benchmark")
     refs = q.select(F.col("item_id").alias("qid"), F.col("item_id").alias("id"), F.lit(1).alias("place"))
     pinned = retrieval.pins(_history(spark, sf_dir)).withColumnRenamed("conv_id", "qid").join(q.select(F.col("item_id").alias("qid")), "qid", "left_semi")
-    return corpus.longs(retrieval.context(_ranked(spark, sf_dir).select("qid", "id", "place"), refs, pinned), "n")
+    best = retrieval.best_passage(retrieval.passage_ranks(_questions(spark, sf_dir), _chunks(spark, sf_dir)))
+    return corpus.longs(retrieval.context(_ranked(spark, sf_dir).select("qid", "id", "place"), refs, pinned, best), "n")
 
 
 def _answers(spark, sf_dir):
@@ -155,11 +163,12 @@ def _answers(spark, sf_dir):
 SQL_ANSWERS = "answers as (select doc_id as aid, doc_id % 7 + 1 as x, doc_id % 4 as y from documents)"
 
 
-@query(f"with {SQL_ANSWERS} select aid, x as n, aid * 10 + x as id, 1 as place from answers where x <= 5 union all select aid, y, aid * 10 + y, case when x <= 5 then 2 else 1 end from answers where y between 1 and 5 and y <> x")
+@query(f"with {SQL_ANSWERS} select *, case when n = 5 then 'web' else 'insight' end as kind from (select aid, x as n, aid * 10 + x as id, 1 as place from answers where x <= 5 union all select aid, y, aid * 10 + y, case when x <= 5 then 2 else 1 end from answers where y between 1 and 5 and y <> x)")
 def answer_citations(spark, sf_dir):
     """Markers resolved over a mapping of five numbers."""
     answers = _answers(spark, sf_dir)
     mapping = answers.select("aid", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")).withColumn("id", F.col("aid") * 10 + F.col("n"))
+    mapping = mapping.withColumn("kind", F.when(F.col("n") == 5, "web").otherwise("insight"))
     return corpus.longs(retrieval.citations(answers, mapping), "n")
 
 
