@@ -20,6 +20,8 @@ class Filters:
     urgency: list[str] = field(default_factory=list)
     tiers: list[str] = field(default_factory=list)
     sources: list[str] = field(default_factory=list)
+    momentum: list[str] = field(default_factory=list)
+    relevance: list[str] = field(default_factory=list)
     search: str | None = None
     since: str | None = None
 
@@ -32,7 +34,7 @@ def filtered(items: DataFrame, by: Filters) -> DataFrame:
     out = visible(items)
     if by.roles:
         out = out.where(F.arrays_overlap("roles", F.array(*map(F.lit, by.roles))))
-    for column, values in (("urgency", by.urgency), ("tier", by.tiers), ("source", by.sources)):
+    for column, values in (("urgency", by.urgency), ("tier", by.tiers), ("source", by.sources), ("momentum", by.momentum), ("relevance", by.relevance)):
         if values:
             out = out.where(F.col(column).isin(values))
     if by.search:

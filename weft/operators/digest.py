@@ -21,6 +21,11 @@ def rested(subscribers: DataFrame, log: DataFrame, as_of, hours: int = vocab.COO
     return subscribers.join(recent, "subscriber", "left_anti")
 
 
+def lately(items: DataFrame, as_of, hours: int = vocab.LOOKBACK_HOURS) -> DataFrame:
+    """What a digest may offer: visible items made in the last hours before as_of."""
+    return visible(items).where(F.col("created_at") >= as_of - F.make_dt_interval(F.lit(0), F.lit(hours)))
+
+
 def matches(people: DataFrame, items: DataFrame) -> DataFrame:
     """(profile, id, role, role_pos) of people (profile, roles): a row for each shared role, and one of the company-wide role for items of it.
 

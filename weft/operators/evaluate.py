@@ -72,3 +72,8 @@ def role_coverage(sources: DataFrame, taxonomy: DataFrame, thin: int = 5) -> Dat
 
 def newest_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("r = 1").drop("r")
+
+
+def judged_only(gates: DataFrame) -> DataFrame:
+    """Rows of gates (gate_skipped) that a gate has judged: what let items pass unseen counts in no statistics."""
+    return gates.where(~F.coalesce("gate_skipped", F.lit(False)))

@@ -61,6 +61,25 @@ def _verified(weighted: DataFrame, least: float) -> DataFrame:
     return dots.where(F.col("similarity") >= least - 1e-12)
 
 
+def recent(items: DataFrame, as_of, days: int = vocab.DEDUP_DAYS) -> DataFrame:
+    """What a clustering run takes: published items made since the start of the day that lies days before as_of."""
+    return items.where((F.col("status") == "published") & (F.col("created_at") >= F.date_sub(F.to_date(as_of), days).cast("timestamp_ntz")))
+
+
+def reset(items: DataFrame, taken: DataFrame) -> DataFrame:
+    """items with the clusters of the taken ids (id) undone: no cluster, primary each; other items keep theirs."""
+    marked = items.join(taken.select("id", F.lit(True).alias("__taken")), "id", "left")
+    undone = F.coalesce("__taken", F.lit(False))
+    return marked.withColumns({
+        "cluster_id": F.when(~undone, F.col("cluster_id")), "is_primary": F.when(undone, True).otherwise(F.col("is_primary")),
+    }).drop("__taken").select(items.columns)
+
+
+def counters(marked: DataFrame) -> DataFrame:
+    """One row of a run's (cluster_id, is_primary): clusters_created and duplicates_marked."""
+    return marked.agg(F.count_distinct("cluster_id").alias("clusters_created"), F.count_if(F.col("cluster_id").isNotNull() & ~F.col("is_primary")).alias("duplicates_marked"))
+
+
 def dedup(items: DataFrame, as_of, least: float = vocab.SIMILARITY) -> DataFrame:
     """(id, cluster_id, is_primary, cluster_size, momentum) of items (id, text, trust_tier, published_at, confidence).
 

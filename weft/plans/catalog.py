@@ -131,3 +131,11 @@ def backfilled_scores(spark, sf_dir):
     """Even ids lost their score and get a new one."""
     lost = items(spark, sf_dir).withColumn("score", F.when(F.col("id") % 2 == 1, F.col("score")))
     return lifecycle.backfill_scores(lost, as_of()).select("id", "event_type", "score")
+
+
+@query(sql("select id from items where status = 'published' and is_primary and id % 3 in (0, 1) and id % 4 = 2"))
+def filtered_by_momentum(spark, sf_dir):
+    """Visible items by momentum and relevance."""
+    k = F.col("id")
+    marked = items(spark, sf_dir).withColumns({"momentum": corpus.pick(["new", "rising", "mature"], k), "relevance": corpus.pick(["low", "low", "high", "medium"], k)})
+    return catalog.filtered(marked, catalog.Filters(momentum=["new", "rising"], relevance=["high"])).select("id")

@@ -121,3 +121,10 @@ def role_coverage(spark, sf_dir):
     roles = F.array(corpus.pick(vocab.TARGET_ROLES[:6], F.length(name)), corpus.pick(vocab.TARGET_ROLES[:6], F.ascii(F.right(name, F.lit(1)))))
     taxonomy = spark.createDataFrame([(r,) for r in vocab.TARGET_ROLES], "role string")
     return evaluate.role_coverage(named.select("name", roles.alias("target_roles")), taxonomy)
+
+
+@query(sql(f"select *, {SQL_METRICS} from (select {SQL_RATES} from (select i.source, l.quality = 1 as label, i.gate_score >= 0.4 as predicted from labels l join items i on i.id = l.doc_id where i.id % 6 <> 5))"))
+def gate_confusion_judged(spark, sf_dir):
+    """The gate against labels, without items that passed because it failed."""
+    gates = read(spark, sf_dir, "labels").join(items(spark, sf_dir), F.col("doc_id") == F.col("id")).withColumn("gate_skipped", F.col("id") % 6 == 5)
+    return evaluate.confusion(evaluate.judged_only(gates).select("source", (F.col("quality") == 1).alias("label"), (F.col("gate_score") >= 0.4).alias("predicted")))

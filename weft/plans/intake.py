@@ -219,3 +219,39 @@ def orphans(spark, sf_dir):
     parents = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     children = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")).union(spark.createDataFrame([(None,)], "id long"))
     return lifecycle.orphans(parents, children)
+
+
+_TAKEN = f"status = 'published' and created_at >= date_trunc('day', timestamp '{corpus.AS_OF}') - interval 7 days"
+
+
+@query(sql(f"select id from items where {_TAKEN}"))
+def dedup_intake(spark, sf_dir):
+    """Items that a clustering run takes: published ones of the last seven days."""
+    return similarity.recent(items(spark, sf_dir), as_of()).select("id")
+
+
+@query(sql_recursive(f"select count(distinct case when n > 1 then cluster end) as clusters_created, coalesce(sum(case when n > 1 and place > 1 then 1 else 0 end), 0)::bigint as duplicates_marked from (select c.cluster, count(*) over (partition by c.cluster) as n, row_number() over (partition by c.cluster order by c.id) as place from clusters c)", SQL_TFIDF.replace("from items)", f"from items where {_TAKEN})", 1), SQL_CLUSTERS))
+def dedup_counters(spark, sf_dir):
+    """Counters of a clustering run over the items of the last seven days."""
+    taken = similarity.recent(items(spark, sf_dir), as_of())
+    texts = _short(spark, sf_dir)
+    return similarity.counters(similarity.dedup(taken.select("id", "trust_tier", "published_at", "confidence").join(texts, "id"), as_of()))
+
+
+@query(sql(f"select id, case when {_TAKEN} then null else id % 10 end as cluster_id, case when {_TAKEN} then true else id % 2 = 0 end as is_primary from items"))
+def cluster_reset(spark, sf_dir):
+    """Clusters undone for what a run takes, kept for the rest."""
+    i = items(spark, sf_dir)
+    held = i.select("id", (F.col("id") % 10).alias("cluster_id"), (F.col("id") % 2 == 0).alias("is_primary"))
+    return similarity.reset(held, similarity.recent(i, as_of()))
+
+
+@query(sql("""select status, count(*) as n from (select case when trim(c) = '' then 'failed' when id % 6 <> 5 and id % 3 = 0 then 'low_signal' when confidence < 0.3 then 'failed' else 'analyzed' end as status from (select *, case when id % 50 = 7 then ' ' else body end as c from items)) group by 1"""))
+def analysis_counters(spark, sf_dir):
+    """How many documents an analysis made, skipped and failed."""
+    return gate_routes(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(sql("select tier, count(*) as n from items group by 1"))
+def tier_distribution(spark, sf_dir):
+    return items(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("n"))

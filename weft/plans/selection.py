@@ -87,3 +87,9 @@ def top_event_types(spark, sf_dir):
     counts = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))
     return corpus.longs(counts.withColumn("place", place).where("place <= 2"), "place")
+
+
+@query(sql(f"select id, created_at from items where status = 'published' and is_primary and created_at >= timestamp '{corpus.AS_OF}' - interval 108 hours"))
+def digest_candidates(spark, sf_dir):
+    """Items that the next digest may offer."""
+    return digest.lately(items(spark, sf_dir), as_of()).select("id", "created_at")
