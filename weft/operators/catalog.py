@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft import vocab
@@ -114,3 +114,13 @@ def facets(counts: DataFrame, search: str = "", limit: int = 12) -> DataFrame:
     """Sources (name, n_items) whose name contains search: the first limit with items by count, then name, and those without."""
     found = counts.where(F.contains(F.lower("name"), F.lit(search.lower()))).withColumn("has_items", F.col("n_items") > 0)
     return found.withColumn("place", F.row_number().over(Window.partitionBy("has_items").orderBy(F.desc("n_items"), "name"))).where(F.col("place") <= limit)
+
+
+def tier_distribution(items: DataFrame) -> DataFrame:
+    """(tier, n) of all items."""
+    return items.groupBy("tier").agg(F.count("*").alias("n"))
+
+
+def same_preset(a: Column, b: Column) -> Column:
+    """Whether two choices of a filter are one: as many entries, and all of b among a."""
+    return (F.size(a) == F.size(b)) & F.forall(b, lambda x: F.array_contains(a, x))

@@ -57,3 +57,29 @@ def backfill_scores(items: DataFrame, as_of) -> DataFrame:
 def last_events(events: DataFrame) -> DataFrame:
     """(request, kind, payload): the last event of each request; a commit or error replaces the tokens before it."""
     return events.withColumn("r", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("seq")))).where("r = 1").select("request", "kind", "payload")
+
+
+def backfill_dates(docs: DataFrame) -> DataFrame:
+    """Documents without a date of publication take that of their fetch; terminal ones without analyzed_at take updated_at."""
+    done = F.col("status").isin(vocab.TERMINAL_STATES)
+    return docs.withColumns({
+        "published_at": F.coalesce("published_at", "fetched_at"),
+        "analyzed_at": F.coalesce("analyzed_at", F.when(done, F.col("updated_at"))),
+    })
+
+
+def change_subscribers(subscribers: DataFrame, changes: DataFrame) -> DataFrame:
+    """subscribers with what changes (subscriber, roles, active; one row each) set; nulls leave the old, unknown ones change nothing."""
+    new = changes.select("subscriber", F.col("roles").alias("__roles"), F.col("active").alias("__active"))
+    changed = subscribers.join(new, "subscriber", "left")
+    return changed.withColumns({"roles": F.coalesce("__roles", "roles"), "active": F.coalesce("__active", "active")}).select(subscribers.columns)
+
+
+def remove_subscribers(subscribers: DataFrame, gone: DataFrame) -> DataFrame:
+    return subscribers.join(gone.select("subscriber"), "subscriber", "left_anti").select(subscribers.columns)
+
+
+def deactivate(subscribers: DataFrame, tokens: DataFrame) -> DataFrame:
+    """subscribers whose token is among tokens (token) stay as inactive ones; null and unknown tokens change nothing."""
+    used = tokens.select("token").distinct().withColumn("__used", F.lit(True))
+    return subscribers.join(used, "token", "left").withColumn("active", F.col("active") & F.col("__used").isNull()).select(subscribers.columns)

@@ -139,3 +139,37 @@ def filtered_by_momentum(spark, sf_dir):
     k = F.col("id")
     marked = items(spark, sf_dir).withColumns({"momentum": corpus.pick(["new", "rising", "mature"], k), "relevance": corpus.pick(["low", "low", "high", "medium"], k)})
     return catalog.filtered(marked, catalog.Filters(momentum=["new", "rising"], relevance=["high"])).select("id")
+
+
+@query(sql("select tier, count(*) as n from items group by 1"))
+def tier_distribution(spark, sf_dir):
+    return catalog.tier_distribution(items(spark, sf_dir))
+
+
+@query(sql("select id, len(roles) = 2 and list_contains(roles, 'Security') and list_contains(roles, 'Dev') as same from items"))
+def equal_presets(spark, sf_dir):
+    """Whether an item's roles are those of a preset, in any order."""
+    return items(spark, sf_dir).select("id", catalog.same_preset(F.col("roles"), F.array(F.lit("Security"), F.lit("Dev"))).alias("same"))
+
+
+@query(sql(f"select id, coalesce(published_at, created_at) as published_at, case when id % 4 in (0, 2, 3) then case when id % 6 = 0 then timestamp '{corpus.BASE}' else created_at end when id % 6 = 0 then timestamp '{corpus.BASE}' end as analyzed_at from items"))
+def backfilled_dates(spark, sf_dir):
+    """Dates of documents in every state, some with a date of analysis."""
+    k = F.col("id")
+    docs = items(spark, sf_dir).select(
+        "id", "published_at", F.col("created_at").alias("fetched_at"), F.col("created_at").alias("updated_at"),
+        corpus.pick(["analyzed", "pending", "failed", "low_signal"], k).alias("status"), F.when(k % 6 == 0, F.expr(f"timestamp_ntz'{corpus.BASE}'")).alias("analyzed_at"),
+    )
+    return lifecycle.backfill_dates(docs).select("id", "published_at", "analyzed_at")
+
+
+@query("with " + corpus.SQL_SUBSCRIBERS + """ select subscriber, case when subscriber % 5 = 0 then 'Dev' else array_to_string(roles, ',') end as roles, case when subscriber % 3 = 0 then false when subscriber % 5 = 0 then true else active end as active from subscribers where subscriber % 7 <> 0""")
+def changed_subscribers(spark, sf_dir):
+    """Some subscribers take a new role and come back, some leave by the token of their mail, some are deleted."""
+    k = F.col("subscriber")
+    known = corpus.subscribers(spark, sf_dir).withColumn("token", F.concat(F.lit("t"), k.cast("string")))
+    changes = known.where(k % 5 == 0).select("subscriber", F.array(F.lit("Dev")).alias("roles"), F.lit(True).alias("active"))
+    unknown = changes.select((k + 1_000_000_000).alias("subscriber"), "roles", "active")
+    changed = lifecycle.change_subscribers(known, changes.union(unknown))
+    left = lifecycle.deactivate(changed, known.where(k % 3 == 0).select("token"))
+    return lifecycle.remove_subscribers(left, known.where(k % 7 == 0)).select("subscriber", F.array_join("roles", ",").alias("roles"), "active")
