@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from weft import vocab
-from weft.operators import digest, evaluate, graph, ingest, lifecycle, retrieval, similarity
+from weft.operators import catalog, digest, evaluate, graph, ingest, lifecycle, retrieval, similarity
 
 NOW = datetime(2026, 7, 20)
 ITEM = "id long, roles array<string>, impact_label string, score double, tier string, trust_score double, published_at timestamp_ntz, created_at timestamp_ntz, status string, is_primary boolean, recommendations map<string, struct<action_type: string, note: string, urgency: string>>, indicators map<string, boolean>"
@@ -128,3 +128,16 @@ def test_evaluation(spark):
     assert evaluate.quality_gate(scores, 0.94).first().passed and not evaluate.quality_gate(scores, 0.96).first().passed
     assert ingest.first_of_each(spark.createDataFrame([("k", 2), ("k", 1)], "k string, o int"), "k", "o").first().o == 1
     assert evaluate.newest_first(spark.createDataFrame([("k", 2), ("k", 1)], "k string, o int"), "k", "o").first().o == 2
+
+
+def test_references_by_count_and_by_page(spark):
+    rows = [(1, 7, "published"), (2, 7, "published"), (3, 7, "pending"), (4, 7, None), (5, 8, "published"), (6, None, "published")]
+    items = spark.createDataFrame(rows, "id long, cluster_id long, status string")
+    counts = {r.id: (r.cluster_id, r.n_others) for r in catalog.references(items).collect()}
+    assert counts == {1: (7, 1), 2: (7, 1), 3: (7, 2), 4: (7, 2), 5: (8, 0)}
+    asked = spark.createDataFrame([(i,) for i in (1, 3, 3, 5, 6, 99, None)], "id long")
+    pairs = catalog.references_of(items, asked).collect()
+    assert sorted(map(tuple, pairs)) == [(1, 2), (3, 1), (3, 2)]
+    every = catalog.references_of(items, items.select("id")).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in every} == {i: n for i, (_, n) in counts.items() if n}
+    assert catalog.references(items.limit(0)).isEmpty() and catalog.references_of(items.limit(0), asked).isEmpty()

@@ -77,10 +77,25 @@ def source_counts(sources: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def references(items: DataFrame) -> DataFrame:
-    """(id, other): the other published items of an item's cluster."""
+    """(id, cluster_id, n_others): every item of a cluster, with the number of the other published items there.
+
+    Membership and counts say all that the pairs would, and grow with the items, not with the square of a cluster. Items
+    without a cluster are left out; ids are taken to be unique.
+    """
+    known = items.where("cluster_id is not null").select("id", "cluster_id", F.coalesce(F.col("status") == "published", F.lit(False)).cast("bigint").alias("own"))
+    counts = known.groupBy("cluster_id").agg(F.sum("own").alias("n"))
+    return known.join(counts, "cluster_id").select("id", "cluster_id", (F.col("n") - F.col("own")).alias("n_others"))
+
+
+def references_of(items: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, other): the other published items in the clusters of the asked items (id), as the page of an item lists them.
+
+    asked is meant to be a page of ids; repeated and unknown ids and items without a cluster add nothing.
+    """
     known = items.where("cluster_id is not null")
+    mine = known.join(asked.select("id").distinct(), "id", "left_semi").select("id", "cluster_id")
     others = known.where("status = 'published'").select("cluster_id", F.col("id").alias("other"))
-    return known.select("id", "cluster_id").join(others, "cluster_id").where("id != other").select("id", "other")
+    return mine.join(others, "cluster_id").where("id != other").select("id", "other")
 
 
 def by_ids(items: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:

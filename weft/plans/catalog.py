@@ -56,7 +56,7 @@ def source_counts(spark, sf_dir):
     return catalog.source_counts(corpus.sources(spark, sf_dir), items(spark, sf_dir))
 
 
-@query(sql("select a.id, b.id as other from items a join items b on a.cluster_id = b.cluster_id and a.id <> b.id and b.status = 'published'"))
+@query(sql("select id, cluster_id, (select count(*) from items b where b.cluster_id = a.cluster_id and b.id <> a.id and b.status = 'published') as n_others from items a where cluster_id is not null"))
 def cluster_references(spark, sf_dir):
     return catalog.references(items(spark, sf_dir))
 
