@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import ann, html, licenses, lm, media, mixing, pieces, quality, secrets, simhash
+from weft.llm import ann, audit, html, licenses, lm, media, mixing, pieces, quality, secrets, simhash
 from weft.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and remove in every order, by language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing": op2_mixing,
@@ -71,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_media_columns": op9_media_columns,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
+    "op12_filter_audit": audit.oracle(),
 }
