@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import ann, audit, html, licenses, lm, media, mixing, pieces, quality, secrets, simhash
+from weft.llm import ann, audit, html, licenses, lm, media, mixing, periodic, pieces, quality, secrets, simhash
 from weft.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every whole text, and the digest of its words without the repeats."""
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing": op2_mixing,
@@ -77,9 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": op9_media_columns,
     "op10_sentencepiece": op10_sentencepiece,
     "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
     "op12_filter_audit": audit.oracle(),
+    "op13_periodic_runs": periodic.oracle(),
 }
