@@ -250,8 +250,8 @@ crc as (select doc_id, s, 0 as k, 4294967295::bigint as c from ids union all sel
 h as (select doc_id, xor(c, 4294967295) as h from crc where k = length(s)),
 d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}') as w, len(w) as n from documents),
 f as materialized (select r, doc_id, w, n, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a, case when h % 10 = 0 and n > 0 then 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) end as p from d left join h using (doc_id)),
-place as (select r, a, p, w, unnest(range(n)) as i from f),
-word as materialized (select r, i, w[1 + case when a is not null and i >= a then a + (i - a) % p else i end] as word from place),
+own as materialized (select r, a, p, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from f),
+word as materialized (select x.r, x.i, y.word from own x join own y on y.r = x.r and y.i = case when x.a is not null and x.i >= x.a then x.a + (x.i - x.a) % x.p else x.i end),
 pairs as (select x.r, x.i, y.i - x.i as q from word x join word y on x.r = y.r and x.word = y.word and y.i > x.i join f on f.r = x.r where (y.i - x.i) * {TIMES} <= f.n),
 island as (select r, q, min(i) as start, count(*) + q as length from (select r, q, i, i - row_number() over (partition by r, q order by i) as g from pairs) group by r, q, g having count(*) + q >= greatest({LEAST}, {TIMES} * q)),
 run as materialized (select r, start, length, min(q) as period from island group by all),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import ann, audit, html, licenses, lm, media, mixing, periodic, pieces, quality, secrets, simhash
+from weft.llm import ann, audit, decontaminate, html, licenses, lm, media, mixing, periodic, pieces, quality, secrets, simhash
 from weft.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text that lie in ten-word windows of benchmark items, and the items."""
+    return decontaminate.contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters keep and remove in every order, by language."""
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -81,12 +86,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_media_columns": op9_media_columns,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_decontamination": op11_decontamination,
     "op12_filter_audit": op12_filter_audit,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
+    "op11_decontamination": decontaminate.oracle(),
     "op12_filter_audit": audit.oracle(),
     "op13_periodic_runs": periodic.oracle(),
 }
