@@ -1,4 +1,4 @@
-"""TF-IDF near-duplicate clustering by an exactly filtered inverted index."""
+"""TF-IDF near-duplicate clustering by exact block products of distinct texts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft import vocab
 from weft.functions import scoring
+from weft.operators import products
 from weft.operators.graph import components
 from weft.operators.lineage import cut
 
@@ -17,48 +18,43 @@ def clusters(items: DataFrame, least: float = vocab.SIMILARITY) -> DataFrame:
     """(id, cluster): the smallest id reachable over similar pairs, itself for singletons.
 
     Items of equal text are one node: its smallest id stands for them all, so a group of copies makes no pairs.
-    Texts without terms are alone unless equal.
+    Texts without terms are alone unless equal; null texts are empty.
     """
-    keyed = cut(items.select("id", F.sha2("text", 256).alias("key"), "text"))
+    keyed = _keyed(items)
     leaders = keyed.groupBy("key").agg(F.min("id").alias("id"))
-    labels = components(similar_representatives(keyed, least).select("a", "b"))
+    labels = components(products.pairs(_vectors(keyed), least, forest=True).select("a", "b"))
     named = cut(leaders.join(labels, leaders.id == labels.node, "left").select("key", F.coalesce("label", "id").alias("cluster")))
     return keyed.select("id", "key").join(named, "key").select("id", "cluster")
 
 
-def weighted_terms(items: DataFrame) -> DataFrame:
-    """(id, term, df, w) of each distinct text of items (id, text), under its smallest id.
+def _keyed(items: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return cut(items.select("id", F.sha2(text, 256).alias("key"), text.alias("text")))
 
-    Weights are raw counts times ln((1 + N) / (1 + df)) + 1, of unit length; N and df count all items, copies too.
+
+def _vectors(keyed: DataFrame) -> DataFrame:
+    """(id, terms, weights) of each distinct text of keyed (id, key, text), under its smallest id.
+
+    Weights are raw counts times ln((1 + N) / (1 + df)) + 1, of unit length; N and df count all items, copies too. Terms are
+    numbers, below zero those of the products.DENSE terms that the most items have.
     """
-    n = items.agg(F.count("*")).scalar()
-    leaders = items.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    terms = leaders.select("id", "copies", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
+    n = keyed.count()
+    leaders = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    texts = keyed.join(leaders.withColumnRenamed("key", "of"), "id").where("key = of").select("id", "copies", "text")
+    texts = texts.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # few bytes of text make many terms
+    terms = texts.select("id", "copies", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
     counted = cut(terms.groupBy("id", "copies", "term").agg(F.count("*").alias("tf")))
-    df = counted.groupBy("term").agg(F.sum("copies").alias("df"))
-    raw = counted.join(df, "term").withColumn("raw", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
-    return raw.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))).select("id", "term", "df", "w")
+    df = cut(counted.groupBy("term").agg(F.sum("copies").alias("df")).withColumn("number", F.monotonically_increasing_id()))
+    common = df.orderBy(F.desc("df"), "number").limit(products.DENSE).select(F.col("number").alias("known"), (-F.row_number().over(Window.orderBy(F.desc("df"), "number"))).cast("long").alias("place"))
+    numbers = df.join(F.broadcast(common), F.col("number") == F.col("known"), "left").select("term", "df", F.coalesce("place", "number").alias("number"))
+    raw = counted.join(numbers, "term").select("id", "number", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("raw"))
+    whole = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("number", "raw"))).alias("e"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    return whole.select("id", F.col("e.number").alias("terms"), F.transform("e", lambda e: e["raw"] / F.col("length")).alias("weights"))
 
 
 def similar_representatives(items: DataFrame, least: float = vocab.SIMILARITY) -> DataFrame:
     """(a, b, similarity), a < b: pairs of distinct texts, by their smallest ids, with cosine of TF-IDF at least least."""
-    return _verified(cut(weighted_terms(items)), least)
-
-
-def _verified(weighted: DataFrame, least: float) -> DataFrame:
-    """Pairs of weighted (id, term, df, w) with a dot product of at least least.
-
-    A term of an item is indexed only while the item's more frequent terms, itself included, could still reach
-    least (terms rarest first): any pair at least that similar shares an indexed term. Candidates are verified by
-    the whole dot product.
-    """
-    tail = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    kept = weighted.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(tail))).where(F.col("rest") >= least - 1e-9).select("id", "term")
-    left, right = kept.select(F.col("id").alias("a"), "term"), kept.select(F.col("id").alias("b"), "term")
-    candidates = cut(left.join(right, "term").where("a < b").select("a", "b").distinct())
-    x, y = weighted.select(F.col("id").alias("a"), "term", F.col("w").alias("x")), weighted.select(F.col("id").alias("b"), "term", F.col("w").alias("y"))
-    dots = candidates.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
-    return dots.where(F.col("similarity") >= least - 1e-12)
+    return products.pairs(_vectors(_keyed(items)), least)
 
 
 def recent(items: DataFrame, as_of, days: int = vocab.DEDUP_DAYS) -> DataFrame:
