@@ -138,3 +138,19 @@ def test_borderline_clusters_lose_no_link(spark):
                     if len(sets[i] & sets[j]) >= cp.SIMILARITY * len(sets[i] | sets[j]):
                         label[i] = label[j] = min(label[i], label[j])
     assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, SF).collect()} == set(label)
+
+
+CLASHING = "k fp h mark tile held_out score selected topic label start row text_ matches found secrets of_id of_text of_cell rejected_key __weft_id __weft_m __weft_k draw part n".split()
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_columns_of_any_name(spark, sf_small, stage):
+    """Helper columns take names that the table does not have; every other column goes through as it was."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(60)
+    more = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    got = cp.STAGES[stage][1](spark, more, sf_small)
+    assert got.columns == more.columns
+    plain = cp.STAGES[stage][1](spark, docs, sf_small)
+    rows = got.collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect())
+    assert all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in CLASHING)

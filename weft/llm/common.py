@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.lineage import cut
 
-__all__ = ["ARROW_ROWS", "WORD_PATTERN", "arrow_rows", "cut", "partitions", "table", "whole_text"]
+__all__ = ["ARROW_ROWS", "WORD_PATTERN", "arrow_rows", "cut", "free", "partitions", "table", "whole_text"]
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -22,6 +22,16 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set(ARROW_ROWS, str(rows))
 
 
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df does not have yet, whatever their case, from these stems."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def whole_text(column: str = "text"):
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

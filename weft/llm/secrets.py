@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import whole_text
+from weft.llm.common import free, whole_text
 
 #: Characters before a candidate that count as its neighbourhood.
 BEFORE = 64
@@ -281,9 +281,10 @@ def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", mask
     product of the secrets found and the rest of the text.
     """
     spark = docs.sparkSession
-    with_matches = docs.withColumn("__weft_m", F.when(F.col(text_col).isNotNull(), matches(F.col(text_col))))
-    with_found = with_matches.withColumn("__weft_found", _described(F.col("__weft_m")))
-    with_secrets = with_found.withColumn("__weft_s", F.expr(f"filter(__weft_found, c -> {_score(spark, 'c.uses')} > {float(threshold)}D)"))
+    m, found, secret = free(docs, "matches", "found", "secrets")
+    with_matches = docs.withColumn(m, F.when(F.col(text_col).isNotNull(), matches(F.col(text_col))))
+    with_found = with_matches.withColumn(found, _described(F.col(m)))
+    with_secrets = with_found.withColumn(secret, F.expr(f"filter({found}, c -> {_score(spark, 'c.uses')} > {float(threshold)}D)"))
 
     def masked(m: Column, secrets: Column) -> Column:
         places = F.array_sort(F.flatten(F.transform(secrets, lambda c: F.transform(c["at"], lambda a: F.struct(a["k"].alias("k"), F.length(c["value"]).alias("n"))))))
@@ -298,7 +299,7 @@ def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", mask
 
         return _let(places, cut_at)
 
-    ordered = F.array_sort(F.transform("__weft_s", lambda c: F.struct((-F.length(c["value"])).alias("n"), c["value"].alias("value"))))
-    rest = F.aggregate(ordered, masked(F.col("__weft_m"), F.col("__weft_s")), lambda t, c: F.replace(t, c["value"], F.lit(mask)))
-    hidden = F.when(F.size("__weft_s") > 0, rest).otherwise(F.col(text_col))
-    return with_secrets.withColumn(text_col, hidden).drop("__weft_m", "__weft_found", "__weft_s")
+    ordered = F.array_sort(F.transform(secret, lambda c: F.struct((-F.length(c["value"])).alias("n"), c["value"].alias("value"))))
+    rest = F.aggregate(ordered, masked(F.col(m), F.col(secret)), lambda t, c: F.replace(t, c["value"], F.lit(mask)))
+    hidden = F.when(F.size(secret) > 0, rest).otherwise(F.col(text_col))
+    return with_secrets.withColumn(text_col, hidden).drop(m, found, secret)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_rows, cut, partitions, whole_text
+from weft.llm.common import arrow_rows, cut, free, partitions, whole_text
 from weft.operators.graph import components
 
 #: Fingerprints of one block; a tile with more is cut into several blocks.
@@ -348,15 +348,16 @@ def survivors(docs: DataFrame, width: int, radius: int, words: int, min_jaccard:
     rows = known.join(final, "fp").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark").alias("row"))
     best = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("row").alias("best")).where("n > 1")
     judged = cut(rows.join(best, "label").groupBy("row").agg(F.min(F.col("row") == F.col("best")).alias("stays"), F.count("*").alias("n")))
-    listed = lambda which: judged.where(which).select(F.col("row.doc_id").alias("__weft_id"), F.col("row.mark").alias("__weft_mark"))
+    of_id, of_text = free(docs, "of_id", "of_text")
+    listed = lambda which: judged.where(which).select(F.col("row.doc_id").alias(of_id), F.col("row.mark").alias(of_text))
     out, again = listed("not stays or n > 1"), listed("stays and n > 1")
     few = out.count() <= broadcast_rows
-    own = F.col(id_col).cast("long").eqNullSafe(F.col("__weft_id")) & (mark(text_col) == F.col("__weft_mark"))
+    own = F.col(id_col).cast("long").eqNullSafe(F.col(of_id)) & (mark(text_col) == F.col(of_text))
     kept = docs.join(F.broadcast(out) if few else out, own, "left_anti")
     if again.isEmpty():
         return kept
     repeated = docs.join(F.broadcast(again) if few else again, own, "left_semi")
-    return kept.unionByName(repeated.withColumn("__weft_mark", mark(text_col)).dropDuplicates([id_col, "__weft_mark"]).drop("__weft_mark"))
+    return kept.unionByName(repeated.withColumn(of_text, mark(text_col)).dropDuplicates([id_col, of_text]).drop(of_text))
 
 
 def _sets(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, text_col: str) -> DataFrame:
