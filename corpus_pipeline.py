@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import mixing, pieces, quality, secrets, simhash
-from weft.llm.common import cut, table
+from weft.llm.common import cut, free, table
 
 #: Near-duplicate stage: words of a shingle, 64-bit words of a fingerprint, bits that may differ, and the exact similarity that links need.
 WIDTH, WORDS, RADIUS, SIMILARITY = 5, 4, 60, 0.8
@@ -48,10 +48,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     drawn = mixing.mix(docs, mixing.topics_of(table(spark, sf_dir, "embeddings")))
     margins = lambda source, lang: F.xxhash64(source, lang)
-    left = cut(drawn.where("not selected").select(F.col("doc_id").alias("__weft_id"), margins("source", "lang").alias("__weft_cell")).distinct())
+    of_id, of_cell = free(docs, "of_id", "of_cell")
+    left = cut(drawn.where("not selected").select(F.col("doc_id").alias(of_id), margins("source", "lang").alias(of_cell)).distinct())
     few = left.count() <= BROADCAST_ROWS
     named = lambda c: F.coalesce(c, F.lit(mixing.NONE))
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__weft_id")) & (margins(named("source"), named("lang")) == F.col("__weft_cell"))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (margins(named("source"), named("lang")) == F.col(of_cell))
     return docs.join(F.broadcast(left) if few else left, own, "left_anti")
 
 
