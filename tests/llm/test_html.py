@@ -1,6 +1,7 @@
 """Main text extraction on whole tables and on awkward pages."""
 
 import html
+import random
 import re
 from collections import Counter
 
@@ -129,3 +130,44 @@ def test_nulls_odd_markup_and_empty_table(spark):
     assert out[4, "http://b.example"] == "a < b & c" and out[5, "http://c.example"] == "x\n1\n2\ny"
     assert len(out[7, "http://e.example"]) > 100_000
     assert H.main_text(df).count() == len(rows) and H.main_text(df.limit(0)).count() == 0
+
+
+OWN_NAMES = ['id="form-of-government"', 'id="banner-wars"', 'class="side-effects"', 'class="ad-hoc"', 'class="notice-of-works"', 'class="reply-to-critics"', 'id="platform-notice"', 'class="lead sideways"', 'id="Formation"']
+LABELS = ['class="site-footer"', 'class="cookie-banner"', 'id="commentList"', 'class="ad-box-2"', 'class="x sidebar"', 'class="post-comments"', 'id="AD"', 'class="main_nav"', 'class="newsletter-signup-form"']
+
+
+def test_names_with_other_words_label_nothing():
+    name = re.compile('"(.*?)"')
+    assert not any(H.label_of(w) for n in OWN_NAMES for w in name.search(n)[1].split())
+    assert all("slot" in map(H.label_of, name.search(n)[1].split()) for n in LABELS)
+    assert H.label_of("site-header") == "header" and H.label_of("post-header") == "" and H.label_of("discussion") == "talk"
+
+
+def test_article_text_under_telling_words_stays(spark):
+    rows, want = [], {}
+    for k in range(12):
+        parts = "".join(f"<section {n}><h2>part {i} of {k}</h2><p>text {i} {k}</p></section>" for i, n in enumerate(OWN_NAMES))
+        junk = "".join(f"<div {n}>junk {i} {k}</div>" for i, n in enumerate(LABELS))
+        body = f"<h1>Head {k}</h1>{parts}{junk}<p>end {k}</p>"
+        body = f"<article>{body}</article>" if k % 2 else f"<div class=body-text>{body}</div>"
+        rows.append((k, f"https://names{k % 2}.example/{k}", f"<body><nav>go</nav>{body}<section class=discussion><article><p>First! {k}</p></article></section></body>"))
+        want[k] = "\n".join([f"Head {k}", *(x for i in range(len(OWN_NAMES)) for x in (f"part {i} of {k}", f"text {i} {k}")), f"end {k}"])
+    assert text_of(spark, rows) == want
+
+
+def test_generated_site_with_names_of_any_words(spark):
+    rng = random.Random(7)
+    words = [*H.SLOT_NAMES, *H.PLACE_NAMES, *H.HEADER_NAMES, *"of the history wars effects hoc works critics data model".split()]
+    rows, want = [], {}
+    for k in range(10):
+        parts, texts = [], [f"Head {k}"]
+        for i in range(25):
+            name = "-".join(rng.choices(words, k=rng.randrange(1, 4)))
+            known = set(name.split("-")) - set(H.PLACE_NAMES)  # the rule, by its definition
+            label = bool(known & set(H.SLOT_NAMES)) and known <= {*H.SLOT_NAMES, *H.HEADER_NAMES}
+            label |= bool(known & set(H.COMMENT_NAMES)) and known <= {*H.COMMENT_NAMES, *H.COMMENTED_NAMES}
+            parts.append(f'<div class="{name}"><p>para {i} on page {k}</p></div>')
+            texts += [] if label else [f"para {i} on page {k}"]
+        rows.append((k, f"https://site.example/{k}", f"<body><nav>n</nav><article><h1>Head {k}</h1>{''.join(parts)}</article><footer>f</footer></body>"))
+        want[k] = "\n".join(texts)
+    assert text_of(spark, rows) == want

@@ -46,24 +46,44 @@ SLOT_NAMES = (
     "ad ads advert adverts advertisement sponsor sponsored promo banner form signup login subscribe newsletter comment comments respond reply replies disqus"
 ).split()
 HEADER_NAMES = "header masthead topbar head".split()
-# first parts of names that tell about the page, not about the slot
-STATE_NAMES = "has with no is post entry article single content tag type".split()
+# what a name may hold beside one of those: where it stands, what kind of box it is; any other word makes it a name of its own
+PLACE_NAMES = (
+    "site page main top bottom left right upper lower global primary secondary sub mini sticky fixed floating inline mobile desktop "
+    "bar box block container wrapper wrap outer inner area section region panel widget list item items link links group holder slot unit popup modal overlay toggle button"
+).split()
+# readers' comments may be named after what they are on, and articles within these are comments
+COMMENT_NAMES, COMMENTED_NAMES = "comment comments respond reply replies disqus".split(), "post entry article reader readers user blog".split()
+TALK_NAMES = "discussion discussions thread threads responses feedback".split()
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-NAMED = re.compile(rf"(?!(?:{'|'.join(STATE_NAMES)})[-_])(?:[a-z0-9]+[-_]+)*?(?:{'|'.join(SLOT_NAMES)})(?:[-_][a-z0-9_-]*)?$", re.I)
-NAMED_HEADER = re.compile(rf"(?!(?:{'|'.join(STATE_NAMES)})[-_])(?:[a-z0-9]+[-_]+)*?(?:{'|'.join(HEADER_NAMES)})(?:[-_][a-z0-9_-]*)?$", re.I)
+NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+
+def label_of(name: str) -> str:
+    """What a class or id labels a slot as: "slot", "header", "talk", or nothing.
+
+    All words of the name have to be known: a telling one, and otherwise only words for places and boxes, or numbers. So
+    site-footer, commentList and ad-box-2 label a slot; form-of-government, side-effects, ad-hoc and platform-notice do not.
+    """
+    words = [w.lower() for w in NAME_PART.findall(name)]
+    other = {w for w in words if not w.isdigit()} - set(PLACE_NAMES)
+    if other and other <= set(SLOT_NAMES) | set(HEADER_NAMES):
+        return "slot" if other & set(SLOT_NAMES) else "header"
+    if other & set(COMMENT_NAMES) and other <= {*COMMENT_NAMES, *COMMENTED_NAMES}:
+        return "slot"
+    return "talk" if other and other <= set(TALK_NAMES) else ""
 
 
 class Node:
-    """An open element: its name, the token of its path and its parent's, and whether its label or an ancestor's is none of the article's."""
+    """An open element: its name, the token of its path and its parent's, whether its label or an ancestor's is none of the article's, and whether articles in it are comments."""
 
-    __slots__ = ("name", "token", "parent", "label", "dropped", "inside")
+    __slots__ = ("name", "token", "parent", "label", "dropped", "inside", "talk")
 
-    def __init__(self, name: str, token: int, parent: int, label: str, dropped: bool, inside: bool):
-        self.name, self.token, self.parent, self.label, self.dropped, self.inside = name, token, parent, label, dropped, inside
+    def __init__(self, name: str, token: int, parent: int, label: str, dropped: bool, inside: bool, talk: bool):
+        self.name, self.token, self.parent, self.label, self.dropped, self.inside, self.talk = name, token, parent, label, dropped, inside, talk
 
 
 class Paths:
@@ -71,7 +91,7 @@ class Paths:
 
     def __init__(self):
         self.seen: dict[tuple, Node] = {}
-        self.root = Node("", 0, 0, "", False, False)
+        self.root = Node("", 0, 0, "", False, False, False)
 
     def child(self, parent: Node, name: str, attrs: str) -> Node:
         key = (parent.token, name, attrs if ("class" in attrs or "id" in attrs or "role" in attrs) else "")
@@ -81,10 +101,11 @@ class Paths:
         label = f"{parent.label}/{name}" + (f".{named.get('class')}" if named.get("class") else "")
         inside = parent.inside or name in ("article", "main") or named.get("role") == "main"
         words = [] if name in ("html", "body", "article", "main") else " ".join(filter(None, (named.get("class"), named.get("id")))).split()
-        dropped = parent.dropped or name in DROPPED or any(map(NAMED.match, words))
-        dropped |= not inside and (name == "header" or any(map(NAMED_HEADER.match, words)))
+        labels = {label_of(w) for w in words}
+        dropped = parent.dropped or name in DROPPED or "slot" in labels or (parent.talk and name == "article")
+        dropped |= not inside and (name == "header" or "header" in labels)
         token = xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass")) >> 1
-        node = Node(name, token, parent.token, label, dropped, inside)
+        node = Node(name, token, parent.token, label, dropped, inside, parent.talk or "talk" in labels)
         if len(self.seen) > 200_000:
             self.seen.clear()
         self.seen[key] = node
@@ -268,7 +289,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page: its article without boilerplate, blocks joined by line breaks.
 
     The template of a page's host gives the main slot; names of elements and classes only label slots as menu, header,
-    footer, sidebar, notice, advert, form or comments, never html, body, main or article. A host of one page has a
+    footer, sidebar, notice, advert, form or comments, never html, body, main or article, and only where all their words are known (label_of()).
+    Articles within an element named as a discussion are comments. A host of one page has a
     template as well, in which every element that occurs once is one class.
 
     Null html is empty and gives an empty text. Pages with a null or odd url share one nameless host. Repeated
