@@ -113,7 +113,7 @@ def test_whole_score_by_brute_force(spark, sf_small, monkeypatch, frequent):
 
 def test_what_is_learned_covers_every_text(spark):
     texts = [f"w{i} " * 40 + "late" * 3 + str(i) for i in range(40)]
-    counts, model = L.learned(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), L.VOCABULARY_FILE)
+    counts, model = L.learned(spark.createDataFrame([(t,) for t in texts], "text string").withColumn("k", F.xxhash64("text")).repartition(4), L.VOCABULARY_FILE)
     want = Counter(L.word_hash(w) for t in texts for w in L.tokens(t))
     assert {r.h: r.c for r in counts.collect()} == want
     known = L.Segments(L.VOCABULARY_FILE)
@@ -157,3 +157,14 @@ def test_counts_and_base_on_the_table(spark, sf_small, monkeypatch, frequent):
 
 def test_empty_table(spark):
     assert L.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_TEXTS", 60)  # several shards
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    runs = [{r.doc_id: r for r in L.score_documents(docs.repartition(n)).collect()} for n in (1, 4, 7)]
+    assert runs[0].keys() == runs[1].keys() == runs[2].keys()
+    for other in runs[1:]:
+        for i, r in runs[0].items():
+            assert (r.n_tokens, r.n_known) == (other[i].n_tokens, other[i].n_known)
+            assert abs(r.score - other[i].score) < 1e-3 + 1e-6 * abs(r.score) and abs(r.base_score - other[i].base_score) < 1e-6 * abs(r.base_score) + 1e-9

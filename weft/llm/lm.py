@@ -32,6 +32,8 @@ FREQUENT = 131_072
 KEPT_WORDS = 500_000
 #: Distinct words of a shard of the counts, and words that a task hands on at once.
 SHARD_WORDS, HELD_WORDS = 500_000, 300_000
+#: Training texts that one shard learns from, and that it takes at a time.
+SHARD_TEXTS, TEXTS_AT_ONCE = 8_192, 256
 #: Rows of the embeddings that one row of a model's parts holds.
 ROWS = 4096
 END = b""
@@ -183,22 +185,27 @@ def sequences(known: Segments, texts: list[str]) -> Sequences:
     return Sequences(numbers, n_tokens, inputs, ids, sizes)
 
 
+ROWS_OF_TEXT = pa.schema([("text", pa.string()), ("k", pa.int64())])
 NAMES = ["h", "kind", "c", "part", "data"]
 #: Parts of a model that are small and dense.
 DENSE = ("w", "u", "c", "d")
 
 
 def learned(docs: DataFrame, path: str) -> tuple[DataFrame, Attention]:
-    """(h, kind, c): counts of the words of docs (text), the end among them, and the model trained on all of docs.
+    """(h, kind, c): counts of the words of docs (text, k), the end among them, and the model trained on all of docs.
 
-    Every partition starts from the same model, learns from all windows of its texts once and counts its words. The
-    model's parts are averaged over partitions: dense ones by windows, an input's row by how often it was met.
+    Texts are dealt to shards by k, a hash of the row, and taken in its order; the number of shards follows from that of the texts
+    alone, so the model does not depend on how Spark splits docs. Every shard starts from the same model, learns from all
+    windows of its texts once and counts its words. The model's parts are averaged over shards: dense ones by windows,
+    an input's row by how often it was met.
     """
     n = Segments(path).n
+    many = max(1, -(-docs.count() // SHARD_TEXTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = Segments(path), Attention(n, CLASSES + 1)
         held, ready = np.zeros(1, np.int64), []
+        table = pa.Table.from_batches((pa.RecordBatch.from_arrays(b.columns, schema=ROWS_OF_TEXT) for b in batches), schema=ROWS_OF_TEXT).sort_by([("k", "ascending"), ("text", "ascending")])
 
         def words() -> pa.RecordBatch:
             at = np.flatnonzero(held)
@@ -207,14 +214,12 @@ def learned(docs: DataFrame, path: str) -> tuple[DataFrame, Attention]:
 
         def texts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             nonlocal held
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for at in range(0, table.num_rows, TEXTS_AT_ONCE):
                 if len(known.number) > KEPT_WORDS:
                     ready.append(words())
                     known.clear()
                     held = np.zeros(1, np.int64)
-                s = sequences(known, batch.column(0).to_pylist())
+                s = sequences(known, table["text"].slice(at, TEXTS_AT_ONCE).to_pylist())
                 add = np.bincount(s.numbers, minlength=len(held))
                 add[: len(held)] += held
                 held = add
@@ -239,13 +244,14 @@ def learned(docs: DataFrame, path: str) -> tuple[DataFrame, Attention]:
             for part, data in zip(*(c.to_pylist() for c in batch.columns)):
                 a, b = _unpack(data)
                 old = sums.get(part)
-                sums[part] = (a, b) if old is None else (old[0] + a, old[1] + b)
+                sums[part] = (a.astype(np.float64), b) if old is None else (old[0] + a, old[1] + b)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_pack(*x) for x in sums.values()], pa.binary())], ["part", "data"])
 
     spark = docs.sparkSession
     arrow_rows(spark, 256)
-    found = cut(docs.select(whole_text().alias("text")).mapInArrow(run, "h long, kind long, c long, part int, data binary"))
+    texts = docs.select(whole_text().alias("text"), "k")
+    found = cut(texts.repartitionById(many, F.pmod("k", F.lit(many)).cast("int")).mapInArrow(run, "h long, kind long, c long, part int, data binary"))
     parts = found.where("part is not null").select("part", "data").repartition(partitions(spark), "part").mapInArrow(add, "part int, data binary")
     model = Attention(n, CLASSES + 1)
     for r in parts.collect():  # as many rows as the model has parts
@@ -286,8 +292,8 @@ def score_documents(docs: DataFrame, vocabulary_file: str = VOCABULARY_FILE, id_
     each id once. Times these, a word has its chance among the training words of the same sequence of classes, by its
     count. Words without a count are the one unknown word of their classes, as base_score has one in all.
 
-    Every partition of the training texts trains on all of its windows, and the models are averaged (learned()), so what
-    is learned from grows with the corpus, while the model keeps its size. Words of at least one in FREQUENT
+    Every shard of the training texts trains on all of its windows, and the models are averaged (learned()), so what
+    is learned from grows with the corpus, while the model keeps its size. Shards are fixed by a hash of id and text. Words of at least one in FREQUENT
     tokens are known to every task; the other words of a document meet the counts in shards by hash. Words with equal
     64-bit hashes would share a count, and so would sequences of classes. A very long text costs in proportion to its length, in one task.
 
@@ -298,7 +304,7 @@ def score_documents(docs: DataFrame, vocabulary_file: str = VOCABULARY_FILE, id_
     spark = docs.sparkSession
     arrow_rows(spark, 256)
     base_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), row_key(id_col, text_col).alias("k"), is_held_out(id_col).alias("held_out"))
-    training = base_rows.where(~F.col("held_out")).select("text")
+    training = base_rows.where(~F.col("held_out")).select("text", "k")
     counts, model = learned(training, vocabulary_file)
     counts = cut(counts)
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
