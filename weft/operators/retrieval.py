@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from weft import vocab
 from weft.functions import text, vectors
+from weft.operators.lineage import cut
 
 
 #: Rows of a batch of questions that are broadcast; a larger batch is left to the planner.
 BROADCAST_ROWS = 10_000
+#: Items that each list of top() takes for a question; well over the items shown and the passages of a question together.
+LIST = 512
+#: Steps of a binary search among a question's candidates: three lists and the passages make no more than 2,047.
+STEPS = [1 << k for k in range(10, -1, -1)]
 
 
 def batch(questions: DataFrame) -> DataFrame:
@@ -26,6 +31,15 @@ def relevance(questions: DataFrame, items: DataFrame) -> DataFrame:
     return held.join(asked, "term").groupBy("qid", "id").agg(F.count("*").alias("rel"))
 
 
+RANKED = ("qid", "id", "rank_lex", "rank_vec", "chunk_rank", "rrf", "place")
+
+
+def _similarity():
+    """Cosine of qvec and emb, rounded as vector_ranks() does."""
+    size = vectors.norm(F.col("emb")) * vectors.norm(F.col("qvec"))
+    return F.round(F.when(size == 0, 0.0).otherwise(vectors.dot(F.col("qvec"), F.col("emb")) / size), 6)
+
+
 def _measured(questions: DataFrame, rows: DataFrame) -> DataFrame:
     """Every pair of a question with a vector and a row with one, with their cosine; lengths are found once a row."""
     held = rows.where("emb is not null").withColumn("emb_norm", vectors.norm(F.col("emb")))
@@ -47,7 +61,7 @@ def passage_ranks(questions: DataFrame, chunks: DataFrame, limit: int = vocab.PA
     return placed.groupBy("qid", "id").agg(F.min("place").alias("chunk_rank"))
 
 
-def hybrid(questions: DataFrame, items: DataFrame, chunks: DataFrame) -> DataFrame:
+def hybrid(questions: DataFrame, items: DataFrame, chunks: DataFrame, limit: int = vocab.PASSAGES) -> DataFrame:
     """(qid, id, rank_lex, rank_vec, chunk_rank, rrf, place): reciprocal rank fusion with the rules for missing signals.
 
     questions (qid, text, qvec), items (id, words, emb, importance), chunks (chunk_id, id, emb). A question without
@@ -59,13 +73,93 @@ def hybrid(questions: DataFrame, items: DataFrame, chunks: DataFrame) -> DataFra
     rel = base.join(relevance(active, items), ["qid", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     lexical = rel.withColumn("rank_lex", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("rel"))))
     with_vec = lexical.join(vector_ranks(active, items).select("qid", "id", F.col("rank").alias("rank_vec")), ["qid", "id"], "left")
-    whole = with_vec.join(passage_ranks(active, chunks), ["qid", "id"], "left")
+    whole = with_vec.join(passage_ranks(active, chunks, limit), ["qid", "id"], "left")
+    of = Window.partitionBy("qid")
+    ranked = whole.withColumn("rrf", _fused(F.col("rank_lex"), F.col("rank_vec"), F.col("chunk_rank"), F.count("chunk_rank").over(of) > 0))
+    return ranked.withColumn("place", F.row_number().over(of.orderBy(F.desc("rrf"), F.desc("importance"), "id"))).select(*RANKED)
+
+
+def _fused(lexical, vector, chunk, any_chunk):
+    """Reciprocal rank fusion: a missing vector rank is the lexical one, a missing passage rank the vector one, for questions that have passages."""
+    borrowed = F.coalesce(vector, lexical)
+    passages = F.when(any_chunk, vectors.rrf(F.coalesce(chunk, borrowed), vocab.RRF_K)).otherwise(0.0)
+    return F.round(vectors.rrf(lexical, vocab.RRF_K) + vectors.rrf(borrowed, vocab.RRF_K) + passages, 9)
+
+
+def top(questions: DataFrame, items: DataFrame, chunks: DataFrame, shown: int = vocab.INDEX_TOP, size: int = LIST, passages: DataFrame | None = None, limit: int = vocab.PASSAGES) -> DataFrame:
+    """The rows of hybrid() with a place of at most shown, without ranking all items of a question.
+
+    A question's candidates are the items of its passages and the first size items by vector, by words (ties by vector), and, among
+    those without a vector, by words; lists are cut within each task before they move. Competition ranks of candidates are
+    exact: one by words is counted in a histogram of the few values it has, one by vector in a histogram between the candidates'
+    own similarities, so all other items are only counted. An item outside the lists scores no more than a bound from the last
+    ones in them; questions whose last shown item does not pass the bound are ranked whole by hybrid(). So the result is that
+    of hybrid(), ties included. passages takes passage_ranks() where they are known. shown and the passage limit together
+    must not exceed size.
+    """
+    terms = F.size(text.question_terms(F.col("text"))) > 0
+    asked = cut(questions.select("qid", "text", F.when(terms, F.col("qvec")).alias("qvec"), terms.alias("active")))
+    active = asked.where("active").drop("active")
+    plain = items.select("id", "importance", "emb")
+    rel = cut(relevance(active, items))
+    near_passages = cut((passage_ranks(active, chunks, limit) if passages is None else passages).join(active.select("qid"), "qid", "left_semi").join(plain.select("id"), "id", "left_semi"))
+
+    higher = Window.partitionBy("qid").orderBy(F.desc("rel")).rowsBetween(Window.unboundedPreceding, -1)
+    by_rel = rel.groupBy("qid", "rel").agg(F.count("*").alias("n"))
+    by_rel = cut(by_rel.select("qid", "rel", (1 + F.coalesce(F.sum("n").over(higher), F.lit(0))).alias("rank_lex"), (1 + F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("rel")))).alias("rank_below")))
+    zero = by_rel.groupBy("qid").agg(F.max("rank_below").alias("rank_zero"))
+
+    measured = _measured(active, plain).select("qid", "id", "importance", F.round("similarity", 6).alias("similarity"))
+    held = lambda df, name, *order: df.withColumn(name, F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col(name) <= size).select("qid", "id", name)
+    tail = (F.desc("importance"), F.col("id"))
+    matched = rel.join(plain, "id").join(batch(active.select("qid", "qvec")), "qid")
+    alike = matched.withColumn("similarity", _similarity())
+    lists = [
+        held(measured, "near", F.desc("similarity"), *tail),
+        held(alike.where("similarity is not null"), "worded", F.desc("rel"), F.desc("similarity"), *tail),
+        held(alike.where("similarity is null"), "bare", F.desc("rel"), *tail),
+        near_passages.select("qid", "id"),
+    ]
+    # without a match, items without a vector differ by importance only, and for a question without terms or vector all items do
+    first = lambda df: F.broadcast(df.orderBy(*tail).limit(size).select("id", F.lit(True).alias("any")))
+    blank = F.col("active") & F.col("qvec").isNotNull()
+    lists.append(asked.where(blank).withColumn("any", F.lit(True)).join(first(plain.where("emb is null")), "any").select("qid", "id"))
+    lists.append(asked.where(~blank).withColumn("any", F.lit(True)).join(first(plain), "any").select("qid", "id"))
+    offered = lists[0]
+    for more in lists[1:]:
+        offered = offered.unionByName(more, allowMissingColumns=True)
+    offered = offered.groupBy("qid", "id").agg(F.max("near").alias("near"), F.max("worded").alias("worded"))
+    known = cut(offered.join(plain, "id").join(batch(asked.select("qid", "qvec")), "qid").select("qid", "id", "importance", "near", "worded", _similarity().alias("similarity")))
+
+    cuts = known.where("similarity is not null").groupBy("qid").agg(F.array_sort(F.collect_set("similarity")).alias("cuts"))
+    below = lambda at, step: F.when(F.get("cuts", at + step - 1) < F.col("similarity"), at + step).otherwise(at)
+    counted = measured.join(batch(cuts), "qid").select("qid", F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), below).alias("at")).groupBy("qid", "at").agg(F.count("*").alias("n"))
+    every = cuts.select("qid", F.posexplode("cuts").alias("pos", "similarity")).select("qid", (F.col("pos") + 1).alias("at"), "similarity", F.lit(0).cast("long").alias("n"))
+    filled = every.unionByName(counted.withColumn("similarity", F.lit(None).cast("double"))).groupBy("qid", "at").agg(F.max("similarity").alias("similarity"), F.sum("n").alias("n"))
+    ranks = filled.withColumn("rank_vec", 1 + F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("at")))).where("similarity is not null").select("qid", "similarity", "rank_vec")
+
+    whole = known.join(rel, ["qid", "id"], "left").join(by_rel, ["qid", "rel"], "left").join(zero, "qid", "left").join(ranks, ["qid", "similarity"], "left").join(near_passages, ["qid", "id"], "left")
     of = Window.partitionBy("qid")
-    borrowed = F.coalesce("rank_vec", "rank_lex")
-    any_chunk = F.count("chunk_rank").over(of) > 0
-    fused = vectors.rrf(F.col("rank_lex"), vocab.RRF_K) + vectors.rrf(borrowed, vocab.RRF_K) + F.when(any_chunk, vectors.rrf(F.coalesce(F.col("chunk_rank"), borrowed), vocab.RRF_K)).otherwise(0.0)
-    ranked = whole.withColumn("rrf", F.round(fused, 9))
-    return ranked.withColumn("place", F.row_number().over(of.orderBy(F.desc("rrf"), F.desc("importance"), "id"))).select("qid", "id", "rank_lex", "rank_vec", "chunk_rank", "rrf", "place")
+    lexical = F.coalesce("rank_lex", "rank_zero", F.lit(1))
+    scored = whole.select("qid", "id", "importance", "near", "worded", lexical.alias("rank_lex"), F.coalesce("rank_below", "rank_zero", F.lit(1)).alias("rank_below"), "rank_vec", "chunk_rank", (F.count("chunk_rank").over(of) > 0).alias("any_chunk"))
+    scored = scored.withColumn("rrf", _fused(F.col("rank_lex"), F.col("rank_vec"), F.col("chunk_rank"), F.col("any_chunk")))
+    placed = cut(scored.withColumn("place", F.row_number().over(of.orderBy(F.desc("rrf"), *tail))))
+
+    last = lambda name, value: F.max(F.when(F.col(name) == size, F.col(value)))
+    edge = placed.groupBy("qid").agg(
+        last("near", "rank_vec").alias("vec"), last("worded", "rank_lex").alias("lex"), last("worded", "rank_below").alias("less"), last("worded", "rank_vec").alias("tied"),
+        F.max("any_chunk").alias("any_chunk"), F.min(F.when(F.col("place") == shown, F.col("rrf"))).alias("least"),
+    ).join(zero, "qid", "left")
+    none = F.lit(None).cast("long")
+    # of the items outside that have a vector: those with as many words as the last in the list by words, and those with fewer
+    same = F.when(F.col("lex").isNotNull(), _fused(F.col("lex"), F.greatest("vec", "tied"), none, F.col("any_chunk"))).otherwise(0.0)
+    fewer = _fused(F.coalesce("less", "rank_zero", F.lit(1)), F.col("vec"), none, F.col("any_chunk"))
+    open_ = cut(edge.where(F.col("vec").isNotNull() & (F.col("least").isNull() | (F.col("least") <= F.greatest(same, fewer)))).select("qid"))
+    out = placed.where(F.col("place") <= shown).select(*RANKED)
+    if open_.isEmpty():
+        return out
+    again = hybrid(questions.join(open_, "qid", "left_semi"), items, chunks, limit).where(F.col("place") <= shown)
+    return out.join(open_, "qid", "left_anti").unionByName(again.select(*RANKED))
 
 
 def best_passage(ranks: DataFrame) -> DataFrame:
@@ -93,14 +187,14 @@ def context(
     """(qid, id, n, depth, and uri where web is given): the numbered context of each question.
 
     ranked (qid, id, place), refs and pinned (qid, id, place), best (qid, id), web (qid, place, uri). Deep slots take
-    references, then the item of the best passage if it is ranked, then ranked items. The index takes the ranked items
+    references, then the item of the best passage (which has to be a known item), then ranked items. The index takes the ranked items
     that are not deep, as many as the limit leaves beside the deep ones. Pinned items that are in neither come last, and
     take the place of the index's tail. Sources of the web come after all others and count for no limit. Numbers run on.
     """
     first = Window.partitionBy("qid", "id").orderBy("section", "place")
     offered = refs.select("qid", "id", F.lit(0).alias("section"), "place")
     if best is not None:
-        offered = offered.unionByName(ranked.join(best.select("qid", "id"), ["qid", "id"], "left_semi").select("qid", "id", F.lit(1).alias("section"), "place"))
+        offered = offered.unionByName(best.select("qid", "id", F.lit(1).alias("section"), F.lit(1).alias("place")))
     top = ranked.where(F.col("place") <= index_limit)  # no item further down can be shown for its rank
     offered = offered.unionByName(top.select("qid", "id", F.lit(2).alias("section"), "place"))
     once = offered.withColumn("seen", F.row_number().over(first)).where("seen = 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weft import vocab
 from weft.functions import intent, text
 from weft.operators import retrieval
+from weft.operators.lineage import cut
 from weft.plans import corpus
 from weft.plans.corpus import items, read, sql, sql_list
 
@@ -89,10 +90,12 @@ def passage_ranks(spark, sf_dir):
     return corpus.longs(retrieval.passage_ranks(_questions(spark, sf_dir), _chunks(spark, sf_dir)), "chunk_rank")
 
 
+def _known(spark, sf_dir):
+    return _searched(spark, sf_dir).join(_vectors(spark, sf_dir), "id", "left").withColumn("importance", F.struct("score", (-F.col("id")).alias("n")))
+
+
 def _ranked(spark, sf_dir):
-    q = _questions(spark, sf_dir)
-    known = _searched(spark, sf_dir).join(_vectors(spark, sf_dir), "id", "left").withColumn("importance", F.struct("score", (-F.col("id")).alias("n")))
-    return retrieval.hybrid(q, known, _chunks(spark, sf_dir))
+    return retrieval.hybrid(_questions(spark, sf_dir), _known(spark, sf_dir), _chunks(spark, sf_dir))
 
 
 SQL_HYBRID = f"""active as (select distinct qid from terms),
@@ -110,6 +113,12 @@ def hybrid_ranks(spark, sf_dir):
     return corpus.longs(_ranked(spark, sf_dir), "rank_lex", "rank_vec", "chunk_rank", "place")
 
 
+@query(sql("select qid, id, rank_lex, rank_vec, chunk_rank, rrf, place from ranked where place <= 60", SQL_TERMS, SQL_WORDS, SQL_REL, SQL_VEC, SQL_PASSAGES, SQL_HYBRID))
+def top_ranks(spark, sf_dir):
+    """The sixty items shown for every question, by fused ranks, from short lists and counts."""
+    return corpus.longs(retrieval.top(_questions(spark, sf_dir), _known(spark, sf_dir), _chunks(spark, sf_dir)), "rank_lex", "rank_vec", "chunk_rank", "place")
+
+
 @query(f"with {SQL_PASSAGES} select qid, min(id) as id from best where chunk_rank = 1 group by 1 having count(*) = 1")
 def best_passages(spark, sf_dir):
     return retrieval.best_passage(retrieval.passage_ranks(_questions(spark, sf_dir), _chunks(spark, sf_dir)))
@@ -150,8 +159,11 @@ def answer_context(spark, sf_dir):
     q = read(spark, sf_dir, "benchmark")
     refs = q.select(F.col("item_id").alias("qid"), F.col("item_id").alias("id"), F.lit(1).alias("place"))
     pinned = retrieval.pins(_history(spark, sf_dir)).withColumnRenamed("conv_id", "qid").join(q.select(F.col("item_id").alias("qid")), "qid", "left_semi")
-    best = retrieval.best_passage(retrieval.passage_ranks(_questions(spark, sf_dir), _chunks(spark, sf_dir)))
-    return corpus.longs(retrieval.context(_ranked(spark, sf_dir).select("qid", "id", "place"), refs, pinned, best), "n")
+    asked, known, chunks = _questions(spark, sf_dir), _known(spark, sf_dir), _chunks(spark, sf_dir)
+    passages = cut(retrieval.passage_ranks(asked, chunks))
+    best = retrieval.best_passage(passages).join(known.select("id"), "id", "left_semi")
+    ranked = retrieval.top(asked, known, chunks, passages=passages)
+    return corpus.longs(retrieval.context(ranked.select("qid", "id", "place"), refs, pinned, best), "n")
 
 
 def _answers(spark, sf_dir):
