@@ -111,6 +111,12 @@ def importance(item, role: Column) -> Column:
     )
 
 
+def importance_over(item, asked: Column) -> Column:
+    """The largest importance() of an item over the asked roles; without any over those it affects, without these for the whole company."""
+    roles = F.coalesce(F.when(F.size(asked) > 0, asked), F.when(F.size(item("roles")) > 0, item("roles")), F.array(F.lit(vocab.COMPANY_WIDE)))
+    return F.array_max(F.transform(roles, lambda role: importance(item, role)))
+
+
 def gate_status(passed: Column, failed: Column, content: Column, confidence: Column) -> Column:
     """Where a document goes: empty or unsure to failed, not passed to low_signal; an error of the gate lets it pass."""
     return (

@@ -77,3 +77,38 @@ def newest_first(rows: DataFrame, key: str, order: str) -> DataFrame:
 def judged_only(gates: DataFrame) -> DataFrame:
     """Rows of gates (gate_skipped) that a gate has judged: what let items pass unseen counts in no statistics."""
     return gates.where(~F.coalesce("gate_skipped", F.lit(False)))
+
+
+def recall_levels(recalls: DataFrame) -> DataFrame:
+    """(level, grp, qid, n, recall, recall_small, worst_rank) of recall() with a column grp: overall, by group and by question, in one pass of grouping sets."""
+    rolled = recalls.rollup("grp", "qid").agg(
+        F.grouping_id().alias("g"), F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("recall_small"), 6).alias("recall_small"), F.max("worst_rank").alias("worst_rank"),
+    )
+    level = F.when(F.col("g") == 3, "overall").when(F.col("g") == 1, "group").otherwise("question")
+    return rolled.select(level.alias("level"), "grp", "qid", "n", "recall", "recall_small", "worst_rank")
+
+
+def misses(ranks: DataFrame, must_have: DataFrame, k: int) -> DataFrame:
+    """(qid, id, place) of the labels (qid, id) that are not among the first k, with the place that they have, null where they have none."""
+    return must_have.join(ranks.select("qid", "id", "place"), ["qid", "id"], "left").where(F.col("place").isNull() | (F.col("place") > k)).select("qid", "id", "place")
+
+
+def flips(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(id, state) of judged rows (id, label, predicted): fixed, broken, right, wrong, and new or gone where only one side has it."""
+    good = lambda side: F.col(f"{side}.label") == F.col(f"{side}.predicted")
+    met = current.alias("c").join(baseline.alias("b"), F.col("c.id") == F.col("b.id"), "full_outer")
+    state = (
+        F.when(F.col("b.id").isNull(), "new").when(F.col("c.id").isNull(), "gone").when(good("c") & ~good("b"), "fixed").when(~good("c") & good("b"), "broken")
+        .when(good("c"), "right").otherwise("wrong")
+    )
+    return met.select(F.coalesce("c.id", "b.id").alias("id"), state.alias("state"))
+
+
+def answer_report(answers: DataFrame) -> DataFrame:
+    """One row over answers (relevance, refused, answerable, cited, must_have): mean relevance of those judged, share of right refusals, share with a needed item among those that need one."""
+    needs = F.size(F.coalesce("must_have", F.array().cast("array<bigint>"))) > 0
+    hit = F.coalesce(F.arrays_overlap("cited", "must_have"), F.lit(False))
+    return answers.agg(
+        F.count("*").alias("n"), F.round(F.avg("relevance"), 6).alias("relevance"), F.round(F.avg((F.col("refused") != F.col("answerable")).cast("int")), 6).alias("refusals_right"),
+        F.round(F.avg(F.when(needs, hit.cast("int"))), 6).alias("must_have_hit"),
+    )

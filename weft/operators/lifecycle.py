@@ -21,6 +21,13 @@ def reset_failed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("status", F.when(F.col("status") == "failed", "pending").otherwise(F.col("status")))
 
 
+def insert_new(table: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
+    """table with the rows whose key it does not have, the first by order of each new key; rows without a key are never added."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    first = rows.where(F.col(key).isNotNull()).withColumn("__place", place).where("__place = 1").drop("__place")
+    return table.unionByName(first.join(table.select(key).distinct(), key, "left_anti").select(table.columns))
+
+
 def orphans(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents without an item; nulls among the items' ids hide none."""
     return docs.join(items.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti")

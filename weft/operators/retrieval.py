@@ -162,6 +162,11 @@ def top(questions: DataFrame, items: DataFrame, chunks: DataFrame, shown: int =
     return out.join(open_, "qid", "left_anti").unionByName(again.select(*RANKED))
 
 
+def beside(items: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Items (qid, id, ...) without those that a question (qid, id) already has: its anchor, or its working set."""
+    return items.join(anchors.select("qid", "id"), ["qid", "id"], "left_anti")
+
+
 def best_passage(ranks: DataFrame) -> DataFrame:
     """(qid, id) of the item of the nearest passage, for questions where just one has rank 1."""
     first = ranks.where("chunk_rank = 1")

@@ -1,9 +1,6 @@
 """Registered queries over the driver tables, with their DuckDB oracles."""
 
-from weft.plans import answering, catalog, evaluation, intake, language, selection
+from weft.plans import answering, catalog, evaluation, intake, language, operations, selection
+from weft.plans.registry import merged
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-for _module in (catalog, intake, language, selection, evaluation, answering):
-    QUERIES |= _module.QUERIES
-    ORACLES |= _module.ORACLES
+QUERIES, ORACLES = merged(catalog, intake, language, selection, evaluation, answering, operations)

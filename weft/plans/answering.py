@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,23 +9,14 @@ from pyspark.sql import functions as F
 from weft import vocab
 from weft.functions import rendering, text
 from weft.operators import answers, catalog, retrieval
+from weft.operators.lineage import shared_folder
 from weft.plans import corpus, language
 from weft.plans.corpus import items, read, sql, sql_list
+from weft.plans.registry import registry
 from weft.sources import entries
 from weft.streaming import streams
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 @query(f"""with {language.SQL_ANSWERS} select aid, case when aid % 5 = 0 then 'out_of_scope' when aid % 5 = 1 then 'not_found' when aid % 5 = 2 then 'insufficient' when (x <= 5) or (y between 1 and 5) then 'grounded' else 'insufficient' end as outcome,
@@ -92,8 +81,7 @@ def streamed_fingerprints(spark, sf_dir):
     schema = read(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = raw.select(F.col("event_type").alias("url"), F.col("user_id").cast("string").alias("title"), F.col("ts").alias("published_at"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = os.path.join(root, f"weft-stream-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/weft-stream-{uuid.uuid4().hex}"
     return streams.drained(streams.fresh_entries(stream, F.expr("timestamp_ntz'2024-01-01'"), 3650).select("fingerprint"), folder)
 
 

@@ -9,19 +9,9 @@ from weft.functions import scoring, text
 from weft.operators import catalog, lifecycle
 from weft.plans import corpus
 from weft.plans.corpus import as_of, items, read, sql, sql_case, sql_text
+from weft.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 BY = catalog.Filters(roles=["Security", "Dev"], urgency=["critical", "high", "medium"], search="er")

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft import vocab
 from weft.operators import evaluate, retrieval
 from weft.plans import corpus, language
 from weft.plans.corpus import items, read, sql
+from weft.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 SQL_GATE = "gate as (select i.source, l.quality = 1 as label, i.gate_score >= 0.4 as predicted from labels l join items i on i.id = l.doc_id)"
@@ -69,14 +60,16 @@ def passages_contained(spark, sf_dir):
     return _must_have(spark, sf_dir)
 
 
-def _recall(spark, sf_dir):
-    from pyspark.sql import Window
-
+def _placed(spark, sf_dir):
+    """(qid, id, place) of every item for every question, by matching terms, then id."""
     q, known = language._questions(spark, sf_dir), language._searched(spark, sf_dir)
     base = known.select("id").join(retrieval.batch(q.select("qid")), how="cross")
     rel = base.join(retrieval.relevance(q, known), ["qid", "id"], "left")
-    placed = rel.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.coalesce("rel", F.lit(0)).desc(), "id")))
-    return evaluate.recall(placed, _must_have(spark, sf_dir), vocab.INDEX_TOP)
+    return rel.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.coalesce("rel", F.lit(0)).desc(), "id")))
+
+
+def _recall(spark, sf_dir):
+    return evaluate.recall(_placed(spark, sf_dir), _must_have(spark, sf_dir), vocab.INDEX_TOP)
 
 
 _PARTS = (language.SQL_TERMS, language.SQL_WORDS, language.SQL_REL, SQL_MUST, SQL_PLACED, SQL_RECALL)

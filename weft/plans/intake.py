@@ -8,19 +8,9 @@ from weft.functions import model_json, scoring, text
 from weft.operators import chunks, ingest, lifecycle, similarity
 from weft.plans import corpus
 from weft.plans.corpus import as_of, items, read, sql
+from weft.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 def sql_html(column: str) -> str:
@@ -250,8 +240,3 @@ def cluster_reset(spark, sf_dir):
 def analysis_counters(spark, sf_dir):
     """How many documents an analysis made, skipped and failed."""
     return gate_routes(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
-
-
-@query(sql("select tier, count(*) as n from items group by 1"))
-def tier_distribution(spark, sf_dir):
-    return items(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("n"))

@@ -10,19 +10,9 @@ from weft.operators import retrieval
 from weft.operators.lineage import cut
 from weft.plans import corpus
 from weft.plans.corpus import items, read, sql, sql_list
+from weft.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 TOKENS = "regexp_extract_all(lower({}), '[0-9a-zA-ZÀ-ỹ]+')"
