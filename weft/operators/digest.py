@@ -89,3 +89,17 @@ def logged(log: DataFrame, chosen: DataFrame, results: DataFrame, kind: str, as_
     ok = results.where("ok").select("subscriber").distinct()
     new = chosen.join(ok, "subscriber", "left_semi").select("subscriber", "id", F.lit(kind).alias("kind"), as_of.alias("sent_at")).dropDuplicates(["subscriber", "id", "kind"])
     return new.join(log.select("subscriber", "id", "kind"), ["subscriber", "id", "kind"], "left_anti").select("subscriber", "id", "kind", "sent_at")
+
+
+def brief(subscribers: DataFrame, items: DataFrame, log: DataFrame, as_of, hours: int = vocab.LOOKBACK_HOURS, force: bool = False, **limits) -> DataFrame:
+    """One run of a brief: select() for the subscribers past their cool-down, over the items that a digest of that time may offer. force drops the cool-down."""
+    people = subscribers if force else rested(subscribers, log, as_of)
+    return select(people, lately(items, as_of, hours), log, **limits)
+
+
+def run_counts(subscribers: DataFrame, chosen: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: sent, failed and skipped of a run's active subscribers; those without a digest are skipped."""
+    built = chosen.select("subscriber").distinct().join(results.select("subscriber", "ok"), "subscriber", "left")
+    met = active(subscribers).select("subscriber").distinct().join(built.withColumn("built", F.lit(True)), "subscriber", "left")
+    made, ok = F.coalesce("built", F.lit(False)), F.coalesce("ok", F.lit(False))
+    return met.agg(F.count_if(made & ok).alias("sent"), F.count_if(made & ~ok).alias("failed"), F.count_if(~made).alias("skipped"))

@@ -41,3 +41,15 @@ def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
 def work_queue(docs: DataFrame, limit: int, used_today: int, daily_cap: int) -> DataFrame:
     """Pending documents, newest first, as many as the day's remaining budget allows."""
     return docs.where("status = 'pending'").orderBy(F.col("published_at").desc_nulls_last(), "id").limit(max(0, min(limit, daily_cap - used_today)))
+
+
+def day_budgets(events: DataFrame) -> DataFrame:
+    """(day, analysed, any_calls, calls, searches) of each UTC day of events (ts, event_type, value): views are analyses, clicks paid calls, errors searches."""
+    calls = F.coalesce(F.sum(F.when(F.col("event_type") == "click", F.col("value"))), F.lit(0.0))
+    return events.groupBy(F.to_date("ts").alias("day")).agg(
+        F.count_if(F.col("event_type") == "view").alias("analysed"), (calls > 0).alias("any_calls"), F.round(calls, 4).alias("calls"), F.count_if(F.col("event_type") == "error").alias("searches"))
+
+
+def status_counts(routed: DataFrame) -> DataFrame:
+    """(status, n): how many documents an analysis made, skipped and failed."""
+    return routed.groupBy("status").agg(F.count("*").alias("n"))

@@ -155,9 +155,7 @@ def passages(spark, sf_dir):
 @query("select ts::date as day, count(*) filter (event_type = 'view') as analysed, coalesce(sum(value) filter (event_type = 'click'), 0) > 0 as any_calls, round(coalesce(sum(value) filter (event_type = 'click'), 0), 4) as calls, coalesce(count(*) filter (event_type = 'error'), 0) as searches from events group by 1")
 def daily_budgets(spark, sf_dir):
     """Use of each UTC day."""
-    e = read(spark, sf_dir, "events")
-    calls = F.coalesce(F.sum(F.when(F.col("event_type") == "click", F.col("value"))), F.lit(0.0))
-    return e.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "view").alias("analysed"), (calls > 0).alias("any_calls"), F.round(calls, 4).alias("calls"), F.count_if(F.col("event_type") == "error").alias("searches"))
+    return ingest.day_budgets(read(spark, sf_dir, "events"))
 
 
 @query(sql("select id, published_at from items where id % 8 = 0 order by published_at desc nulls last, id limit 40"))
@@ -239,4 +237,4 @@ def cluster_reset(spark, sf_dir):
 @query(sql("""select status, count(*) as n from (select case when trim(c) = '' then 'failed' when id % 6 <> 5 and id % 3 = 0 then 'low_signal' when confidence < 0.3 then 'failed' else 'analyzed' end as status from (select *, case when id % 50 = 7 then ' ' else body end as c from items)) group by 1"""))
 def analysis_counters(spark, sf_dir):
     """How many documents an analysis made, skipped and failed."""
-    return gate_routes(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+    return ingest.status_counts(gate_routes(spark, sf_dir))

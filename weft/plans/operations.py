@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from weft import vocab
 from weft.functions import scoring
-from weft.operators import evaluate, lifecycle, retrieval
+from weft.operators import digest, evaluate, lifecycle, retrieval
 from weft.operators.lineage import shared_folder
 from weft.plans import corpus, evaluation, intake, language, selection
 from weft.plans.corpus import read, sql
 from weft.plans.registry import registry
-from weft.sources import fetch
+from weft.sources import fetch, sinks
 from weft.streaming import streams
 
 QUERIES, ORACLES, query = registry()
@@ -170,3 +170,32 @@ def importance_over_roles(spark, sf_dir):
     named = F.array(F.when(k % 4 != 0, corpus.pick(vocab.ROLES, k)), F.lit("nobody"))
     asked = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, named).otherwise(F.array(corpus.pick(vocab.ROLES, k * 3)))
     return i.select("id", scoring.importance_over(F.col, asked).alias("key")).select("id", *[F.col(f"key.{c}").cast("double").alias(c) for c in _KEY])
+
+
+_AS_OF = f"timestamp '{corpus.AS_OF}'"
+_BRIEF = selection.SQL_DIGEST.replace("where status = 'published' and is_primary)", f"where status = 'published' and is_primary and created_at >= {_AS_OF} - interval 1000 hours)").replace(
+    "from subscribers where active", f"from subscribers s where not exists (select 1 from deliveries d where d.subscriber = s.subscriber and d.sent_at > {_AS_OF} - interval 48 hours) and active")
+
+
+@query(sql("select subscriber, id, role, place, section, overflow from chosen", corpus.SQL_SUBSCRIBERS, corpus.SQL_DELIVERIES, _BRIEF))
+def brief_run(spark, sf_dir):
+    """One run of a brief: rested subscribers, items of the last thousand hours."""
+    chosen = digest.brief(corpus.subscribers(spark, sf_dir), corpus.items(spark, sf_dir), corpus.deliveries(spark, sf_dir), corpus.as_of(), 1000)
+    return corpus.longs(chosen, "place", "section")
+
+
+@query(sql("select (select count(*) from (select distinct subscriber from chosen) where subscriber % 3 <> 0) as sent, (select count(*) from (select distinct subscriber from chosen) where subscriber % 3 = 0) as failed, (select count(*) from (select distinct subscriber from subscribers where active and len(roles) > 0) p where subscriber not in (select subscriber from chosen)) as skipped", corpus.SQL_SUBSCRIBERS, corpus.SQL_DELIVERIES, _BRIEF))
+def brief_counts(spark, sf_dir):
+    """How many digests of a run were sent, failed and skipped."""
+    people = corpus.subscribers(spark, sf_dir)
+    return digest.run_counts(people, brief_run(spark, sf_dir), people.select("subscriber", (F.col("subscriber") % 3 != 0).alias("ok")))
+
+
+@query("select d.doc_id as id, d.lang, e.vec_id is not null as has_vector, round(list_sum(list_transform(e.embedding, lambda x: round(x::double, 6))), 4) as vector_sum from documents d left join embeddings e on e.vec_id = d.doc_id")
+def published_corpus(spark, sf_dir):
+    """Documents and vectors written as one version of a fixture and read back."""
+    path = _folder(spark)
+    sinks.publish({"corpus": read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "vectors": read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")}, path)
+    back = sinks.published(spark, path)
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4)
+    return back["corpus"].join(back["vectors"], "id", "left").select("id", "lang", F.col("embedding").isNotNull().alias("has_vector"), total.alias("vector_sum"))
