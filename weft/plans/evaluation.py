@@ -49,8 +49,14 @@ def _must_have(spark, sf_dir):
     asked = q.withColumn("w", longest)
     near = words.join(retrieval.batch(asked.where("w is not null")), "w").select("qid", "id", "passage")
     found = near.join(d, "id").where(F.contains("text", F.col("passage"))).select("qid", "id")
-    # passages of one or two words have no inner one: these are looked for in every text
-    short = d.join(retrieval.batch(asked.where("w is null and passage is not null")), F.contains("text", F.col("passage"))).select("qid", "id")
+    # a passage of one or two words has no inner one: a text that holds it has a word that holds the passage's longest part, which is looked for among different words
+    part = F.array_max(F.transform(F.regexp_extract_all("passage", F.lit("[^ \\n]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    brief = asked.where("w is null and passage is not null").select("qid", "passage", part.alias("part"))
+    holding = words.select("w").distinct().join(retrieval.batch(brief.where("part is not null")), F.contains("w", F.col("part"))).select("w", "qid", "passage")
+    short = words.join(retrieval.batch(holding), "w").select("qid", "id", "passage").distinct().join(d, "id").where(F.contains("text", F.col("passage"))).select("qid", "id")
+    # a passage without any word is white space, which every text is asked for
+    blank = d.join(retrieval.batch(brief.where("part is null")), F.contains("text", F.col("passage"))).select("qid", "id")
+    short = short.union(blank)
     return found.union(short).distinct()
 
 
