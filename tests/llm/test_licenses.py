@@ -8,7 +8,7 @@ from weft.llm import licenses as L
 
 
 def telling(words):
-    return {w for w in words if w in L.TELLING or (w.isdigit() and len(w) < 3 and int(w))}
+    return {w for w in words if w in L.TELLING or (L.is_version(w))}
 
 
 def brute(text):
@@ -96,3 +96,29 @@ def test_back_to_back_notices():
             assert [r[0] for r in rows] == [name] * n and len({x.lower() for x in spans}) == 1, (name, rows)
     mixed = "Released under the MIT License.\nLicensed under CC BY 4.0.\n" * 200
     assert [r[0] for r in L.scan(mixed, index)] == ["MIT", "CC-BY-4.0"] * 200
+
+
+def test_titles_lists_short_forms_and_identifiers():
+    index = L.Index(L.TEMPLATES)
+    names = lambda text: [r[0] for r in L.scan(text, index)]
+    assert names("Licensed under the MIT License or the Apache License, Version 2.0") == ["MIT", "Apache-2.0"]
+    assert names("Dual licensed under the Apache License, Version 2.0 or the MIT license at your option.") == ["Apache-2.0", "MIT"]
+    assert names("it is covered by the GNU General Public License v3.0 and more") == ["GPL-3.0"]
+    assert names("you can modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2.") == ["GPL-2.0"]
+    assert names("See the GNU Lesser General Public License, version 2.1 for details") == ["LGPL-2.1"]
+    assert names("Code is licensed under the GPLv3 here") == ["GPL-3.0"] and names("licensed under the GPL version 2.") == ["GPL-2.0"]
+    for line, want in [("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0-only", "GPL-2.0"), ("LGPL-2.1-or-later", "LGPL-2.1"), ("BSD-3-Clause", "BSD-3-Clause"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("EUPL-1.2", "EUPL-1.2")]:
+        assert names(f"// SPDX-License-Identifier: {line}\nint main") == [want], line
+    assert names("# SPDX-License-Identifier: WTFPL\n") == [] and names("SPDX-License-Identifier: GPL-7.0") == []
+    assert names("Released under the ISC License.") == ["ISC"] and names("MIT License\n\nCopyright (c) 2020 Someone") == ["MIT"]
+    assert names("this font is licensed under the SIL Open Font License, Version 1.1.") == ["OFL-1.1"]
+    assert names("Licensed under the EUPL 1.2") == ["EUPL-1.2"] and names("released under the CC0 1.0 Universal") == ["CC0-1.0"]
+    assert names("This is NOT licensed under the MIT License.") == [] and names("not licensed under the MIT License or the Apache License, Version 2.0") == []
+    assert names("It is never released under the ISC License. Licensed under the MIT License.") == ["MIT"]
+    assert names("the license or the general public, version of the terms, under the boost") == []
+
+
+def test_every_template_names_its_own_license():
+    index = L.Index(L.TEMPLATES)
+    for name, text in L.TEMPLATES:
+        assert [r[0] for r in L.scan(f"Some words. {text} More words", index)] == [name], text

@@ -56,10 +56,27 @@ NOTICES = [
 GNU = [("GPL", "General", "1 2 3"), ("LGPL", "Library General", "2"), ("LGPL", "Lesser General", "2.1 3"), ("AGPL", "Affero General", "3")]
 COMMONS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
 COMMONS_VERSIONS = [("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")]
+# licenses that are named by title, and the words that come before or after a title in a notice
+TITLES = [
+    ("MIT", "MIT License"), ("ISC", "ISC License"), ("Zlib", "zlib License"), ("Unlicense", "Unlicense"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache 2.0 License"), ("MPL-2.0", "Mozilla Public License, Version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("EPL-1.0", "Eclipse Public License, Version 1.0"), ("EPL-2.0", "Eclipse Public License, Version 2.0"), ("EPL-2.0", "Eclipse Public License 2.0"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("BSL-1.0", "Boost Software License 1.0"),
+    ("OFL-1.1", "SIL Open Font License, Version 1.1"), ("OFL-1.1", "SIL Open Font License 1.1"), ("EUPL-1.2", "European Union Public Licence, version 1.2"), ("EUPL-1.2", "European Union Public License v1.2"), ("EUPL-1.2", "EUPL 1.2"),
+    ("CC0-1.0", "CC0 1.0 Universal"), ("Artistic-2.0", "Artistic License 2.0"), ("AFL-3.0", "Academic Free License 3.0"), ("ECL-2.0", "Educational Community License 2.0"),
+]
+TITLE_PHRASES = ["licensed under the {}", "licensed under {}", "released under the {}", "distributed under the {}", "available under the {}", "or the {}", "and the {}", "{} Copyright (c)"]
+GNU_PHRASES = [
+    "the GNU {words} Public License, version {v}", "the GNU {words} Public License v{v}", "GNU {words} Public License v{v}.0", "under the terms of the GNU {words} Public License version {v}",
+    "under the terms of the GNU {words} Public License as published by the Free Software Foundation, version {v}", "licensed under the {short}v{v}", "licensed under the {short} version {v}", "licensed under the {short} v{v}",
+]
+SPDX = "MIT ISC Zlib Unlicense BSD-2-Clause BSD-3-Clause Apache-2.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 BSL-1.0 OFL-1.1 EUPL-1.2 CC0-1.0 Artistic-2.0 AFL-3.0 ECL-2.0".split()
+# words before a notice that turn it round
+NEGATIONS = frozenset("not never neither nor cannot isn aren wasn weren without".split())
 # words that tell licenses apart, beside numbers: a notice names a license where both have the same of them
 TELLING = (
     "mit apache academic educational artistic boost eclipse bsd mozilla gnu lesser library affero clause creative commons attribution sharealike noncommercial noderivatives noderivs "
-    "cc by sa nc nd endorse unencumbered waived misrepresented"
+    "cc by sa nc nd endorse unencumbered waived misrepresented isc zlib unlicense sil font european eupl cc0 gpl lgpl agpl mpl epl bsl ofl afl ecl "
+    "gplv1 gplv2 gplv3 lgplv2 lgplv3 agplv3"
 ).split()
 
 
@@ -71,11 +88,21 @@ def notices() -> list[tuple[str, str]]:
             name = f"{short}-{v}" + ("" if "." in v else ".0")
             out.append((name, f"This work is licensed under the GNU {words} Public License, version {v}."))
             out.append((name, f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {words} Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."))
+            for phrase in GNU_PHRASES if "." not in v else [p for p in GNU_PHRASES if not p.endswith("{v}.0")]:
+                out.append((name, phrase.format(words=words, short=short, v=v)))
+            out.append((name, f"SPDX-License-Identifier: {name}"))
+    for name, title in TITLES:
+        out += [(name, phrase.format(title)) for phrase in TITLE_PHRASES]
+    for name in SPDX:
+        out.append((name, f"SPDX-License-Identifier: {name}"))
+        if len(WORD.findall(name)) > 1:
+            out.append((name, f"or {name}"))
     for short, words in COMMONS:
         for v, place in COMMONS_VERSIONS:
             out.append((f"CC-{short}-{v}", f"Licensed under CC {short} {v}."))
+            out.append((f"CC-{short}-{v}", f"SPDX-License-Identifier: CC-{short}-{v}"))
             out.append((f"CC-{short}-{v}", f"This work is licensed under a Creative Commons {words} {v} {place} License."))
-    return out
+    return [n for n in dict.fromkeys(out) if len(WORD.findall(n[1])) > GRAM]
 
 
 TEMPLATES = notices()
@@ -152,7 +179,8 @@ class Index:
 
 
 def is_version(word: str) -> bool:
-    return word.isdecimal() and len(word) <= 2 and word.strip("0") != ""
+    digits = word.removeprefix("v")
+    return digits.isdecimal() and len(digits) <= 2 and digits.strip("0") != ""
 
 
 def band(size: int) -> int:
@@ -236,7 +264,8 @@ def scan(text: str, index: Index) -> list[tuple[str, int, float, int, int, int]]
     """(license, template, coverage, matched words, start, end in characters) of a text, in text order.
 
     A match counts where its words and the template's are the same in TELLING and in version numbers, so that a notice of
-    another version or another license of the family is none. Of matches that share words the one of most matched words stays, then of most coverage, then of the first template.
+    another version or another license of the family is none. A notice with a word like not within the two before it is refused, and so is
+    what "or" or "and" adds to it. Of matches that share words the one of most matched words stays, then of most coverage, then of the first template.
     """
     words = WORD.findall(text.lower())
     ids = np.fromiter(map(index.vocab.get, words, [0] * len(words)), np.int64, len(words))
@@ -256,6 +285,11 @@ def scan(text: str, index: Index) -> list[tuple[str, int, float, int, int, int]]
             starts.insert(k, m[3]), ends.insert(k, m[4]), kept.append(m)
     if not kept:
         return []
+    kept, refused = sorted(kept, key=lambda k: k[3]), set()
+    for _, _, _, start, end in kept:  # "not under A or B" refuses both
+        if NEGATIONS.intersection(words[max(0, start - 2) : start]) or (start in refused and words[start] in ("or", "and")):
+            refused.add(end)
+    kept = [k for k in kept if k[4] not in refused]
     return [(index.names[t], t, cov, n, spans[a][0], spans[b - 1][1]) for n, cov, t, a, b in sorted(kept, key=lambda k: k[3])]
 
 
