@@ -59,3 +59,21 @@ def test_matches_sql(spark, sf_small):
     assert len(got) == len(want) == 200
     for g, w in zip(got, want):
         assert g[:5] == w[:5] and g[7] == w[7] and g[5:7] == pytest.approx(w[5:7], abs=2e-6)
+
+
+def test_target_shares_from_outside(spark):
+    rows = [(i, "word " * (1 + i % 9), "en" if i % 4 else "de" if i % 8 else "fr", f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = {"lang": {"de": 0.6, "xx": 0.1}, "source": {"s0": 0.5, "s1": 0.5, "s2": 0.0}}
+    got = X.mix(docs, wanted=wanted, rounds=40).collect()
+    mass = {}
+    for r in got:
+        mass[r.lang] = mass.get(r.lang, 0) + r.n_tokens * r.probability
+    total = sum(mass.values())
+    assert mass["de"] / total == pytest.approx(0.6 / 0.9, abs=1e-3)  # nothing is of language xx
+    tokens = {x: sum(len(t.split()) for _, t, lang, _ in rows if lang == x) ** X.TEMPER["lang"] for x in ("en", "fr")}
+    assert mass["en"] / total == pytest.approx(0.3 / 0.9 * tokens["en"] / sum(tokens.values()), abs=1e-3)
+    of = {s: sum(r.n_tokens * r.probability for r in got if r.source == s) / total for s in ("s0", "s1", "s2")}
+    assert of["s0"] == pytest.approx(0.5, abs=1e-3) and of["s2"] == 0 and not any(r.selected for r in got if r.source == "s2")
+    with pytest.raises(ValueError, match="lang"):
+        X.mix(docs, wanted={"lang": {"de": 0.8, "en": 0.3}})

@@ -12,6 +12,8 @@ SEED = 17
 #: Name of a missing source, language or topic.
 NONE = "(none)"
 DIMS = ("source", "lang", "topic")
+#: Up to so many cells are broadcast.
+BROADCAST_CELLS = 200_000
 #: Exponents that flatten each margin's share of the tokens into its target.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 
@@ -38,19 +40,37 @@ def counted(docs: DataFrame, topics: DataFrame | None) -> DataFrame:
     return base.join(one, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit(NONE)))
 
 
-def targets(cells: DataFrame, temper: dict[str, float] = TEMPER) -> DataFrame:
+def targets(cells: DataFrame, temper: dict[str, float] = TEMPER, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """cells with t_source, t_lang, t_topic: the target token share of each row's margin.
 
-    A margin's target is its share of the tokens to the power of its dimension, made to sum to one.
+    A margin's target is its share of the tokens to the power of its dimension, made to sum to one. wanted gives shares for values of
+    a dimension instead, {"lang": {"en": 0.5, "de": 0.2}}: the values it does not name divide what is left to one by that rule,
+    and shares of values that hold no tokens are divided among all others in proportion.
     """
     out = cells
     for dim in DIMS:
+        if given := (wanted or {}).get(dim):
+            out = out.join(_wanted(cells, dim, given, temper[dim]), dim)
+            continue
         power = F.pow(F.sum("tokens").over(Window.partitionBy(dim)), F.lit(temper[dim]))
         whole = cells.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(temper[dim])).alias("p")).agg(F.sum("p"))
         out = out.withColumn(f"t_{dim}", power / whole.scalar())
     return out
 
 
+def _wanted(cells: DataFrame, dim: str, given: dict[str, float], power: float) -> DataFrame:
+    """(dim, t_dim) of every value of a dimension by given shares."""
+    rest = 1.0 - sum(given.values())
+    if min(given.values()) < 0 or rest < -1e-9:
+        raise ValueError(f"shares of {dim} have to be at least 0 and at most 1 together")
+    shares = F.create_map(*[F.lit(x) for pair in given.items() for x in (pair[0], float(pair[1]))])
+    named = F.try_element_at(shares, F.col(dim))
+    margins = cells.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("p")).withColumn("share", named)
+    free = F.sum(F.when(F.col("share").isNull(), F.col("p"))).over(Window.partitionBy())
+    raw = margins.withColumn("raw", F.coalesce("share", F.lit(max(rest, 0.0)) * F.col("p") / free))
+    return raw.select(dim, (F.col("raw") / F.sum("raw").over(Window.partitionBy())).alias(f"t_{dim}"))
+
+
 def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """cells (source, lang, topic, tokens, t_*) with weight: iterative proportional fitting of tokens to the targets.
 
@@ -60,11 +80,11 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         for dim in DIMS:
             held = F.sum("weight").over(Window.partitionBy(dim))
-            out = out.withColumn("weight", F.col("weight") * F.col(f"t_{dim}") / held)
+            out = out.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"t_{dim}"), held), F.lit(0.0)))  # a share of 0 leaves no weight
     return out
 
 
-def mix(docs: DataFrame, topics: DataFrame | None = None, rounds: int = ROUNDS, seed: int = SEED, temper: dict[str, float] = TEMPER) -> DataFrame:
+def mix(docs: DataFrame, topics: DataFrame | None = None, rounds: int = ROUNDS, seed: int = SEED, temper: dict[str, float] = TEMPER, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, tilt, probability, selected) for every document.
 
     Tokens are counted in each cell of source, language and topic and raked to the targets; tilt is a cell's
@@ -72,17 +92,20 @@ def mix(docs: DataFrame, topics: DataFrame | None = None, rounds: int = ROUNDS,
     rate at which none passes one, so that the expected tokens selected have exactly the raked mix. A document
     is selected where a fixed hash of its id and the seed falls below that.
 
+    wanted gives target shares from outside, as targets() takes them; a value whose share is 0 is never selected.
+
     Missing sources, languages and topics form a margin of their own; null text is empty. Documents without
     tokens in a cell without tokens have tilt null, probability 1 and are kept, as they weigh nothing. A null
     doc_id draws as the text "null"; repeated rows draw alike; an empty table gives an empty result.
     """
     known = cut(counted(docs, topics))
     cells = known.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
-    raked = cut(rake(targets(cut(cells), temper), rounds))
+    raked = cut(rake(targets(cut(cells), temper, wanted), rounds))
     shares = [F.col(c) / raked.agg(F.sum(c)).scalar() for c in ("weight", "tokens")]
     tilted = cut(raked.select(*DIMS, (shares[0] / shares[1]).alias("tilt")))
     rates = cut(tilted.withColumn("rate", F.col("tilt") / tilted.agg(F.max("tilt")).scalar()))
-    drawn = known.join(rates, list(DIMS), "left").withColumn("rate", F.coalesce("rate", F.lit(1.0)))
+    few = rates.count() <= BROADCAST_CELLS  # beyond it cells are joined, and the adaptive skew join splits hot ones
+    drawn = known.join(F.broadcast(rates) if few else rates, list(DIMS), "left").withColumn("rate", F.coalesce("rate", F.lit(1.0)))
     return drawn.select(
         "doc_id", *DIMS, "n_tokens", F.round("tilt", 6).alias("tilt"), F.round("rate", 6).alias("probability"),
         (uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed) < F.col("rate")).alias("selected"),
