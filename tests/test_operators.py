@@ -1,7 +1,9 @@
 """Operators on small tables: selection, context, lifecycle, evaluation."""
 
+import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from weft import vocab
@@ -141,3 +143,16 @@ def test_references_by_count_and_by_page(spark):
     every = catalog.references_of(items, items.select("id")).groupBy("id").count().collect()
     assert {r.id: r["count"] for r in every} == {i: n for i, (_, n) in counts.items() if n}
     assert catalog.references(items.limit(0)).isEmpty() and catalog.references_of(items.limit(0), asked).isEmpty()
+
+
+@pytest.mark.parametrize("held", [7, 200_000])
+def test_components_of_chains_stars_and_texts(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
+    rng = random.Random(1)
+    links = [(k, k + 1) for k in range(100, 400)] + [(1000, 1000 + k) for k in range(1, 60)] + [(2000 + k % 7, 2000 + (k * 3) % 7) for k in range(30)] + [(5, 5), (None, 7), (8, None)]
+    rng.shuffle(links)
+    want = {5: 5} | {k: 100 for k in range(100, 401)} | {1000 + k: 1000 for k in range(60)}
+    for made in (lambda x: x, lambda x: None if x is None else f"{x:06}", lambda x: None if x is None else f"{x:06}".encode()):
+        edges = spark.createDataFrame([(made(a), made(b)) for a, b in links], f"a {(k := {int: 'long', str: 'string', bytes: 'binary'}[type(made(1))])}, b {k}").repartition(5)
+        got = {r.node if not isinstance(r.node, bytearray) else bytes(r.node): r.label if not isinstance(r.label, bytearray) else bytes(r.label) for r in graph.components(edges).collect()}
+        assert {k: v for k, v in got.items() if not (made(2000) <= k < made(2007))} == {made(k): made(v) for k, v in want.items()}
