@@ -187,19 +187,20 @@ def pins(history: DataFrame, limit: int = vocab.PIN_SLOTS) -> DataFrame:
 
 def context(
     ranked: DataFrame, refs: DataFrame, pinned: DataFrame, best: DataFrame | None = None, web: DataFrame | None = None,
-    k_deep: int = vocab.DEEP_SLOTS, index_limit: int = vocab.INDEX_TOP,
+    k_deep: int = vocab.DEEP_SLOTS, index_limit: int = vocab.INDEX_TOP, best_known: bool = False,
 ) -> DataFrame:
     """(qid, id, n, depth, and uri where web is given): the numbered context of each question.
 
     ranked (qid, id, place), refs and pinned (qid, id, place), best (qid, id), web (qid, place, uri). Deep slots take
-    references, then the item of the best passage (which has to be a known item), then ranked items. The index takes the ranked items
+    references, then the item of the best passage if it is ranked (best_known: ranked holds the shown items only, and best items are known to exist), then ranked items. The index takes the ranked items
     that are not deep, as many as the limit leaves beside the deep ones. Pinned items that are in neither come last, and
     take the place of the index's tail. Sources of the web come after all others and count for no limit. Numbers run on.
     """
     first = Window.partitionBy("qid", "id").orderBy("section", "place")
     offered = refs.select("qid", "id", F.lit(0).alias("section"), "place")
     if best is not None:
-        offered = offered.unionByName(best.select("qid", "id", F.lit(1).alias("section"), F.lit(1).alias("place")))
+        own = best.select("qid", "id") if best_known else best.select("qid", "id").join(ranked.select("qid", "id"), ["qid", "id"], "left_semi")
+        offered = offered.unionByName(own.select("qid", "id", F.lit(1).alias("section"), F.lit(1).alias("place")))
     top = ranked.where(F.col("place") <= index_limit)  # no item further down can be shown for its rank
     offered = offered.unionByName(top.select("qid", "id", F.lit(2).alias("section"), "place"))
     once = offered.withColumn("seen", F.row_number().over(first)).where("seen = 1")

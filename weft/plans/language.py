@@ -153,7 +153,7 @@ def answer_context(spark, sf_dir):
     passages = cut(retrieval.passage_ranks(asked, chunks))
     best = retrieval.best_passage(passages).join(known.select("id"), "id", "left_semi")
     ranked = retrieval.top(asked, known, chunks, passages=passages)
-    return corpus.longs(retrieval.context(ranked.select("qid", "id", "place"), refs, pinned, best), "n")
+    return corpus.longs(retrieval.context(ranked.select("qid", "id", "place"), refs, pinned, best, best_known=True), "n")
 
 
 def _answers(spark, sf_dir):
