@@ -62,3 +62,21 @@ def test_groups_of_near_copies(spark):
     got = {r.id: r.cluster for r in similarity.clusters(items).collect()}
     assert len(got) == len(texts) and {got[k] for k in range(300)} | {got[303]} == {0}
     assert got[300] == got[301] == 300 and all(got[k] == k for k in [302, *range(304, 344)])
+
+
+def test_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(products, "BLOCK_VECTORS", 20)
+    rows = vectors(4, 100, 4)
+    df = spark.createDataFrame([(i, [t for t, _ in e], [float(w) for _, w in e]) for i, e in rows], "id long, terms array<bigint>, weights array<double>")
+    met = products.pairs(df, 0.5, size=(100, sum(len(e) for _, e in rows)))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan  # a vector is not written again for each block it meets
+    want = {(i, j) for i, x in rows for j, y in rows if i < j and dot(x, y) >= 0.5}
+    assert {(r.a, r.b) for r in met.collect()} == want
+
+
+def test_large_vocabularies_are_joined(spark, monkeypatch):
+    items = spark.createDataFrame([(k, f"common text number{k // 2} and{k // 2} more{k // 2}") for k in range(40)], "id long, text string")
+    small = sorted(map(tuple, similarity.similar_representatives(items, 0.02).collect()))
+    monkeypatch.setattr(similarity, "BROADCAST_TERMS", 0)
+    assert small == sorted(map(tuple, similarity.similar_representatives(items, 0.02).collect())) and small

@@ -84,20 +84,27 @@ class Forest:
         return x != y
 
 
-def _cell(table: pa.Table, least: float, forest: bool) -> pa.Table:
-    block = table["block"].to_numpy()
-    blocks = []
-    for b in np.unique(block):
-        part = table.filter(pa.array(block == b)).combine_chunks()
-        column = lambda name: part[name].chunk(0) if part[name].num_chunks else part[name].combine_chunks()  # noqa: B023, E731
-        terms, weights = column("terms"), column("weights")
-        blocks.append(Vectors(part["id"].to_numpy(), terms.offsets.to_numpy() - terms.offsets[0].as_py(), terms.flatten().to_numpy(), weights.flatten().to_numpy()))
-    own = len(blocks) == 1
-    if own and not table["own"][0].as_py():  # the other block has no vectors
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors of a task, which are one block, as one row (block, packed)."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        rows, sink = pa.Table.from_batches(held).combine_chunks(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, (part := rows.select(["id", "terms", "weights"])).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(part)
+        yield pa.RecordBatch.from_arrays([rows["block"].chunk(0)[:1], pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
+
+
+def _unpacked(packed: pa.Scalar) -> Vectors:
+    rows = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
+    ids, terms, weights = (rows[c].chunk(0) for c in ("id", "terms", "weights"))
+    return Vectors(ids.to_numpy(), terms.offsets.to_numpy() - terms.offsets[0].as_py(), terms.flatten().to_numpy(), weights.flatten().to_numpy())
+
+
+def _met(left: Vectors, right: Vectors, own: bool, least: float, forest: bool) -> pa.RecordBatch:
+    """The pairs of two blocks, or of a block with itself."""
     tree, out = Forest(), []
-    for x, y, dots in close_pairs(blocks[0], blocks[-1], least):
-        i, j = blocks[0].ids[x], blocks[-1].ids[y]
+    for x, y, dots in close_pairs(left, right, least):
+        i, j = left.ids[x], right.ids[y]
         keep = i < j if own else i != j
         a, b, s = np.minimum(i, j)[keep], np.maximum(i, j)[keep], dots[keep]
         if forest and len(a):
@@ -105,23 +112,35 @@ def _cell(table: pa.Table, least: float, forest: bool) -> pa.Table:
             a, b, s = a[new], b[new], s[new]
         out.append((a, b, s))
     a, b, s = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
 
-def pairs(vectors: DataFrame, least: float, forest: bool = False) -> DataFrame:
+def pairs(vectors: DataFrame, least: float, forest: bool = False, size: tuple[int, int] | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of vectors (id long, terms array<bigint>, weights array<double>) of unit length with a dot product of at least least.
 
-    Terms below zero are the DENSE most frequent, -1 first. Vectors are dealt to blocks of bounded size by a hash of their id; every two blocks
-    meet once, in one task. With forest each task returns a spanning forest of the links it finds, so that a group of n alike
-    vectors makes links in the order of n, not n * n. Null ids take no part. The work grows with the sum over the other terms
-    of the square of the vectors that hold one; moved rows grow with vectors times blocks.
+    Terms below zero are the DENSE most frequent, -1 first. Vectors are dealt to blocks of bounded size by a hash of their id, each one row of
+    a checkpoint; every two blocks meet once, in one task, which reads them there, so that no vector is copied to disk for each block it
+    meets. With forest each task returns a spanning forest of the links it finds, so that a group of n alike vectors makes links in the order
+    of n, not n * n. Null ids take no part. The work grows with the sum over the other terms of the square of the vectors that hold one;
+    moved and stored rows grow with the vectors, reads of the checkpoint with vectors times blocks. size has the number of vectors and of
+    their entries where they are known, else the vectors are stored once more to be counted.
     """
-    held = cut(vectors.where("id is not null"))
-    n, entries = held.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    held = vectors.where("id is not null")
+    held = held if size else cut(held)
+    n, entries = size or held.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     spread = int((2 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5) + 1
     blocks = max(1, -(-entries // BLOCK_ENTRIES), -(-n // BLOCK_VECTORS), min(spread, n // 256))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = held.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = dealt.withColumn("cell", F.least("block", "other") * F.lit(blocks).cast("bigint") + F.greatest("block", "other")).withColumn("own", F.col("block") == F.col("other"))
-    grouped = cells.select("cell", "block", "own", F.col("id").cast("bigint").alias("id"), "terms", "weights").repartition(blocks * (blocks + 1) // 2, "cell").groupBy("cell")
-    return grouped.applyInArrow(lambda t: _cell(t, least, forest), PAIRS)
+    dealt = held.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.col("id").cast("bigint").alias("id"), "terms", "weights")
+    packed = cut(dealt.repartitionById(blocks, "block").mapInArrow(_packed, "block int, packed binary"))
+    left, right = (packed.select(F.col("block").alias(f"{x}_block"), F.col("packed").alias(x)) for x in ("left", "right"))
+    # a Cartesian product has a task for every two partitions and shuffles nothing
+    cells = left.join(right.hint("shuffle_replicate_nl"), F.col("left_block") <= F.col("right_block"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, left, b, right in zip(*batch.columns):
+                one = _unpacked(left)
+                own = a.as_py() == b.as_py()
+                yield _met(one, one if own else _unpacked(right), own, least, forest)
+
+    return cells.select("left_block", "left", "right_block", "right").mapInArrow(meet, PAIRS)

@@ -119,8 +119,8 @@ def similarity_clusters(spark, sf_dir):
  date_diff('day', min(coalesce(i.published_at::date, date '2026-08-01')) over (partition by c.cluster), date '2026-08-01') as age from items i join clusters c on c.id = i.id)""", SQL_TFIDF, SQL_CLUSTERS))
 def dedup_run(spark, sf_dir):
     """Clusters with their primary item, size and momentum."""
-    i = items(spark, sf_dir).select("id", "trust_tier", "published_at", "confidence")
-    return similarity.dedup(i.join(_short(spark, sf_dir), "id"), as_of())
+    shown = F.concat(F.col("title"), F.lit(" "), F.col("body")).alias("text")
+    return similarity.dedup(items(spark, sf_dir).select("id", "trust_tier", "published_at", "confidence", shown), as_of())
 
 
 _WINDOW = "substr(t, pos + 1, 2000)"
