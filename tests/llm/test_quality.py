@@ -66,3 +66,20 @@ def test_odd_rows(spark):
     assert out.count() == len(rows) and out.where("accepted is null").count() == 0
     assert Q.classify(docs, labels.limit(0)).where("accepted").count() == len(rows)
     assert Q.classify(docs.limit(0), labels).count() == 0 and Q.accepted(docs.limit(0), labels).count() == 0
+
+
+def test_every_trusted_document_counts(spark, monkeypatch):
+    labels = spark.range(5000).selectExpr("id as doc_id", "1 as quality")
+    learn, judge = Q.split_trusted(labels)
+    assert learn.count() > 2000 and learn.count() + judge.count() == 5000 and learn.join(judge, "doc_id").count() == 0
+    # shards and their rows grow with the counts; probabilities stay the same
+    train = [f"the cat number {k % 7} sat on the mat {k % 5} and so did dog {k % 3}" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*train[:20], "zebra", "", None])), "doc_id long, text string")
+    model, three = Q.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    want = {r.k: (r.log_p, r.n) for r in Q.perplexities(docs, model, three).collect()}
+    monkeypatch.setattr(Q, "SHARD_WORDS", 20)
+    monkeypatch.setattr(Q, "HELD", 3)
+    model, three = Q.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    assert model.shards > Q.SHARDS
+    got = {r.k: (r.log_p, r.n) for r in Q.perplexities(docs, model, three).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
