@@ -68,3 +68,13 @@ def test_round_trip_nulls_and_long_texts(spark):
         if t and "\x00" not in t:
             assert sp.decode(out[i].ids) == t.replace("▁", " ")
     assert P.encode(docs.limit(0)).count() == 0
+
+
+def test_query_returns_ids_that_decode_to_the_texts(spark, sf_small):
+    from weft.llm.queries import op10_sentencepiece
+
+    out = op10_sentencepiece(spark, sf_small)
+    back = {r.doc_id: r.text for r in P.decode(out).collect()}
+    for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect():
+        assert "▁" in (r.text or "") or back[r.doc_id] == (r.text or "")
+    assert out.where("size(ids) != n_ids").count() == 0

@@ -283,8 +283,12 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, with_ids: bool
                 scores = [s for s, _ in merge(chunks, best, pieces, n)]
                 row = (len(ids), scores[0], scores, zlib.crc32(packed.tobytes()), pieces.decode(ids) == text)
                 rows.append((*row, packed) if with_ids else row)
-            types = [pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.bool_()] + ([pa.list_(pa.int32())] if with_ids else [])
+            types = [pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.bool_()]
             columns = [pa.array(list(x), t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+            if with_ids:  # lists from one array, not number by number
+                sizes = [r[0] for r in rows]
+                ids = np.concatenate([r[5] for r in rows]) if rows else np.empty(0, "<i4")
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(ids, pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], NAMES[: 1 + len(columns)])
 
     arrow_rows(docs.sparkSession, 256)

@@ -57,7 +57,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best and next best segmentations of every whole text, and whether it decodes to itself."""
-    return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.encode(table(spark, sf_dir, "documents"))
 
 
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
