@@ -7,28 +7,52 @@ from pyspark.sql import functions as F
 
 from weft import vocab
 from weft.functions import text, vectors
+from weft.operators import blocks
 from weft.operators.lineage import cut
 
 
 #: Rows of a batch of questions that are broadcast; a larger batch is left to the planner.
 BROADCAST_ROWS = 10_000
+#: Passages of a batch of questions that are broadcast.
+BROADCAST_PASSAGES = 1_000_000
 #: Items that each list of top() takes for a question; well over the items shown and the passages of a question together.
 LIST = 512
 #: Steps of a binary search among a question's candidates: three lists and the passages make no more than 2,047.
 STEPS = [1 << k for k in range(10, -1, -1)]
 
 
+def few(questions: DataFrame) -> bool:
+    return questions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def batch(questions: DataFrame) -> DataFrame:
     """A batch of questions, broadcast where a check of its size allows it."""
-    few = questions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(questions) if few else questions
+    return F.broadcast(questions) if few(questions) else questions
+
+
+def _terms(questions: DataFrame) -> DataFrame:
+    return questions.withColumn("terms", F.array_distinct(text.question_terms(F.col("text"))))
 
 
 def relevance(questions: DataFrame, items: DataFrame) -> DataFrame:
     """(qid, id, rel) where rel > 0: distinct question terms among the words of an item. questions (qid, text), items (id, words)."""
-    asked = questions.select("qid", F.explode(F.array_distinct(text.question_terms(F.col("text")))).alias("term"))
-    held = items.select("id", F.explode(F.array_distinct("words")).alias("term"))
-    return held.join(asked, "term").groupBy("qid", "id").agg(F.count("*").alias("rel"))
+    asked = _terms(questions).withColumn("least", F.lit(1))
+    met = blocks.pairs(asked, items.select("id", "words"), few(questions.select("qid")), words=True)
+    return met.groupBy("qid", "id").agg(F.sum("rel").alias("rel"))
+
+
+def places(questions: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(qid, id, place) of the wanted pairs (qid, id) among all items of a question, by matching terms, then id.
+
+    An item with fewer matching terms than the last wanted one of its question is before none of them, so only the others are
+    sorted: few where wanted items match well, and all, unmatched ones too, where one matches nothing.
+    """
+    asked, small, plain = _terms(questions), few(questions.select("qid")), items.select("id", "words")
+    own = blocks.pairs(asked, plain.join(wanted.select("id").distinct(), "id", "left_semi"), small, words=True)
+    least = cut(own.join(wanted, ["qid", "id"], "left_semi").groupBy("qid").agg(F.min("rel").alias("least")))
+    met = blocks.pairs(asked.join(least, "qid"), plain, small, words=True)
+    placed = met.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rel"), "id")))
+    return placed.join(wanted, ["qid", "id"], "left_semi").select("qid", "id", "place")
 
 
 RANKED = ("qid", "id", "rank_lex", "rank_vec", "chunk_rank", "rrf", "place")
@@ -41,11 +65,9 @@ def _similarity():
 
 
 def _measured(questions: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every pair of a question with a vector and a row with one, with their cosine; lengths are found once a row."""
-    held = rows.where("emb is not null").withColumn("emb_norm", vectors.norm(F.col("emb")))
-    asked = questions.where("qvec is not null").withColumn("qvec_norm", vectors.norm(F.col("qvec")))
-    size = F.col("emb_norm") * F.col("qvec_norm")
-    return held.join(batch(asked), how="cross").withColumn("similarity", F.when(size == 0, 0.0).otherwise(vectors.dot(F.col("qvec"), F.col("emb")) / size))
+    """Every pair of a question with a vector and a row with one, with their cosine: (qid, similarity, ...) and the row's columns but emb."""
+    asked = questions.where("qvec is not null").select("qid", "qvec")
+    return blocks.pairs(asked, rows.where("emb is not null"), few(asked.select("qid")), emb=True).drop("measured")
 
 
 def vector_ranks(questions: DataFrame, items: DataFrame) -> DataFrame:
@@ -68,13 +90,13 @@ def hybrid(questions: DataFrame, items: DataFrame, chunks: DataFrame, limit: int
     terms has no vector and no passages. An item without a vector takes its lexical rank for it; passages count
     only for questions that have any, and an item without one takes its vector rank. Ties go by importance, then id.
     """
-    active = questions.where(F.size(text.question_terms(F.col("text"))) > 0)
-    base = items.select("id", "importance").join(batch(questions.select("qid")), how="cross")
-    rel = base.join(relevance(active, items), ["qid", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    lexical = rel.withColumn("rank_lex", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("rel"))))
-    with_vec = lexical.join(vector_ranks(active, items).select("qid", "id", F.col("rank").alias("rank_vec")), ["qid", "id"], "left")
-    whole = with_vec.join(passage_ranks(active, chunks, limit), ["qid", "id"], "left")
-    of = Window.partitionBy("qid")
+    asked = _terms(questions).withColumn("qvec", F.when(F.size("terms") > 0, F.col("qvec")))
+    met = blocks.pairs(asked, items.select("id", "importance", "words", "emb"), few(questions.select("qid")), words=True, emb=True)
+    of, nearest = Window.partitionBy("qid"), (F.desc("measured"), F.desc(F.round("similarity", 6)))
+    ranked = met.withColumn("rank_lex", F.rank().over(of.orderBy(F.desc("rel")))).withColumn("rank_vec", F.when(F.col("measured"), F.rank().over(of.orderBy(*nearest))))
+    passages = cut(passage_ranks(asked.where(F.size("terms") > 0), chunks, limit))
+    passages = F.broadcast(passages) if passages.count() <= BROADCAST_PASSAGES else passages
+    whole = ranked.join(passages, ["qid", "id"], "left")
     ranked = whole.withColumn("rrf", _fused(F.col("rank_lex"), F.col("rank_vec"), F.col("chunk_rank"), F.count("chunk_rank").over(of) > 0))
     return ranked.withColumn("place", F.row_number().over(of.orderBy(F.desc("rrf"), F.desc("importance"), "id"))).select(*RANKED)
 

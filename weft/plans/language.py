@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft import vocab
 from weft.functions import intent, text
-from weft.operators import retrieval
+from weft.operators import blocks, retrieval
 from weft.operators.lineage import cut
 from weft.plans import corpus
 from weft.plans.corpus import items, read, sql, sql_list
@@ -43,7 +43,7 @@ def _questions(spark, sf_dir):
 def _searched(spark, sf_dir):
     """Items with the words of what is searched: title, type, topics and whole text."""
     shown = F.concat_ws(" ", "title", "event_type", F.array_join("topics", " "), "body")
-    return items(spark, sf_dir).withColumn("words", F.array_distinct(text.tokens(shown)))
+    return blocks.spread(items(spark, sf_dir)).withColumn("words", F.array_distinct(text.tokens(shown)))
 
 
 @query(sql("select qid, id, rel from rel", SQL_TERMS, SQL_WORDS, SQL_REL))
