@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft import vocab
-from weft.operators import evaluate, retrieval
+from weft.operators import blocks, evaluate, retrieval
+from weft.operators.lineage import cut
 from weft.plans import corpus, language
 from weft.plans.corpus import items, read, sql
 from weft.plans.registry import registry
@@ -44,14 +44,21 @@ def _must_have(spark, sf_dir):
     # an inner word of the passage is a whole word of any text that holds it; the longest is the rarest
     inner = F.regexp_extract_all("passage", F.lit("(?<=[ \\n])[^ \\n]+(?=[ \\n])"), F.lit(0))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    words = d.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0)))).alias("w"))
-    asked = q.withColumn("w", longest)
-    near = words.join(retrieval.batch(asked.where("w is not null")), "w").select("qid", "id", "passage")
-    found = near.join(d, "id").where(F.contains("text", F.col("passage"))).select("qid", "id")
+    d = blocks.spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    w = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0)))).alias("w")
+    words = d.select("id", w)
+    asked = cut(q.withColumn("w", longest))
+    inner = asked.where("w is not null")
+    if retrieval.few(inner):  # nothing moves: each text is by its words
+        near = d.select("id", "text", w).join(F.broadcast(inner), "w")
+    else:
+        near = words.join(inner, "w").select("qid", "id", "passage").join(d, "id")
+    found = near.where(F.contains("text", F.col("passage"))).select("qid", "id")
     # a passage of one or two words has no inner one: a text that holds it has a word that holds the passage's longest part, which is looked for among different words
     part = F.array_max(F.transform(F.regexp_extract_all("passage", F.lit("[^ \\n]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     brief = asked.where("w is null and passage is not null").select("qid", "passage", part.alias("part"))
+    if brief.isEmpty():
+        return found.distinct()
     holding = words.select("w").distinct().join(retrieval.batch(brief.where("part is not null")), F.contains("w", F.col("part"))).select("w", "qid", "passage")
     short = words.join(retrieval.batch(holding), "w").select("qid", "id", "passage").distinct().join(d, "id").where(F.contains("text", F.col("passage"))).select("qid", "id")
     # a passage without any word is white space, which every text is asked for
@@ -66,16 +73,14 @@ def passages_contained(spark, sf_dir):
     return _must_have(spark, sf_dir)
 
 
-def _placed(spark, sf_dir):
-    """(qid, id, place) of every item for every question, by matching terms, then id."""
-    q, known = language._questions(spark, sf_dir), language._searched(spark, sf_dir)
-    base = known.select("id").join(retrieval.batch(q.select("qid")), how="cross")
-    rel = base.join(retrieval.relevance(q, known), ["qid", "id"], "left")
-    return rel.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.coalesce("rel", F.lit(0)).desc(), "id")))
+def _placed(spark, sf_dir, wanted):
+    """(qid, id, place) of wanted pairs (qid, id) among every item for a question, by matching terms, then id."""
+    return retrieval.places(language._questions(spark, sf_dir), language._searched(spark, sf_dir), wanted)
 
 
 def _recall(spark, sf_dir):
-    return evaluate.recall(_placed(spark, sf_dir), _must_have(spark, sf_dir), vocab.INDEX_TOP)
+    needed = cut(_must_have(spark, sf_dir))
+    return evaluate.recall(_placed(spark, sf_dir, needed), needed, vocab.INDEX_TOP)
 
 
 _PARTS = (language.SQL_TERMS, language.SQL_WORDS, language.SQL_REL, SQL_MUST, SQL_PLACED, SQL_RECALL)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weft import vocab
 from weft.functions import scoring
 from weft.operators import digest, evaluate, lifecycle, retrieval
-from weft.operators.lineage import shared_folder
+from weft.operators.lineage import cut, shared_folder
 from weft.plans import corpus, evaluation, intake, language, selection
 from weft.plans.corpus import read, sql
 from weft.plans.registry import registry
@@ -126,7 +126,8 @@ def recall_levels(spark, sf_dir):
 @query(sql("select m.qid, m.id, place from must m left join placed p using (qid, id) where place is null or place > 60", language.SQL_TERMS, language.SQL_WORDS, language.SQL_REL, evaluation.SQL_MUST, evaluation.SQL_PLACED))
 def ranking_misses(spark, sf_dir):
     """Needed items beyond the first sixty, with the place that they have."""
-    return corpus.longs(evaluate.misses(evaluation._placed(spark, sf_dir), evaluation._must_have(spark, sf_dir), 60), "place")
+    needed = cut(evaluation._must_have(spark, sf_dir))
+    return corpus.longs(evaluate.misses(evaluation._placed(spark, sf_dir, needed), needed, 60), "place")
 
 
 @query(sql("""select id, case when id % 5 = 1 then 'new' when id % 5 = 2 then 'gone' when now = label and was <> label then 'fixed' when now <> label and was = label then 'broken' when now = label then 'right' else 'wrong' end as state
