@@ -83,18 +83,20 @@ def passage_ranks(questions: DataFrame, chunks: DataFrame, limit: int = vocab.PA
     return placed.groupBy("qid", "id").agg(F.min("place").alias("chunk_rank"))
 
 
-def hybrid(questions: DataFrame, items: DataFrame, chunks: DataFrame, limit: int = vocab.PASSAGES) -> DataFrame:
+def hybrid(questions: DataFrame, items: DataFrame, chunks: DataFrame, limit: int = vocab.PASSAGES, passages: DataFrame | None = None) -> DataFrame:
     """(qid, id, rank_lex, rank_vec, chunk_rank, rrf, place): reciprocal rank fusion with the rules for missing signals.
 
     questions (qid, text, qvec), items (id, words, emb, importance), chunks (chunk_id, id, emb). A question without
     terms has no vector and no passages. An item without a vector takes its lexical rank for it; passages count
     only for questions that have any, and an item without one takes its vector rank. Ties go by importance, then id.
+    passages takes passage_ranks() where they are known.
     """
     asked = _terms(questions).withColumn("qvec", F.when(F.size("terms") > 0, F.col("qvec")))
     met = blocks.pairs(asked, items.select("id", "importance", "words", "emb"), few(questions.select("qid")), words=True, emb=True)
     of, nearest = Window.partitionBy("qid"), (F.desc("measured"), F.desc(F.round("similarity", 6)))
     ranked = met.withColumn("rank_lex", F.rank().over(of.orderBy(F.desc("rel")))).withColumn("rank_vec", F.when(F.col("measured"), F.rank().over(of.orderBy(*nearest))))
-    passages = cut(passage_ranks(asked.where(F.size("terms") > 0), chunks, limit))
+    active = asked.where(F.size("terms") > 0)
+    passages = cut(passage_ranks(active, chunks, limit) if passages is None else passages.join(active.select("qid"), "qid", "left_semi"))
     passages = F.broadcast(passages) if passages.count() <= BROADCAST_PASSAGES else passages
     whole = ranked.join(passages, ["qid", "id"], "left")
     ranked = whole.withColumn("rrf", _fused(F.col("rank_lex"), F.col("rank_vec"), F.col("chunk_rank"), F.count("chunk_rank").over(of) > 0))

@@ -105,8 +105,8 @@ def hybrid_ranks(spark, sf_dir):
 
 @query(sql("select qid, id, rank_lex, rank_vec, chunk_rank, rrf, place from ranked where place <= 60", SQL_TERMS, SQL_WORDS, SQL_REL, SQL_VEC, SQL_PASSAGES, SQL_HYBRID))
 def top_ranks(spark, sf_dir):
-    """The sixty items shown for every question, by fused ranks, from short lists and counts."""
-    return corpus.longs(retrieval.top(_questions(spark, sf_dir), _known(spark, sf_dir), _chunks(spark, sf_dir)), "rank_lex", "rank_vec", "chunk_rank", "place")
+    """The sixty items shown for every question, by fused ranks."""
+    return corpus.longs(_ranked(spark, sf_dir).where(F.col("place") <= vocab.INDEX_TOP), "rank_lex", "rank_vec", "chunk_rank", "place")
 
 
 @query(f"with {SQL_PASSAGES} select qid, min(id) as id from best where chunk_rank = 1 group by 1 having count(*) = 1")
@@ -152,8 +152,8 @@ def answer_context(spark, sf_dir):
     asked, known, chunks = _questions(spark, sf_dir), _known(spark, sf_dir), _chunks(spark, sf_dir)
     passages = cut(retrieval.passage_ranks(asked, chunks))
     best = retrieval.best_passage(passages).join(known.select("id"), "id", "left_semi")
-    ranked = retrieval.top(asked, known, chunks, passages=passages)
-    return corpus.longs(retrieval.context(ranked.select("qid", "id", "place"), refs, pinned, best, best_known=True), "n")
+    ranked = cut(retrieval.hybrid(asked, known, chunks, passages=passages).where(F.col("place") <= vocab.INDEX_TOP).select("qid", "id", "place"))
+    return corpus.longs(retrieval.context(ranked, refs, pinned, best, best_known=True), "n")
 
 
 def _answers(spark, sf_dir):
