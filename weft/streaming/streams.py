@@ -153,14 +153,16 @@ def record(batch: DataFrame, number: int, ledger: str) -> None:
     before, so it adds nothing twice.
     """
     spark = batch.sparkSession
-    new = batch.select("fingerprint").where("fingerprint is not null").distinct().withColumn("part", F.lower(F.substring(F.hex(F.crc32("fingerprint")), -2, 2)))
+    new = batch.select("fingerprint").where("fingerprint is not null").distinct().withColumn("part", F.lower(F.substring(F.hex(F.crc32("fingerprint")), -2, 2))).persist()  # read twice
     parts = [r.part for r in new.select("part").distinct().collect()]
     try:
         known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("part").isin(parts) & (F.col("batch") != number))
     except AnalysisException:  # the ledger's folder is not there yet
         known = spark.createDataFrame([], LEDGER)
     unseen = new.join(known.select("fingerprint"), "fingerprint", "left_anti").withColumn("batch", F.lit(number).cast("long"))
-    unseen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(ledger)
+    # a part is written by one task: every task with rows of every part would make a file for each
+    unseen.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(ledger)
+    new.unpersist()
 
 
 def into_ledger(stream: DataFrame, ledger: str, folder: str):
