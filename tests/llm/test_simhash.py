@@ -134,3 +134,27 @@ def test_failed_links_stand_for_no_others(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_similar(rows, 5, 80, 4, 0.8)
     assert {i: c for i, (_, c) in result(simhash.near_duplicates(docs, 5, 80, 4, 0.8)).items()} == want
+
+
+def test_failed_links_are_judged_in_one_pass(spark, monkeypatch):
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(None, None), (900, ""), (901, " "), (902, "one"), (902, "one")]
+    for k in range(60):
+        words = base[:]
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(70, rows[9][1]), (70, rows[9][1])]
+    asked, real = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: asked.append(1) or real(edges))
+    monkeypatch.setattr(simhash, "BLOCK", 16)  # several blocks of one tile
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_similar([r for r in rows if r[0] is not None], 5, 80, 4, 0.8)
+    results = []
+    for few, all_at_once in ((simhash.FEW, simhash.ASKED), (0, 0)):
+        monkeypatch.setattr(simhash, "FEW", few)
+        monkeypatch.setattr(simhash, "ASKED", all_at_once)
+        results.append({i: c for i, (_, c) in result(simhash.near_duplicates(docs, 5, 80, 4, 0.8)).items() if i is not None})
+    assert results == [want, want]
+    assert len(asked) == 2  # links that fail lead to no further rounds
