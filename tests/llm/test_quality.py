@@ -83,3 +83,10 @@ def test_every_trusted_document_counts(spark, monkeypatch):
     assert model.shards > Q.SHARDS
     got = {r.k: (r.log_p, r.n) for r in Q.perplexities(docs, model, three).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_copies_of_the_counts_follow_the_training_words(spark):
+    train = [f"the cat number {k % 7} sat on the mat {k % 5} and so did dog {k % 3}" for k in range(60)]
+    model, _ = Q.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    # by this number copies are bounded: one number of the vocabulary's words, whatever the loops after it count
+    assert model.words == sum(n for n in collections.Counter(w for t in train for w in Q.TOKENS.findall(t)).values() if n >= Q.LEAST_COUNT) == 60 * 14

@@ -237,9 +237,9 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame] | None:
         return None
     of = lambda order: discounts({c: sums.get(order << 32 | c, 0) for c in (1, 2, 3, 4)})
     counts = np.zeros(len(vocabulary))
-    for w, n in one.items():
-        counts[w] = n
-    d = discounts({n: sum(1 for x in one.values() if x == n) for n in (1, 2, 3, 4)})
+    for w, ways in one.items():
+        counts[w] = ways
+    d = discounts({c: sum(1 for x in one.values() if x == c) for c in (1, 2, 3, 4)})
     taken = np.where(counts > 0, np.array(d)[np.minimum(np.maximum(counts, 1), 3).astype(int) - 1], 0.0)
     unigram = (counts - taken + taken.sum() / len(vocabulary)) / counts.sum()
     return Model(vocabulary, unigram, (of(3), of(2)), shards, n), three.where("kind = 0")
