@@ -73,6 +73,25 @@ def test_ids_of_words(spark, sf_small):
     assert all(len(x) == 1 for x in named.values()) and len(named) == len({next(iter(x)) for x in named.values()})
 
 
+def test_words_are_looked_up_once(monkeypatch):
+    import gc
+
+    known, texts = L.Segments(L.VOCABULARY_FILE), ["a b a zebra b", "zebra \xff a c c", ""]
+    words, passes, on = [w for t in texts for w in L.tokens(t)], [], gc.isenabled()
+    real = np.fromiter
+    monkeypatch.setattr(np, "fromiter", lambda *a: passes.append(len(a)) or real(*a))
+    first = known.numbers(words).tolist()
+    assert len(passes) == 2  # one over the words, one over the ids of new ones; before, words not yet known were looked up again
+    assert known.numbers(words).tolist() == first and len(passes) == 3
+    assert [list(known.number)[k] for k in first] == words and len(set(first)) == len(known.hashes) == len(known.number) == 6
+    assert known.hashes[first].tolist() == [L.word_hash(w) for w in words]
+    # no search for cycles while texts are split, and again afterwards
+    seen = []
+    monkeypatch.setattr(L, "tokens", lambda t, real=L.tokens: seen.append(gc.isenabled()) or real(t))
+    L.sequences(known, texts)
+    assert seen == [False] * 3 and gc.isenabled() == on
+
+
 def softmax(v):
     e = np.exp(v - v.max())
     return e / e.sum()

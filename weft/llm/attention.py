@@ -69,7 +69,7 @@ class Attention:
         a *= scale
         a += self._bias(t, t)
         np.exp(np.minimum(a, MOST, out=a), out=a)
-        a /= (a @ ones[:t])[:, :, None]
+        a /= (a.reshape(-1, t) @ ones[:t]).reshape(b, t, 1)  # one product, not one for each window
         seen = a @ v
         z = (seen + r).reshape(-1, d)
         prob = z @ p["u"]
@@ -86,13 +86,17 @@ class Attention:
         prob *= self.dtype(1 / count)
         dz = (prob @ p["u"].T).reshape(b, t, d)
         da = dz @ v.transpose(0, 2, 1)
-        da -= ((dz * seen) @ ones[:d])[:, :, None]
+        da -= ((dz * seen).reshape(-1, d) @ ones[:d]).reshape(b, t, 1)
         da *= a
         g = {"u": z.T @ prob, "c": ones[:1].repeat(b * t) @ prob}
         far, behind = _distances(t)
         g["d"] = np.bincount(far, da.sum(axis=0)[behind], minlength=SPAN).astype(self.dtype)
         da *= scale
-        down = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz, dz], axis=2).reshape(-1, 4 * d)
+        down = np.empty((b, t, 4 * d), self.dtype)
+        for to, one, other in ((0, da, k), (d, da.transpose(0, 2, 1), q), (2 * d, a.transpose(0, 2, 1), dz)):
+            np.matmul(one, other, out=down[:, :, to : to + d])
+        down[:, :, 3 * d :] = dz
+        down = down.reshape(-1, 4 * d)
         g["w"] = e.T @ down
         de = down @ p["w"].T
         g["e"] = np.add.reduceat(de.take(order, 0), starts, axis=0)
@@ -179,7 +183,7 @@ def score(tables: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray
         s[early] += np.where(x[early] == masked, np.float32(-1e9), np.float32(0))[:, None, :]
         np.exp(np.minimum(s, MOST, out=s), out=s)
         z = s @ kv[:, :, width:]
-        z /= (s @ ones)[:, :, None]
+        z /= (s.reshape(-1, SPAN) @ ones).reshape(len(s), STRIDE, 1)
         z += qr[:, :, width:]
         wanted = y >= 0
         whole = wanted.all()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import itertools
 import pickle
 from collections.abc import Iterator
@@ -110,6 +112,14 @@ class Grown:
         self.room[self.size : size], self.size = more, size
 
 
+class Numbering(dict):
+    """Numbers of words, a new one for each new word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Segments:
     """Subword ids of words: of a space and the word, always the longest piece next. Words are numbered as they come, the end first.
 
@@ -121,16 +131,16 @@ class Segments:
         self.clear()
 
     def clear(self) -> None:
-        self.number = {END: 0}
+        self.number = Numbering({END: 0})
         self._ids, self._sizes, self._starts, self._hashes, self._kinds = (Grown([x]) for x in (self.n - 1, 1, 0, word_hash(END), 0))
 
     ids, sizes, starts, hashes, kinds = (property(lambda self, x=x: getattr(self, x).held) for x in ("_ids", "_sizes", "_starts", "_hashes", "_kinds"))
 
     def add(self, new: list[bytes]) -> None:
+        """What is known of the words that were numbered last, in their order."""
         found = np.fromiter((i for _, i in self.longest.iter_long((b" " + b" ".join(new)).decode("latin-1"))), np.int64)
         starts = np.flatnonzero(self.first[found])
         sizes = np.diff(np.r_[starts, len(found)])
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         with np.errstate(over="ignore"):
             powers = np.cumprod(np.full(max(sizes) + 1, 0x9E3779B97F4A7C15, np.uint64))
             place = np.arange(len(found)) - np.repeat(starts, sizes)
@@ -142,11 +152,10 @@ class Segments:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Numbers of words, known or new."""
-        out = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
-        if len(missing := np.flatnonzero(out < 0)):
-            new = list(dict.fromkeys(words[i] for i in missing))
-            self.add(new)
-            out[missing] = np.fromiter((self.number[words[i]] for i in missing), np.int64, len(missing))
+        before = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if more := len(self.number) - before:
+            self.add(list(itertools.islice(reversed(self.number), more))[::-1])
         return out
 
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +183,19 @@ class Sequences(NamedTuple):
     sizes: np.ndarray
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cyclic garbage meanwhile: many small objects are made that hold no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+@uncollected()
 def sequences(known: Segments, texts: list[str]) -> Sequences:
     split = [tokens(t) for t in texts]
     n_tokens = np.array([len(t) for t in split], np.int64)
