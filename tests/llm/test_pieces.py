@@ -78,3 +78,30 @@ def test_query_returns_ids_that_decode_to_the_texts(spark, sf_small):
     for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect():
         assert "▁" in (r.text or "") or back[r.doc_id] == (r.text or "")
     assert out.where("size(ids) != n_ids").count() == 0
+
+
+def test_segmentations_are_made_once_and_kept_in_arrays(p, monkeypatch):
+    chunks = WORDS + ["▁the", "x" * 200, "日本", "▁🙂é\x00"]
+    made, real = [], P.viterbi
+    monkeypatch.setattr(P, "viterbi", lambda some, pieces: made.extend(some) or real(some, pieces))
+    known = P.Segments(p)
+    numbers = known.numbers(chunks)
+    assert sorted(made) == sorted({c for c in chunks if len(c) <= P.LONG})
+    assert known.numbers(chunks[::-1]).tolist() == numbers[::-1].tolist() and len(made) == len(set(chunks)) - 1
+    flat, sizes = known.of(numbers)
+    ends = sizes.cumsum().tolist()
+    for c, k, low, high in zip(chunks, numbers.tolist(), [0, *ends], ends):
+        two = P.n_best(c, p, 2)
+        score, ids, second = known.best(k)
+        assert tuple(flat[low:high].tolist()) == ids and score == two[0][0] and second == (two[1][0] if len(two) > 1 else -float("inf"))
+        assert (score, ids) in P.n_best(c, p, 8) and p.decode(list(ids)) == c.replace("▁", " ").removeprefix(" ")
+    known.clear()
+    assert known.numbers(["▁the"]).tolist() == [0] and known.best(0)[1] == P.batch_best(["▁the"], p)[0][1]
+
+
+def test_least_losses_go_first_and_infinite_ones_never():
+    import numpy as np
+
+    inf = float("inf")
+    assert P.least(np.array([3.0, 1.0, inf, 1.0, 2.0]), 3) == [1, 3, 4]
+    assert P.least(np.array([inf, 5.0]), 2) == [1] and P.least(np.array([]), 2) == []

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from weft.llm.attention import Attention, score
 from weft.llm.common import arrow_rows, cut, partitions, whole_text
 from weft.llm.quality import row_key
+from weft.llm.words import Grown, Numbering
 
 VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Classes of ids that the attention tells apart, half of them of ids that start words; the end is one more.
@@ -95,31 +96,6 @@ def pieces(path: str) -> Pieces:
     return Pieces(n, longest, first, np.r_[classes_of(first[:-1]), CLASSES])
 
 
-class Grown:
-    """An array that grows at its end, with room to spare so that it is seldom copied."""
-
-    def __init__(self, first: list[int]):
-        self.room, self.size = np.array(first, np.int64), len(first)
-
-    @property
-    def held(self) -> np.ndarray:
-        return self.room[: self.size]
-
-    def add(self, more: np.ndarray) -> None:
-        size = self.size + len(more)
-        if size > len(self.room):
-            self.room = np.concatenate([self.held, np.empty(size + self.size, np.int64)])
-        self.room[self.size : size], self.size = more, size
-
-
-class Numbering(dict):
-    """Numbers of words, a new one for each new word."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Segments:
     """Subword ids of words: of a space and the word, always the longest piece next. Words are numbered as they come, the end first.
 

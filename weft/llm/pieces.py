@@ -7,7 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 from operator import itemgetter
 
 import numpy as np
@@ -17,16 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import arrow_rows, whole_text
+from weft.llm.words import Grown, Numbering
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 N_BEST = 3
 #: Added to the least piece score for a character spelled in bytes.
 BYTES_PENALTY = -10.0
-#: Chunk segmentations that a task keeps; all are dropped when there are more.
+#: Chunks whose segmentations a task keeps; all are dropped when there are more.
 CACHE = 400_000
 #: Chunks longer than this are cut out of the numpy batch and searched alone.
 LONG = 64
+#: Characters of chunks searched in numpy at once: few, so that their tables stay in the cache.
+AT_ONCE = 1 << 16
 #: A run of spaces with what follows, a piece of text before a space, or one line break: no piece crosses these.
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -84,17 +87,18 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of the piece with each hash, or -1."""
-        slots = (h >> np.uint64(64 - _BITS)).astype(np.int64)
-        at = self.tables[0][slots]
-        at[self.keys[at] != h] = -1  # an empty slot is -1 too: the last key, which then differs or has that slot
-        shared = np.flatnonzero(self.shared[slots.ravel()] & (at.ravel() < 0))
-        if len(shared):
-            some, found = h.ravel()[shared], np.full(len(shared), -1, np.int32)
-            for table in self.tables[1:]:
-                seen = table[slots.ravel()[shared]]
-                found = np.where((seen >= 0) & (self.keys[seen] == some), seen, found)
-            at.ravel()[shared] = found
-        return at
+        flat = h.ravel()
+        slots = (flat >> np.uint64(64 - _BITS)).view(np.int64)
+        at = self.tables[0].take(slots)
+        some = np.flatnonzero(at >= 0)  # few slots have a key
+        other = some[self.keys[at[some]] != flat[some]]
+        at[other] = -1
+        shared = other[self.shared[slots[other]]]
+        for table in self.tables[1:] if len(shared) else ():
+            seen = table[slots[shared]]
+            right = (seen >= 0) & (self.keys[seen] == flat[shared])
+            at[shared[right]] = seen[right]
+        return at.reshape(h.shape)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces joined, byte pieces read as UTF-8, the space put before the text taken off."""
@@ -168,72 +172,81 @@ def n_best(chunk: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, .
 
 
 def batch_best(chunks: list[str], pieces: Pieces) -> list[tuple[float, tuple[int, ...], float]]:
-    """(score, ids, score of the second best or -inf) of many chunks of equal length, by Viterbi passes in numpy.
+    """(score, ids, score of the second best or -inf) of many chunks of equal length."""
+    scores, seconds, ids, sizes = viterbi(chunks, pieces)
+    return [(s, tuple(i.tolist()), t) for s, i, t in zip(scores.tolist(), np.split(ids, np.cumsum(sizes)[:-1]), seconds.tolist())]
+
+
+def viterbi(chunks: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, scores of the second best or -inf, ids one after another and ids of each of many chunks of equal length, by Viterbi passes in numpy.
 
     The second best path uses an edge off the best path; the best path over an edge scores the best prefix
     before it plus the edge plus the best suffix after it, so the largest such sum off the best path is found
     without listing paths. Equal scores keep the longest last piece.
     """
     n, size = len(chunks), len(chunks[0])
-    codes = np.array([list(map(ord, c)) for c in chunks], dtype=np.uint64) + np.uint64(1)
-    weight, piece = {}, {}
-    with np.errstate(over="ignore"):
-        h = np.zeros((n, size), np.uint64)
-        for width in range(1, min(size, pieces.longest) + 1):
-            h = (h[:, : size - width + 1] + codes[:, width - 1 :]) * _BASE
-            at = pieces.find(h)
-            w = np.where(at >= 0, pieces.values[at], -np.inf if width > 1 else pieces.bytes_score)
-            weight[width], piece[width] = w, at
-    ahead, back = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int64)
-    ahead[:, 0] = 0
-    for end in range(1, size + 1):
-        for width in range(1, min(end, pieces.longest) + 1):
-            s = ahead[:, end - width] + weight[width][:, end - width]
-            better = s >= ahead[:, end]
-            ahead[:, end] = np.maximum(ahead[:, end], s)
-            back[better, end] = width
-    behind = np.full((n, size + 1), -np.inf)
-    behind[:, size] = 0
-    for start in range(size - 1, -1, -1):
-        for width in range(1, min(size - start, pieces.longest) + 1):
-            behind[:, start] = np.maximum(behind[:, start], weight[width][:, start] + behind[:, start + width])
-    at, path = np.full(n, size), np.full((n, size), -2)
-    on_path = {width: np.zeros((n, size), bool) for width in weight}
+    # a row for each place, so that a step over all chunks reads and writes neighbours
+    codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).T.astype(np.uint64) + np.uint64(1)
+    widths = min(size, pieces.longest)
+    weight, piece = np.empty((widths + 1, size, n)), np.empty((widths + 1, size, n), np.int32)
+    edges = []  # (start, width) that some chunk has; weight and piece are filled there
+    h = np.zeros((size, n), np.uint64)
+    for width in range(1, widths + 1):
+        with np.errstate(over="ignore"):
+            h = (h[: size - width + 1] + codes[width - 1 :]) * _BASE
+        at = pieces.find(h)
+        hit = at >= 0
+        some = np.flatnonzero(hit.any(axis=1)) if width > 1 else np.arange(size)
+        edges += [(int(start), width) for start in some]
+        piece[width, some] = at[some]
+        weight[width, some] = np.where(hit[some], pieces.values[at[some]], -np.inf if width > 1 else pieces.bytes_score)
+    ahead, back = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int8)
+    ahead[0] = 0
+    for start, width in sorted(edges, key=lambda x: (sum(x), x[1])):
+        end = start + width
+        s = ahead[start] + weight[width, start]
+        np.putmask(back[end], s >= ahead[end], width)
+        np.maximum(ahead[end], s, out=ahead[end])
+    behind = np.full((size + 1, n), -np.inf)
+    behind[size] = 0
+    for start, width in sorted(edges, reverse=True):
+        np.maximum(behind[start], weight[width, start] + behind[start + width], out=behind[start])
+    at, path = np.full(n, size), np.full((n, size), -2, np.int32)
+    on_path = np.zeros((widths + 1, size, n), bool)
     live, step = np.arange(n), size
     while len(live):
         step -= 1
-        width = back[live, at[live]]
-        at[live] -= width
-        for k in np.unique(width):
-            rows = live[width == k]
-            start = at[rows]
-            on_path[k][rows, start] = True
-            hit = piece[k][rows, start]
-            path[rows, step] = np.where(hit >= 0, pieces.ids[hit], -1)
-        live = live[at[live] > 0]
+        width = back[at[live], live].astype(np.int64)
+        start = at[live] - width
+        at[live] = start
+        on_path[width, start, live] = True
+        hit = piece[width, start, live]
+        path[live, step] = np.where(hit >= 0, pieces.ids[hit], -2 - codes[start, live].astype(np.int32))
+        live = live[start > 0]
     second = np.full(n, -np.inf)
-    for width, w in weight.items():
-        through = ahead[:, : size - width + 1] + w + behind[:, width:]
-        through[on_path[width][:, : size - width + 1]] = -np.inf
-        second = np.maximum(second, through.max(axis=1))
-    steps, spelled = (path > -2).sum(axis=1).tolist(), (path == -1).any(axis=1).tolist()
-    ids = [tuple(row[size - k :]) for row, k in zip(path.tolist(), steps)]
-    for r in (r for r, s in enumerate(spelled) if s):
-        ids[r] = _spell(chunks[r], ids[r], pieces)
-    return list(zip(ahead[:, size].tolist(), ids, second.tolist()))
-
-
-def _spell(chunk: str, ids: tuple[int, ...], pieces: Pieces) -> tuple[int, ...]:
-    """ids with each -1 replaced by the bytes of its character."""
-    out, at = [], 0
-    for i in ids:
-        if i >= 0:
-            out.append(i)
-            at += len(pieces.text[i])
-        else:
-            out.extend(pieces.byte[b] for b in chunk[at].encode("utf-8", "surrogatepass"))
-            at += 1
-    return tuple(out)
+    for start, width in edges:
+        through = ahead[start] + weight[width, start] + behind[start + width]
+        np.putmask(through, on_path[width, start], -np.inf)
+        np.maximum(second, through, out=second)
+    on = path != -2
+    return (ahead[size], second, *_spelled(path[on], on.sum(axis=1), pieces))
+
+
+def _spelled(ids: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """ids and the ids of each chunk, each id of -3 - c replaced by the bytes of the character c."""
+    at = np.flatnonzero(ids < 0)
+    if not len(at):
+        return ids, sizes
+    spelled = [[pieces.byte[b] for b in chr(-3 - i).encode("utf-8", "surrogatepass")] for i in ids[at].tolist()]
+    times = np.ones(len(ids), np.int64)
+    times[at] = list(map(len, spelled))
+    out = np.repeat(ids, times)
+    out[out < 0] = list(chain.from_iterable(spelled))
+    return out, np.add.reduceat(times, np.cumsum(sizes) - sizes)
+
+
+#: The same chunks are often those of least loss; long ones are not kept.
+_n_best = lru_cache(1 << 15)(n_best)
 
 
 def merge(chunks: list[str], best: list[tuple], pieces: Pieces, n: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
@@ -248,7 +261,8 @@ def merge(chunks: list[str], best: list[tuple], pieces: Pieces, n: int) -> list[
     for _, k in heapq.nsmallest(n - 1, zip(losses, range(len(best)))):
         if best[k][2] == -np.inf:
             continue
-        others = [(best[k][0] - s, ids) for s, ids in n_best(chunks[k], pieces, n) if ids != best[k][1]][: n - 1]
+        search = _n_best if len(chunks[k]) <= LONG else n_best
+        others = [(best[k][0] - s, ids) for s, ids in search(chunks[k], pieces, n) if ids != best[k][1]][: n - 1]
         out += [(loss + more, {**changed, k: ids}) for loss, changed in out for more, ids in others]
         out = heapq.nsmallest(n, out, key=lambda x: x[0])
     return [(total - loss, changed) for loss, changed in out]
@@ -268,27 +282,30 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, with_ids: bool
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, cache = load(model), {}
+        pieces = load(model)
+        known = Segments(pieces)
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
+            texts = batch.column(1).to_pylist()
             split = [CHUNKS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-            if len(cache) > CACHE:
-                cache.clear()
-            _segment(split, cache, pieces)
+            if len(known.number) > CACHE:
+                known.clear()
+            numbers = known.numbers(list(chain.from_iterable(split)))
+            scores, losses = known.scores[numbers], known.losses[numbers]
+            packed, sizes = known.of(numbers)
+            ends = np.cumsum([0, *map(len, split)])
+            offsets = np.r_[0, np.cumsum(sizes)][ends]
             rows = []
-            for text, chunks in zip(texts, split):
-                best = list(map(cache.__getitem__, chunks))
-                ids = list(chain.from_iterable(map(itemgetter(1), best)))
-                packed = np.array(ids, "<i4")
-                scores = [s for s, _ in merge(chunks, best, pieces, n)]
-                row = (len(ids), scores[0], scores, zlib.crc32(packed.tobytes()), pieces.decode(ids) == text)
-                rows.append((*row, packed) if with_ids else row)
+            for text, chunks, start, end, low, high in zip(texts, split, ends.tolist(), ends[1:].tolist(), offsets.tolist(), offsets[1:].tolist()):
+                few = least(losses[start:end], n - 1)
+                best = [known.best(k) for k in numbers[start:end][few].tolist()]
+                rest = float(scores[start:end].sum()) - sum(map(itemgetter(0), best))
+                most = [rest + s for s, _ in merge([chunks[k] for k in few], best, pieces, n)]
+                ids = packed[low:high]
+                rows.append((high - low, most[0], most, zlib.crc32(ids), pieces.decode(ids.tolist()) == text))
             types = [pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.bool_()]
             columns = [pa.array(list(x), t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
             if with_ids:  # lists from one array, not number by number
-                sizes = [r[0] for r in rows]
-                ids = np.concatenate([r[5] for r in rows]) if rows else np.empty(0, "<i4")
-                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(ids, pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(packed, pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], NAMES[: 1 + len(columns)])
 
     arrow_rows(docs.sparkSession, 256)
@@ -299,20 +316,70 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, with_ids: bool
 NAMES = ["doc_id", "n_ids", "score", "n_best", "ids_crc32", "round_trip", "ids"]
 
 
-def _segment(split: list[list[str]], cache: dict, pieces: Pieces) -> None:
-    """Put every chunk that cache lacks into it."""
-    by_size: dict[int, list[str]] = {}
-    for c in set(chain.from_iterable(split)).difference(cache):
-        by_size.setdefault(len(c), []).append(c)
-    for size, chunks in by_size.items():
-        if size > LONG:
-            for c in chunks:
-                two = n_best(c, pieces, 2)
-                cache[c] = (*two[0], two[1][0] if len(two) > 1 else -np.inf)
-            continue
-        for at in range(0, len(chunks), step := max(1, (1 << 18) // size)):
-            part = chunks[at : at + step]
-            cache.update(zip(part, batch_best(part, pieces)))
+def least(losses: np.ndarray, n: int) -> list[int]:
+    """Places of the n least finite losses, least first; the first of equal ones."""
+    out, left = [], losses.copy()
+    while len(out) < min(n, len(left)):
+        k = int(left.argmin())
+        if left[k] == np.inf:
+            break
+        out.append(k)
+        left[k] = np.inf
+    return out
+
+
+class Segments:
+    """Best segmentations of chunks, which are numbered as they come: scores, losses to the second best (inf where there is none) and ids."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = Numbering()
+        self._scores, self._losses = Grown([], float), Grown([], float)
+        self._starts, self._sizes, self._ids = Grown([]), Grown([]), Grown([], "<i4")
+
+    scores, losses, starts, sizes, ids = (property(lambda self, x=x: getattr(self, x).held) for x in ("_scores", "_losses", "_starts", "_sizes", "_ids"))
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of chunks, known or new."""
+        before = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        if more := len(self.number) - before:
+            self.add(list(islice(reversed(self.number), more))[::-1])
+        return out
+
+    def add(self, new: list[str]) -> None:
+        """What is known of the chunks that were numbered last, in their order."""
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        order = np.argsort(lengths, kind="stable")
+        parts = []
+        for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            size = int(lengths[group[0]])
+            if size > LONG:
+                for k in group.tolist():
+                    two = n_best(new[k], self.pieces, 2)
+                    parts.append((np.array([two[0][0]]), np.array([two[1][0] if len(two) > 1 else -np.inf]), np.array(two[0][1], "<i4"), np.array([len(two[0][1])])))
+                continue
+            step = max(1, AT_ONCE // size)
+            parts += [viterbi([new[k] for k in group[at : at + step].tolist()], self.pieces) for at in range(0, len(group), step)]
+        scores, seconds, ids, sizes = map(np.concatenate, zip(*parts))
+        place = np.argsort(order)  # from the order of lengths to that of numbers
+        for grown, more in ((self._scores, scores), (self._losses, scores - seconds), (self._sizes, sizes), (self._starts, np.cumsum(sizes) - sizes + len(self.ids))):
+            grown.add(more[place])
+        self._ids.add(ids)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of chunks one after another, ids of each chunk)."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)], sizes
+
+    def best(self, number: int) -> tuple[float, tuple[int, ...], float]:
+        """(score, ids, score of the second best) of one chunk."""
+        score, start = float(self.scores[number]), int(self.starts[number])
+        return score, tuple(self.ids[start : start + int(self.sizes[number])].tolist()), score - float(self.losses[number])
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -16,6 +16,31 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+class Grown:
+    """An array that grows at its end, with room to spare so that it is seldom copied."""
+
+    def __init__(self, first: list, dtype: type = np.int64):
+        self.room, self.size = np.array(first, dtype), len(first)
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def add(self, more: np.ndarray) -> None:
+        size = self.size + len(more)
+        if size > len(self.room):
+            self.room = np.concatenate([self.held, np.empty(size + self.size, self.room.dtype)])
+        self.room[self.size : size], self.size = more, size
+
+
+class Numbering(dict):
+    """Numbers of words, a new one for each new word."""
+
+    def __missing__(self, word: bytes | str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
     """A table of 256 booleans: whether a byte belongs to a word. ranges are those that do not."""
     out = np.ones(256, bool)
