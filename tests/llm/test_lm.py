@@ -49,6 +49,49 @@ def test_windows_score_each_position_once():
         assert value == pytest.approx(want, rel=1e-4)
 
 
+def test_a_step_keeps_its_arrays():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    m, x, y = A.Attention(500, 17), rng.integers(0, 501, (A.BATCH, A.SPAN)), rng.integers(0, 17, (A.BATCH, A.SPAN))
+    first = m.loss(x, y)
+    tracemalloc.start()
+    again = m.loss(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 900_000  # 2.3 MB before, when every step asked for new arrays
+    m.loss(x[:5], np.where(x[:5] % 3 == 0, -1, y[:5]))  # rooms of another shape
+    for other in (again, m.loss(x, y)):
+        assert other[0] == first[0] and all((other[1][k] == g).all() for k, g in first[1].items()) and (other[2] == first[2]).all() and (other[3] == first[3]).all()
+
+
+def test_learning_is_adagrad_over_all_windows():
+    rng = np.random.default_rng(3)
+    sizes = np.array([3, 900, A.SPAN * (2 * A.BATCH + 7), 1, A.SPAN])
+    x, y = rng.integers(0, 40, sizes.sum()), rng.integers(0, 6, sizes.sum())
+    m, plain = (A.Attention(40, 6, dtype=np.float64) for _ in range(2))
+    met, windows = m.learn([(x[:903], y[:903], sizes[:2]), (x[903:], y[903:], sizes[2:])])
+    xs, ys = [], []
+    for end, size in zip(np.cumsum(sizes), sizes):
+        pad = -size % A.SPAN
+        xs.append(np.r_[x[end - size : end], np.zeros(pad, int)])
+        ys.append(np.r_[y[end - size : end], np.full(pad, -1)])
+    xs, ys = (np.concatenate(z).reshape(-1, A.SPAN) for z in (xs, ys))
+    seen = np.bincount(ys[ys >= 0], minlength=6) + 1.0
+    plain.p["c"] = np.log(seen / seen.sum())
+    squares, times = {k: np.full(v.shape[:1] if k == "e" else v.shape, 1e-6) for k, v in plain.p.items()}, np.zeros(41, int)
+    for at in range(0, len(xs), A.BATCH):
+        _, g, ids, often = plain.loss(xs[at : at + A.BATCH], ys[at : at + A.BATCH])
+        times[ids] += often
+        for k in ("w", "u", "c", "d"):
+            squares[k] += g[k] ** 2
+            plain.p[k] -= A.RATE / 2 * g[k] / np.sqrt(squares[k])
+        squares["e"][ids] += (g["e"] ** 2).mean(axis=1)
+        plain.p["e"][ids] -= A.RATE * g["e"] / np.sqrt(squares["e"][ids])[:, None]
+    assert windows == len(xs) and (met == times).all()
+    assert all(m.p[k] == pytest.approx(v, abs=1e-9) for k, v in plain.p.items())
+
+
 def plain_ids(word, pieces):
     """Longest pieces from the start, one by one."""
     rest, out = b" " + word, []

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.attention import Attention, score
+from weft.llm.attention import DENSE, Attention, score
 from weft.llm.common import arrow_rows, cut, partitions, whole_text
 from weft.llm.quality import row_key
 from weft.llm.words import Grown, Numbering
@@ -185,8 +185,6 @@ def sequences(known: Segments, texts: list[str]) -> Sequences:
 
 ROWS_OF_TEXT = pa.schema([("text", pa.string()), ("k", pa.int64())])
 NAMES = ["h", "kind", "c", "part", "data"]
-#: Parts of a model that are small and dense.
-DENSE = ("w", "u", "c", "d")
 
 
 def learned(docs: DataFrame, path: str) -> tuple[DataFrame, Attention]:
