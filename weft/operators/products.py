@@ -41,7 +41,7 @@ class Vectors:
         that of their sketches at the most (Cauchy and Schwarz in each bucket)."""
         bucket = np.where(self.terms < 0, (-1 - self.terms) % buckets, buckets).astype(np.int64)
         out = np.empty((len(self.ids), buckets), np.float32)
-        step = max(1, HELD // (buckets + 1))
+        step = max(1, HELD // 4 // (buckets + 1))
         for k in range(0, len(self.ids), step):
             n = min(step, len(self.ids) - k)
             a, z = self.offsets[k], self.offsets[k + n]
@@ -332,10 +332,15 @@ def meet(stored: DataFrame, least: float, forest: bool = False) -> DataFrame:
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, left, b, right in zip(*batch.columns):
+            rows = list(zip(*batch.columns))
+            del batch
+            while rows:
+                a, left, b, right = rows.pop()
                 one = _unpacked(left)
-                yield from _met(one, one if a.as_py() == b.as_py() else _unpacked(right), least, forest)
-                del one
+                other = one if a.as_py() == b.as_py() else _unpacked(right)
+                del left, right  # their bytes are not held while the vectors are compared
+                yield from _met(one, other, least, forest)
+                del one, other
                 pa.default_memory_pool().release_unused()
 
     return cells.select("left_block", "left", "right_block", "right").mapInArrow(met, PAIRS)
